@@ -17,6 +17,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _written: list[tuple[SparkSession, str]] = []
+_own_root: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +28,17 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is made only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tablepact-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own_root:
+            _own_root.append("file://" + tempfile.mkdtemp(prefix="tablepact-"))
+        root = _own_root[0]
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows: a batch of very long texts must fit in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
