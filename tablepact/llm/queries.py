@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, tokens, warc
+from . import decontaminate, quality, similarity, tokens, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,11 +19,22 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.PROSE)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept")
@@ -34,8 +45,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_token_counts, op7_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash_dedup, op3_token_counts, op4_decontamination, op7_quality_rules, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op2_minhash_dedup": similarity.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
