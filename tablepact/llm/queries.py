@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, similarity, tokens, warc
-from .common import table
+from . import decontaminate, language, ordinal, quality, similarity, tokens, toxicity, urls, warc
+from .common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -35,17 +35,48 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the document that the number in its address names is labelled of quality 0."""
+    named = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/([0-9]+)(?:\.[a-z]+)?/?(?:[?#]|$)", 1).try_cast("long").alias("doc_id"))
+    return named.join(table(spark, sf_dir, "labels"), "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"), 3)
+    model = language.learn(docs.where(part != 1))
+    return language.identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.PROSE)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grades = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("grade"))
+    graded = ordinal.grade_documents(docs, ordinal.train(docs, grades), 1.0)
+    return graded.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash_dedup, op3_token_counts, op4_decontamination, op7_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash_dedup, op3_token_counts, op4_decontamination, op5_url_filters, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
