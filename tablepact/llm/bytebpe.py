@@ -9,8 +9,19 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: The pre-token pattern of byte-level BPE.
-PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pre-token pattern of byte-level BPE, with LETTER and NUMBER for its two classes.
+PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[LETTER]+| ?[NUMBER]+| ?[^\sLETTERNUMBER]+|\s+(?!\S)|\s+"""
+
+#: Letters and numbers that came with Unicode 17. The regex module has them, the tokenizers library hasn't yet.
+UNICODE_17 = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F)]
+
+
+@lru_cache(maxsize=1)
+def pretokens() -> regex.Pattern:
+    """The pattern, with ``UNICODE_17`` taken for neither letters nor numbers."""
+    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNICODE_17)
+    slow = r"'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![NEW])\p{L})+| ?(?:(?![NEW])\p{N})+| ?(?:[NEW]|[^\s\p{L}\p{N}])+|\s+(?!\S)|\s+"
+    return regex.compile(slow.replace("NEW", ranges))
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,12 +56,14 @@ class Vocabulary:
         keys = self.left << 32 | self.right
         self.key_order = np.argsort(keys, kind="stable")
         self.keys = keys[self.key_order]
-        self.pattern = regex.compile(PRETOKEN)
+        self.pattern = regex.compile(PRETOKEN.replace("LETTER", r"\p{L}").replace("NUMBER", r"\p{N}"))
+        self.careful = pretokens()
+        self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNICODE_17) + "]")
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token inside the text is a piece of its own."""
-        find = self.pattern.findall
+        find = self.pattern.findall if text.isascii() or not self.newer.search(text) else self.careful.findall
         if not any(s in text for s in self.special):
             return find(text)
         out: list[str] = []
@@ -165,9 +178,6 @@ class PairIndex:
             if not good.all():
                 pos, follow = pos[good], follow[good]
             if a == b and len(pos) > 1:  # a run of one symbol is taken two by two from the left
-                if len(lists) == 1:
-                    order = np.argsort(pos, kind="stable")
-                    pos, follow = pos[order], follow[order]
                 head = np.concatenate(([True], follow[:-1] != pos[1:]))
                 at = np.arange(len(pos))
                 keep = (at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0
@@ -182,7 +192,7 @@ class PairIndex:
             prv[after[has]] = pos[has]
             before = prv[pos]
             before = before[before >= 0]
-            changed = np.concatenate((before, pos[has]))
+            changed = np.unique(np.concatenate((before, pos[has])))  # a place next to two merges is listed once
             if len(changed):
                 file(changed, self.rank_of(sym[changed], sym[nxt[changed]]))
         alive = sym >= 0

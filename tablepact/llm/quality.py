@@ -25,7 +25,7 @@ RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 20"),
     "repeated_windows": (1, "100 * n_repeat_words > 30 * n_words"),
     "symbols": (2, "10 * n_symbols > 3 * n_words"),
-    "duplicate_lines": (3, "10 * n_dup_lines > 3 * n_lines"),
+    "duplicate_lines": (3, "n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines"),
     "short_words": (4, "word_chars < 2 * n_words"),
     "long_words": (5, "word_chars > 20 * n_words"),
     "shouting": (6, "2 * n_upper_words > n_words and n_words > 0"),
@@ -164,7 +164,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0
       FROM w LEFT JOIN p USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (10 * n_dup_lines > 3 * n_lines)
+  NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines)
   AND NOT (word_chars < 2 * n_words) AND NOT (word_chars > 20 * n_words) AND NOT (2 * n_upper_words > n_words AND n_words > 0) AS kept
 FROM b
 """

@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as symbols: insults (learned from labels), threats, targets, negations and words of report. Four
+Words are read as symbols: insults (words and word beginnings, learned from labels), threats, targets, negations and words of report. Four
 transducers read a clause: one remembers for a few words that it was negated, one that it reports speech, one that it has a
 target, and one gives out each insult or threat. Their composition, one table of states and symbols, turns a clause into
 outputs such as "insult, at a target, not negated, not reported". A text's score is a logistic function of its outputs;
@@ -33,9 +33,11 @@ REPORTS = "said says saying wrote writes called calls quoted quotes reported acc
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n]+")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Lengths of the word beginnings that are looked at, and the mark of a whole word.
+STEM, END = (4, 7), "$"
 #: A negation reaches over so many words.
 REACH = 3
-SAMPLE, ROUNDS, MOST_WORDS = 20_000, 40, 400
+SAMPLE, ROUNDS, MOST_WORDS = 20_000, 25, 400
 SLICE_BYTES = 4 << 20
 #: Outputs: insult or threat, with or without target, negated or not, reported or not; then a place for the constant.
 OUTPUTS = [(kind, target, negated, reported) for kind in (INSULT, THREAT) for target in (0, 1) for negated in (0, 1) for reported in (0, 1)]
@@ -69,9 +71,14 @@ def prior_weights() -> np.ndarray:
 
 class Grammar:
     def __init__(self, insults: tuple[str, ...]):
-        self.symbols = {**FIXED, **dict.fromkeys(insults, INSULT)}
-        heads = sorted((w for w, s in self.symbols.items() if s in (INSULT, THREAT)), key=len, reverse=True)
-        self.any = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, heads)) + r")(?![^\W\d_])")
+        self.symbols = {**FIXED, **{w.removesuffix(END): INSULT for w in insults if w.endswith(END)}}
+        self.beginnings = tuple(w for w in insults if not w.endswith(END))
+        whole = "|".join(re.escape(w) for w, s in self.symbols.items() if s in (INSULT, THREAT))
+        self.any = re.compile(r"(?<![^\W\d_])(?:(?:" + whole + r")(?![^\W\d_])" + "".join("|" + re.escape(w) for w in self.beginnings) + ")")
+
+    def symbol(self, word: str) -> int:
+        known = self.symbols.get(word)
+        return known if known is not None else INSULT if word.startswith(self.beginnings) else OTHER
 
     def outputs(self, text: str | None) -> np.ndarray:
         """How often each output occurs, as log(1 + n), and the constant 1. Only clauses with an insult or threat are read."""
@@ -89,7 +96,7 @@ class Grammar:
             done = end.start() if end else len(low)
             state = 0
             for w in WORD.findall(low, begin, done):
-                symbol = self.symbols.get(w, OTHER)
+                symbol = self.symbol(w)
                 if OUTPUT[state, symbol] >= 0:
                     counts[OUTPUT[state, symbol]] += 1
                 state = NEXT[state, symbol]
@@ -110,26 +117,42 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(latent - at, -40, 40)))
 
 
-def learn_insults(rows: DataFrame, *, rounds: int = 5) -> tuple[str, ...]:
-    """Words that mark toxic texts, from (toxic, words array of distinct words).
+def stems(text: str | None) -> list[str]:
+    """Distinct words of a text, each with an end mark, and their beginnings of ``STEM`` letters; no words of the closed classes."""
+    out: set[str] = set()
+    for w in set(WORD.findall(text.lower())) - FIXED.keys() if text else ():
+        out.add(w + END)
+        out.update(w[:n] for n in range(STEM[0], min(len(w), STEM[1]) + 1))
+    return sorted(out)
+
+
+def learn_insults(rows: DataFrame, *, rounds: int = 8) -> tuple[str, ...]:
+    """Words and word beginnings that mark toxic texts, from (toxic, stems array of distinct strings).
 
-    Each round takes the words found in many of the toxic texts that no word so far explains (half as many as the
-    most frequent one, a twentieth of those texts, five at least) and eight times as often there as elsewhere. A word
-    that only comes along with an insult so finds nothing left to explain.
+    Each round takes those found in many of the toxic texts that nothing so far explains (half as many as the best one,
+    and a fiftieth of all toxic texts, four at least) and eight times as often there as elsewhere. A word that only comes
+    along with an insult so finds nothing left to explain. A beginning stands for every word that it begins.
     """
     found: list[str] = []
+    toxic = 0
     for _ in range(rounds):
-        left = rows.where("toxic = 0").unionAll(rows.where("toxic = 1").where(~F.arrays_overlap("words", F.array(*map(F.lit, found)))) if found else rows.where("toxic = 1"))
+        bad = rows.where("toxic = 1")
+        left = rows.where("toxic = 0").unionAll(bad.where(~F.arrays_overlap("stems", F.array(*map(F.lit, found)))) if found else bad)
         n = {r["toxic"]: r["n"] for r in left.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n1, n0 = n.get(1, 0), n.get(0, 0)
-        if n1 < 5 or not n0:
+        toxic = toxic or n1
+        least = max(4, toxic / 50)
+        if n1 < least or not n0:
             break
-        words = left.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+        words = left.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         lift = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
-        top = words.where((lift >= 8) & (F.col("a") >= max(5, n1 / 20))).orderBy(F.desc("a"), "word").limit(MOST_WORDS).collect()
+        value = F.col("a") * F.log(lift)
+        top = words.where((lift >= 8) & (F.col("a") >= least)).select("stem", "a", value.alias("v")).orderBy(F.desc("v"), F.desc(F.length("stem")), "stem").limit(MOST_WORDS).collect()
         if not top:
             break
-        found += [r["word"] for r in top if 2 * r["a"] >= top[0]["a"]]
+        for r in top:
+            if 2 * r["v"] >= top[0]["v"] and not any(r["stem"].startswith(f) or f.startswith(r["stem"]) for f in found):
+                found.append(r["stem"])
     return tuple(found[:MOST_WORDS])
 
 
@@ -142,11 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE) -> Toxicit
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
-            made = [sorted(set(WORD.findall(t.lower())) - FIXED.keys()) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], ["toxic", "text", "words"])
+            made = [stems(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], ["toxic", "text", "stems"])
 
-    rows = materialize(base.mapInArrow(words, "toxic int, text string, words array<string>"), "toxic-words")
-    insults = learn_insults(rows.select("toxic", "words"))
+    rows = materialize(base.mapInArrow(words, "toxic int, text string, stems array<string>"), "toxic-words")
+    insults = learn_insults(rows.select("toxic", "stems"))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(insults)
