@@ -213,7 +213,7 @@ class Compiler:
                 out.append(F.when(is_object & F.coalesce(present, F.lit(False)), found).otherwise(none()))
         patterns = s.get("patternProperties") or {}
         for pattern, sub in patterns.items():
-            names = F.filter(v.keys(), lambda k, p=pattern: k.rlike(java_pattern(p)))
+            names = F.filter(v.keys(), lambda k: k.rlike(java_pattern(pattern)))  # noqa: B023  (called at once)
             found = v.members(names, lambda x, k, sub=sub, p=pattern: self.violations(sub, x, child(k), f"{at}/patternProperties/{p}"))
             if found is not None:
                 out.append(F.when(is_object, F.flatten(found)).otherwise(none()))
@@ -222,7 +222,7 @@ class Compiler:
             known = list(s.get("properties") or {})
             names = F.array_except(v.keys(), F.array(*map(F.lit, known))) if known else v.keys()
             for pattern in patterns:
-                names = F.filter(names, lambda k, p=pattern: ~k.rlike(java_pattern(p)))
+                names = F.filter(names, lambda k: ~k.rlike(java_pattern(pattern)))  # noqa: B023  (called at once)
             if extra is False:
                 found = F.transform(F.slice(names, 1, MAX_ADDITIONAL), lambda k: self._one("additionalProperties", child(k), at, F.concat(k, F.lit(" isn't allowed"))))
                 out.append(F.when(is_object, found).otherwise(none()))

@@ -108,7 +108,7 @@ def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Co
         if name in decoders.STREAMS:
             schema = contract.schema(media.get("itemSchema") or media.get("schema") or {})
             items = decoders.records(body, F.lit(name))
-            each = F.flatten(F.transform(items, lambda x, i, s=schema: F.when(F.try_parse_json(x).isNull(), F.array(compiler._one("json", F.concat(F.lit("body/"), i.cast("string")), "#", "is not JSON"))).otherwise(compiler.violations(s, Variant(F.try_parse_json(x)), F.concat(F.lit("body/"), i.cast("string"))))))
+            each = F.flatten(F.transform(items, lambda x, i: F.when(F.try_parse_json(x).isNull(), F.array(compiler._one("json", F.concat(F.lit("body/"), i.cast("string")), "#", "is not JSON"))).otherwise(compiler.violations(schema, Variant(F.try_parse_json(x)), F.concat(F.lit("body/"), i.cast("string"))))))
             found = F.when(decoders.too_many(items), _says("records", "body", "has too many records")).otherwise(each)
         else:
             schema = contract.schema(media.get("schema") or {})

@@ -85,7 +85,7 @@ def multipart(body: Column, content_type: Column) -> Column:
     head = lambda p: F.regexp_extract(p, r"(?s)^(.*?)\r?\n\r?\n", 1)
     lines = lambda p: F.filter(F.split(head(p), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
     names = lambda p: F.transform(lines(p), lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
-    headers = lambda p: F.map_from_arrays(F.array_distinct(names(p)), F.transform(F.array_distinct(names(p)), lambda n: F.regexp_extract(head(p), F.concat(F.lit(r"(?im)^\s*\Q"), n, F.lit(r"\E\s*:[ \t]*(.*?)\r?$")), F.lit(1))))
+    headers = lambda p: F.map_from_arrays(F.array_distinct(names(p)), F.transform(F.array_distinct(names(p)), lambda n: F.call_function("regexp_extract", head(p), F.concat(F.lit(r"(?im)^\s*\Q"), n, F.lit(r"\E\s*:[ \t]*(.*?)\r?$")), F.lit(1))))
     return F.transform(chopped, lambda p: F.struct(headers(p).alias("headers"), F.regexp_replace(p, r"(?s)^.*?\r?\n\r?\n", "").alias("content")))
 
 
