@@ -7,8 +7,8 @@ child named by its token there. A pair as similar as the threshold so keeps at l
 depth, while classes unlike each other part. Nodes of one class end; nodes of at most ``SMALL`` are leaves; larger ones
 branch again, down to ``DEPTH``.
 
-Leaves yield links in two steps, and neither makes all pairs of a group. First every class of a node is held against the
-node's smallest class only; the confirmed links give components. Then only nodes that still hold two or more components
+Leaves yield links in two steps, and neither makes all pairs of a group. First every class of a node is held against one
+class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold two or more components
 are compared exhaustively, and only across components. Large nodes that remain are cut into chunks of ``SMALL``, and every
 class outside the node's most common component visits each chunk. So a group of thousands of near copies costs a number
 of comparisons in proportion to its size, and no pair of components that meets in a node is passed over. Links are
@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -82,8 +83,13 @@ def signature(h: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype("<u4")
 
 
+def sketch(sig: bytes) -> bytes:
+    """One byte of each token: enough to tell how many tokens agree, at a quarter of the size."""
+    return np.frombuffer(sig, "<u4").astype(np.uint8).tobytes()
+
+
 def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_key (of the whole set), sig (binary); key and signature are null for empty sets."""
+    """id, n_shingles, set_key (of the whole set), sig and its sketch (binary); all null but n_shingles for empty sets."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -96,9 +102,9 @@ def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 n.append(len(h))
                 keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array([s and sketch(s) for s in sigs], pa.binary())], ["id", "n_shingles", "set_key", "sig", "sketch"])
 
-    return base.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary")
+    return base.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
 def branch(rows: DataFrame, *, roots: int = 0) -> DataFrame:
@@ -148,42 +154,91 @@ def leaves(classes: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small:
     return materialize(out, "leaves")
 
 
+#: Bits of the filter that spares texts of no candidate the shuffle; a full filter passes more, never less.
+FILTER_BITS = 1 << 23
+
+
+def may_hold(ids: DataFrame):
+    """A Column function of ids that is true for all of ``ids`` and few others. What reaches the driver is bounded by FILTER_BITS."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(spot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(31).cast("long")).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def held(spots: pd.Series) -> pd.Series:
+        x = spots.to_numpy()
+        return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    held.__annotations__ = {"spots": pd.Series, "return": pd.Series}
+    return F.pandas_udf(held, "boolean")(spot)
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose signatures could be similar enough and whose full sets are, the sets made from the texts.
+    """Pairs (a, b) whose sketches could be similar enough and whose full sets are, the sets made again from the texts.
 
-    Only texts of classes in such pairs are read for it, one text for each class.
+    Only texts of classes in such pairs are shuffled, one text for each class.
     """
-    sig = classes.select("id", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+    some = classes.select("id", "sketch")
+    both = pairs.join(some.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(some.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, TOKENS) for c in ("sa", "sb"))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= AGREE))
 
     close = materialize(both.mapInArrow(likely, "a long, b long"), "close")
-    ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ends, "id", "left_semi").select("id", "text")
+    ends = materialize(close.select(F.col("a").alias("id")).unionAll(close.select("b")).distinct(), "ends")
+    texts = materialize(docs.where(may_hold(ends)).join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    sized = close.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in sliced(batches, "text", SLICE_BYTES):
-            made = [shingles(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "set"])
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = WordHashes(), {}
 
-    whole = materialize(texts.mapInArrow(full, "id long, set binary"), "sets")
-    sized = close.join(whole.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(whole.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+        def made(i: int, text: str) -> np.ndarray:
+            if (i, text) not in last:
+                if len(last) >= 64:
+                    last.clear()
+                last[i, text] = shingles(text, hashes)
+            return last[i, text]
 
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+                x, y = made(a, ta), made(b, tb)
                 same = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(sized.mapInArrow(holds, "a long, b long"), "links")
+    return materialize(sized.mapInArrow(holds, "a long, b long").distinct(), "links")
+
+
+def centres(nodes: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, a): the class that the others of a node are held against.
+
+    Of a small node the smallest id; of a large one the class that agrees best with the tokens that most of about 64 of its
+    classes, chosen by hash, have. The original of a group of copies is so found even where copies of it have smaller ids.
+    """
+    least = nodes.where(F.col("n") <= small).groupBy("node").agg(F.min("id").alias("a"))
+    large = materialize(nodes.where(F.col("n") > small).join(classes.select("id", "sketch"), "id"), "large-nodes")
+    few = large.where(F.pmod(F.xxhash64("id", "node", F.lit(7)), F.col("n")) < 64).groupBy("node").agg(F.collect_list("sketch").alias("some"))
+
+    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for some in batch.column("some").to_pylist():
+                grid = np.frombuffer(b"".join(some), np.uint8).reshape(-1, TOKENS)
+                out.append(bytes(int(np.bincount(grid[:, c]).argmax()) for c in range(TOKENS)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "usual"])
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("sketch", "usual"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), pa.array((x == y).sum(axis=1), pa.int64())], ["node", "id", "agree"])
+
+    held = large.join(few.mapInArrow(usual, "node long, usual binary"), "node").select("node", "id", "sketch", "usual").mapInArrow(agreeing, "node long, id long, agree long")
+    best = held.groupBy("node").agg(F.max(F.struct("agree", (-F.col("id")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("a"))
+    return least.unionAll(best)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -213,8 +268,8 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, small: int =
     chunks = F.ceil(F.col("n") / small).cast("int")
     own = F.pmod(F.xxhash64("id", "node"), chunks)
     placed = rows.withColumn("chunk", F.explode(F.when((F.col("component") == F.col("main")) | (chunks <= 1), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))).withColumn("own", own == F.col("chunk"))
-    placed = placed.join(classes.select("id", "sig"), "id")
-    groups = placed.groupBy("node", "chunk").agg(F.collect_list(F.struct("id", "component", "own", "sig")).alias("members"))
+    placed = placed.join(classes.select("id", "sketch"), "id")
+    groups = placed.groupBy("node", "chunk").agg(F.collect_list(F.struct("id", "component", "own", "sketch")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +277,7 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, small: int =
             for members in batch.column("members").to_pylist():
                 ids = np.array([m["id"] for m in members], np.int64)
                 comp = np.array([m["component"] for m in members], np.int64)
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, TOKENS)
+                sig = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, TOKENS)
                 for i in np.flatnonzero([m["own"] for m in members]).tolist():
                     near = np.flatnonzero(((sig == sig[i]).sum(axis=1) >= AGREE) & (comp != comp[i]))
                     a_out.append(np.minimum(ids[i], ids[near]))
@@ -237,10 +292,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each row of ``docs``: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(sets(texts, id_col="id"), "signatures")
-    classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     nodes = leaves(classes.select("id", "sig"), trees=trees, small=small)
-    least = nodes.groupBy("node").agg(F.min("id").alias("a"))
-    first = nodes.join(least, "node").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    middle = materialize(centres(nodes, classes, small), "centres")
+    first = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = confirmed(first, classes, texts, percent)
     labels = components(links)
     rest = confirmed(across(nodes, classes, labels, small), classes, texts, percent)
