@@ -14,7 +14,7 @@ words than a window is one window of its own length. Empty tables give empty res
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +31,7 @@ SHARD_BYTES = 4 << 20
 BLOCK_PHRASES, MAX_TERMS = 100_000, 1_000_000
 #: Bytes that part words become spaces, A-Z become a-z.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-INDEX = "doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
+INDEX = "shard string, doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,8 +91,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
             gaps = np.diff(position, prepend=np.int32(0))
             gaps[cuts] = position[cuts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([listed], pa.list_(pa.binary())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([zlib.compress(gaps.astype("<i4").tobytes(), 1)], pa.binary())],
-                ["doc_ids", "starts", "lengths", "terms", "counts", "postings"],
+                [pa.array([uuid.uuid4().hex]), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([listed], pa.list_(pa.binary())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([zlib.compress(gaps.astype("<i4").tobytes(), 1)], pa.binary())],
+                ["shard", "doc_ids", "starts", "lengths", "terms", "counts", "postings"],
             )
 
     return materialize(base.mapInArrow(run, INDEX), "postings")
@@ -228,9 +228,8 @@ def _block(index: DataFrame, shared, parts: bool) -> DataFrame:
                 out = [pa.array(shard.ids, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(np.bincount(owner, minlength=docs), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 named = ["doc_id", "n_words", "n_hit", "items"]
                 if parts:
-                    key = hashlib.sha256(shard_row["postings"] + repr((shard.ids, shard_row["starts"])).encode()).hexdigest()
                     cuts = np.searchsorted(owner, np.arange(docs + 1))
-                    out += [pa.array([key] * docs, pa.string()), pa.array(range(docs), pa.int64()), pa.array([hits[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))]
+                    out += [pa.array([shard_row["shard"]] * docs, pa.string()), pa.array(range(docs), pa.int64()), pa.array([hits[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))]
                     named += ["shard", "place", "hits"]
                 yield pa.RecordBatch.from_arrays(out, named)
 
