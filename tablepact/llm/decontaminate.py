@@ -146,7 +146,7 @@ class Shard:
 
     def near(self, terms: list[bytes], span: int) -> np.ndarray:
         """Positions of the rarest term at which every term occurs within ``span`` words that hold that position."""
-        lists = sorted((self.postings(t) for t in set(terms)), key=len)
+        lists = sorted((self.postings(t) for t in sorted(set(terms))), key=len)
         if not lists or not len(lists[0]):
             return np.zeros(0, np.int64)
         hits = []
