@@ -9,7 +9,7 @@ branch again, down to ``DEPTH``.
 
 Leaves yield links in two steps, and neither makes all pairs of a group. First every class of a node is held against one
 class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold two or more components
-are compared exhaustively, and only across components. Large nodes that remain are cut into chunks of ``SMALL``, and every
+are compared exhaustively, and only across components. Nodes of more than ``CHUNK`` that remain are cut into chunks, and every
 class outside the node's most common component visits each chunk. So a group of thousands of near copies costs a number
 of comparisons in proportion to its size, and no pair of components that meets in a node is passed over. Links are
 confirmed on full sets, made again from the texts.
@@ -22,6 +22,7 @@ unless all are null.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,15 @@ from .common import materialize, sliced, small_batches
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-TOKENS, TREES, DEPTH, SMALL = 64, 10, 6, 64
-#: Signatures that agree in fewer tokens aren't confirmed: five standard deviations below what the threshold gives.
-AGREE = 40
+TOKENS, TREES, DEPTH, SMALL = 64, 10, 6, 512
+#: Bytes of a sketch, the first of them from the tokens. Pairs whose sketches agree in fewer than AGREE bytes aren't confirmed: 4.5
+#: standard deviations below what the threshold gives, chance agreement counted. FIRST_AGREE of the first TOKENS bytes are looked at before the others.
+SKETCH, AGREE, FIRST_AGREE = 512, 400, 40
+#: Nodes of more classes are held against a central class; larger groups than CHUNK are compared in chunks.
+CENTRAL, CHUNK = 64, 2048
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
+BLOCK_PAIRS = 4000
 
 
 class WordHashes(dict):
@@ -71,21 +76,23 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(h))
 
 
-_constants = np.random.default_rng(20240607).integers(0, 2**63, (2, TOKENS), dtype=np.uint64)
-_xor, _odd = _constants[0] * np.uint64(2), _constants[1] | np.uint64(1)
+_xor, _odd = np.random.default_rng(20240607).integers(0, 2**32, (2, SKETCH), dtype=np.uint32)
+_odd |= np.uint32(1)
 
 
-def signature(h: np.ndarray) -> np.ndarray:
-    """Minwise tokens: for each coordinate the top half of the least permuted hash."""
-    out = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 2048):
-        out = np.minimum(out, ((h[at : at + 2048, None] ^ _xor) * _odd).min(axis=0))
-    return (out >> np.uint64(32)).astype("<u4")
+def minwise(h: np.ndarray) -> tuple[bytes, bytes]:
+    """The tokens of the tree, which are the least permuted hash of each of ``TOKENS`` coordinates, and the sketch: one byte of
+    the least hash of each of ``SKETCH`` coordinates, enough to tell how many agree."""
+    top, out = (h >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 2**32 - 1, np.uint32)
+    for at in range(0, len(top), 256):
+        permuted = top[at : at + 256, None] ^ _xor
+        permuted *= _odd
+        np.minimum(out, permuted.min(axis=0), out=out)
+    return out[:TOKENS].astype("<u4").tobytes(), out.astype(np.uint8).tobytes()
 
 
-def sketch(sig: bytes) -> bytes:
-    """One byte of each token: enough to tell how many tokens agree, at a quarter of the size."""
-    return np.frombuffer(sig, "<u4").astype(np.uint8).tobytes()
+def grid(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
 def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,13 +103,13 @@ def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in sliced(batches, "text", SLICE_BYTES):
-            n, keys, sigs = [], [], []
+            n, keys, made = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text, hashes)
                 n.append(len(h))
                 keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array([s and sketch(s) for s in sigs], pa.binary())], ["id", "n_shingles", "set_key", "sig", "sketch"])
+                made.append(minwise(h) if len(h) else (None, None))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))], ["id", "n_shingles", "set_key", "sig", "sketch"])
 
     return base.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
@@ -177,43 +184,45 @@ def may_hold(ids: DataFrame):
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose sketches could be similar enough and whose full sets are, the sets made again from the texts.
 
-    Only texts of classes in such pairs are shuffled, one text for each class.
+    Only texts of classes in such pairs are shuffled. Pairs are dealt into blocks by a hash of either end, about BLOCK_PAIRS in
+    each, and a text goes once to each block that needs it, however many pairs it has there.
     """
     some = classes.select("id", "sketch")
     both = pairs.join(some.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(some.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("sa", "sb"))
+            sa, sb = (grid(batch.column(c).to_pylist()) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= AGREE))
 
     close = materialize(both.mapInArrow(likely, "a long, b long"), "close")
     ends = materialize(close.select(F.col("a").alias("id")).unionAll(close.select("b")).distinct(), "ends")
     texts = materialize(docs.where(may_hold(ends)).join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
-    sized = close.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+    parts = max(1, math.isqrt(close.count() // BLOCK_PAIRS))
+    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(parts))
+    blocked = close.withColumns({"p": bucket("a"), "q": bucket("b")})
+    needed = blocked.select("p", "q", F.col("a").alias("id")).unionAll(blocked.select("p", "q", F.col("b").alias("id"))).distinct()
 
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), {}
+    def holds(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        hashes, made = WordHashes(), {}
+        for i, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist()):
+            made.setdefault(i, []).append(shingles(text, hashes))
 
-        def made(i: int, text: str) -> np.ndarray:
-            if (i, text) not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[i, text] = shingles(text, hashes)
-            return last[i, text]
+        def similar(x: np.ndarray, y: np.ndarray) -> bool:
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            same = int((y[at] == x).sum()) if len(y) else 0
+            return 100 * same >= percent * (len(x) + len(y) - same)
 
-        for batch in batches:
-            good = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
-                x, y = made(a, ta), made(b, tb)
-                same = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        good = [any(similar(x, y) for x in made.get(a, ()) for y in made.get(b, ())) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
+        return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(sized.mapInArrow(holds, "a long, b long").distinct(), "links")
+    placed = needed.join(texts, "id").select(F.col("p").alias("tp"), F.col("q").alias("tq"), "id", "text")
+    linked = blocked.groupBy("p", "q").cogroup(placed.groupBy("tp", "tq")).applyInArrow(holds, "a long, b long")
+    return materialize(linked.distinct(), "links")
 
 
-def centres(nodes: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
+def centres(nodes: DataFrame, classes: DataFrame, small: int = CENTRAL) -> DataFrame:
     """(node, a): the class that the others of a node are held against.
 
     Of a small node the smallest id; of a large one the class that agrees best with the tokens that most of about 64 of its
@@ -227,13 +236,13 @@ def centres(nodes: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFra
         for batch in batches:
             out = []
             for some in batch.column("some").to_pylist():
-                grid = np.frombuffer(b"".join(some), np.uint8).reshape(-1, TOKENS)
-                out.append(bytes(int(np.bincount(grid[:, c]).argmax()) for c in range(TOKENS)))
+                some = grid(some)
+                out.append(bytes(int(np.bincount(some[:, c]).argmax()) for c in range(SKETCH)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "usual"])
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("sketch", "usual"))
+            x, y = (grid(batch.column(c).to_pylist()) for c in ("sketch", "usual"))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), pa.array((x == y).sum(axis=1), pa.int64())], ["node", "id", "agree"])
 
     held = large.join(few.mapInArrow(usual, "node long, usual binary"), "node").select("node", "id", "sketch", "usual").mapInArrow(agreeing, "node long, id long, agree long")
@@ -257,15 +266,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return labels
 
 
-def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, small: int = SMALL) -> DataFrame:
+def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Candidate pairs between different components within a node, as (a, b).
 
-    A node is cut into chunks of about ``small``; classes outside its most common component also visit all other chunks.
+    A node is cut into chunks of about ``chunk``; classes outside its most common component also visit all other chunks.
     """
     named = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi").select("node", "main")
     rows = materialize(named.join(mixed, "node"), "mixed")
-    chunks = F.ceil(F.col("n") / small).cast("int")
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("id", "node"), chunks)
     placed = rows.withColumn("chunk", F.explode(F.when((F.col("component") == F.col("main")) | (chunks <= 1), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))).withColumn("own", own == F.col("chunk"))
     placed = placed.join(classes.select("id", "sketch"), "id")
@@ -277,9 +286,11 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, small: int =
             for members in batch.column("members").to_pylist():
                 ids = np.array([m["id"] for m in members], np.int64)
                 comp = np.array([m["component"] for m in members], np.int64)
-                sig = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, TOKENS)
+                all_bytes = grid([m["sketch"] for m in members])
+                first = np.ascontiguousarray(all_bytes[:, :TOKENS])
                 for i in np.flatnonzero([m["own"] for m in members]).tolist():
-                    near = np.flatnonzero(((sig == sig[i]).sum(axis=1) >= AGREE) & (comp != comp[i]))
+                    near = np.flatnonzero(((first == first[i]).sum(axis=1) >= FIRST_AGREE) & (comp != comp[i]))
+                    near = near[(all_bytes[near] == all_bytes[i]).sum(axis=1) >= AGREE]
                     a_out.append(np.minimum(ids[i], ids[near]))
                     b_out.append(np.maximum(ids[i], ids[near]))
             flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
@@ -288,17 +299,17 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, small: int =
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
     """A row for each row of ``docs``: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(sets(texts, id_col="id"), "signatures")
     classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     nodes = leaves(classes.select("id", "sig"), trees=trees, small=small)
-    middle = materialize(centres(nodes, classes, small), "centres")
+    middle = materialize(centres(nodes, classes), "centres")
     first = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = confirmed(first, classes, texts, percent)
     labels = components(links)
-    rest = confirmed(across(nodes, classes, labels, small), classes, texts, percent)
+    rest = confirmed(across(nodes, classes, labels, chunk), classes, texts, percent)
     if not rest.isEmpty():
         labels = components(links.unionAll(rest))
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
