@@ -250,20 +250,23 @@ def centres(nodes: DataFrame, classes: DataFrame, small: int = CENTRAL) -> DataF
     return least.unionAll(best)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component) of every id in ``links``: the smallest id reachable. Labels fall to the least neighbour's and then jump
-    to their label's label; each round is written, and rounds end when nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of every id in ``links``: the smallest id reachable. In each round an id and the owner of its label take
+    the least label of the labels of its neighbours, if less, and labels jump to their label's label; each round is written.
+    Rounds end when nothing changes, and then every label is its component's least id: they only fall, and neighbours' are equal."""
     edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        lower = labels.join(near, "id").select("id", F.least("component", "m").alias("c"), F.col("component").alias("was"))
-        up = labels.select(F.col("id").alias("c"), F.col("component").alias("jump"))
-        new = materialize(lower.join(up, "c", "left").select("id", F.least("c", F.coalesce("jump", "c")).alias("component"), "was"), "labels")
+    while True:
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+        far = labels.join(up, "component")
+        near = edges.join(far.select(F.col("id").alias("b"), "jump"), "b").groupBy(F.col("a").alias("id")).agg(F.min("jump").alias("m"))
+        found = far.join(near, "id")
+        own = found.select("id", F.least("jump", "m").alias("c"), F.col("component").alias("was"))
+        hooks = found.where("m < jump").groupBy(F.col("component").alias("id")).agg(F.min("m").alias("c")).withColumn("was", F.lit(None).cast("long"))
+        new = materialize(own.unionAll(hooks).groupBy("id").agg(F.min("c").alias("component"), F.max("was").alias("was")), "labels")
         labels = new.select("id", "component")
         if new.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -149,6 +149,13 @@ def test_near_duplicates(spark, odd, empty):
     assert similarity.near_duplicates(empty).count() == similarity.one_of_each(empty).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    order = RANDOM.sample(range(10_000), 500)
+    links = spark.createDataFrame([*zip(order, order[1:]), (20_001, 20_000)], "a long, b long")
+    got = {r.id: r.component for r in similarity.components(links).collect()}
+    assert got == {i: min(order) for i in order} | {20_000: 20_000, 20_001: 20_000}
+
+
 def test_decontamination(spark, odd, empty):
     phrase = "the quick brown fox jumps over the lazy dog again and again"
     docs = spark.createDataFrame([(1, f"xx {phrase.upper()}! {phrase}"), (2, "the quick brown fox jumps over the lazy cat"), (3, None), (4, "tiny one"), (5, "a tiny  ONE, b"), (5, "a tiny  ONE, b")], "doc_id long, text string")
