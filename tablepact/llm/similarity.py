@@ -9,10 +9,11 @@ branch again, down to ``DEPTH``.
 
 Leaves yield links in two steps, and neither makes all pairs of a group. First every class of a node is held against one
 class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold two or more components
-are compared exhaustively, and only across components. Nodes of more than ``CHUNK`` that remain are cut into chunks, and every
-class outside the node's most common component visits each chunk. So a group of thousands of near copies costs a number
-of comparisons in proportion to its size, and no pair of components that meets in a node is passed over. Links are
-confirmed on full sets, made again from the texts.
+are compared exhaustively, and only across components. Nodes of more than ``CHUNK`` that remain are dealt as pairs of chunks, so
+that no group holds more than about ``CHUNK`` classes; pairs of chunks of the node's most common component are left out. So a
+group of thousands of near copies costs a number of comparisons in proportion to its size, one of alike but unlinked texts the
+square of its size in bounded groups, and no pair of components that meets in a node is passed over. Links are confirmed on full
+sets, made again from the texts.
 
 Null texts, and texts without words, have an empty set and no links. Repeated rows of an id and text collapse into one class
 and come back as often as they came in. Rows with a null id are a class by text like others and are never a component's id
@@ -41,7 +42,7 @@ TOKENS, TREES, DEPTH, SMALL = 64, 10, 6, 512
 #: Bytes of a sketch, the first of them from the tokens. Pairs whose sketches agree in fewer than AGREE bytes aren't confirmed: 4.5
 #: standard deviations below what the threshold gives, chance agreement counted. FIRST_AGREE of the first TOKENS bytes are looked at before the others.
 SKETCH, AGREE, FIRST_AGREE = 512, 400, 40
-#: Nodes of more classes are held against a central class; larger groups than CHUNK are compared in chunks.
+#: Nodes of more classes are held against a central class; larger groups than CHUNK are compared as pairs of chunks.
 CENTRAL, CHUNK = 64, 2048
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
@@ -269,37 +270,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Candidate pairs between different components within a node, as (a, b).
+def dealt(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(node, i, j, members) of nodes that hold several components: what is compared with each other, about ``chunk`` members.
 
-    A node is cut into chunks of about ``chunk``; classes outside its most common component also visit all other chunks.
+    Nodes of at most ``chunk`` are one group. Of larger ones the classes of the most common component and the others are cut
+    into chunks of half that, and each pair of chunks i <= j is a group, but for two of the most common component. A member has
+    its own chunk's number, and all mixed nodes that it is in.
     """
     named = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi").select("node", "main")
-    rows = materialize(named.join(mixed, "node"), "mixed")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("id", "node"), chunks)
-    placed = rows.withColumn("chunk", F.explode(F.when((F.col("component") == F.col("main")) | (chunks <= 1), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))).withColumn("own", own == F.col("chunk"))
-    placed = placed.join(classes.select("id", "sketch"), "id")
-    groups = placed.groupBy("node", "chunk").agg(F.collect_list(F.struct("id", "component", "own", "sketch")).alias("members"))
+    each = named.groupBy("node", "component").agg(F.count("*").alias("k"))
+    mixed = each.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("main")).where("kinds > 1").select("node", "size", "main")
+    rows = materialize(named.join(mixed, "node").select("node", "id", "component", "size", "main"), "mixed")
+    half = max(1, chunk // 2)
+    common, large = F.col("component") == F.col("main.component"), F.col("size") > chunk
+    others, commons = (F.ceil(n / half) for n in (F.col("size") - F.col("main.k"), F.col("main.k")))
+    spot = lambda n: F.pmod(F.xxhash64("id", "node"), n)
+    own = F.when(~large, F.lit(0)).when(common, others + spot(commons)).otherwise(spot(others)).cast("long")
+    partners = F.when(~large, F.lit(1)).when(common, others).otherwise(others + commons).cast("long")
+    placed = rows.withColumns({"own": own, "partners": partners}).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partners") - 1)))
+    placed = placed.select("node", "id", "component", "own", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"))
+    held = rows.groupBy("id").agg(F.collect_list("node").alias("nodes")).join(classes.select("id", "sketch"), "id")
+    return placed.join(held, "id").groupBy("node", "i", "j").agg(F.collect_list(F.struct("id", "component", "own", "sketch", "nodes")).alias("members"))
+
+
+def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Candidate pairs between different components within a node, as (a, b). A pair comes from the least of its mixed nodes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_out, b_out = [], []
-            for members in batch.column("members").to_pylist():
-                ids = np.array([m["id"] for m in members], np.int64)
-                comp = np.array([m["component"] for m in members], np.int64)
-                all_bytes = grid([m["sketch"] for m in members])
-                first = np.ascontiguousarray(all_bytes[:, :TOKENS])
-                for i in np.flatnonzero([m["own"] for m in members]).tolist():
-                    near = np.flatnonzero(((first == first[i]).sum(axis=1) >= FIRST_AGREE) & (comp != comp[i]))
-                    near = near[(all_bytes[near] == all_bytes[i]).sum(axis=1) >= AGREE]
-                    a_out.append(np.minimum(ids[i], ids[near]))
-                    b_out.append(np.maximum(ids[i], ids[near]))
+            for node, i, j, members in zip(*(batch.column(c) for c in ("node", "i", "j", "members"))):
+                node, (ids, comp, own, sketches, held) = node.as_py(), members.values.flatten()
+                ids, comp, own = (x.to_numpy() for x in (ids, comp, own))
+                all_bytes = grid(sketches.to_pylist())
+                first, sets = np.ascontiguousarray(all_bytes[:, :TOKENS]), {}
+                left, right = np.flatnonzero(own == i.as_py()), np.flatnonzero(own == j.as_py())
+                for at, k in enumerate(left.tolist()):
+                    near = right[at + 1 :] if i == j else right
+                    near = near[((first[near] == first[k]).sum(axis=1) >= FIRST_AGREE) & (comp[near] != comp[k])]
+                    near = near[(all_bytes[near] == all_bytes[k]).sum(axis=1) >= AGREE]
+                    for m in (k, *near.tolist()) if len(near) else ():
+                        if m not in sets:
+                            sets[m] = set(held[m].as_py())
+                    near = near[np.fromiter((min(sets[k] & sets[m]) == node for m in near.tolist()), bool, len(near))]
+                    a_out.append(np.minimum(ids[k], ids[near]))
+                    b_out.append(np.maximum(ids[k], ids[near]))
             flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
             yield pa.RecordBatch.from_arrays([flat(a_out), flat(b_out)], ["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return dealt(nodes, classes, labels, chunk).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:

@@ -156,6 +156,24 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: min(order) for i in order} | {20_000: 20_000, 20_001: 20_000}
 
 
+def test_unlinked_nodes_are_dealt_in_bounded_groups(spark):
+    random, n, chunk = np.random.default_rng(3), 300, 32
+    base, sketches = random.integers(0, 256, similarity.SKETCH, dtype=np.uint8), []
+    for _ in range(n):
+        sketch = base.copy()
+        sketch[random.choice(similarity.SKETCH, random.integers(0, 110), replace=False)] = random.integers(0, 256)
+        sketches.append(sketch)
+    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sketches)], "id long, sketch binary")
+    nodes = spark.createDataFrame([(7, i, n) for i in range(n)] + [(-5, i, 40) for i in range(40)], "node long, id long, n long")
+    for linked in (2, 200):
+        labels = spark.createDataFrame([(i, 0) for i in range(linked)], "id long, component long")
+        groups = similarity.dealt(nodes, classes, labels, chunk).select(F.size("members").alias("n")).collect()
+        assert max(g.n for g in groups) <= 2 * chunk
+        alike = lambda x, y: (x == y).sum() >= similarity.AGREE and (x == y)[: similarity.TOKENS].sum() >= similarity.FIRST_AGREE
+        want = [(i, j) for i in range(n) for j in range(max(i + 1, linked if i < linked else 0), n) if alike(sketches[i], sketches[j])]
+        assert want and sorted(map(tuple, similarity.across(nodes, classes, labels, chunk).collect())) == want
+
+
 def test_decontamination(spark, odd, empty):
     phrase = "the quick brown fox jumps over the lazy dog again and again"
     docs = spark.createDataFrame([(1, f"xx {phrase.upper()}! {phrase}"), (2, "the quick brown fox jumps over the lazy cat"), (3, None), (4, "tiny one"), (5, "a tiny  ONE, b"), (5, "a tiny  ONE, b")], "doc_id long, text string")
