@@ -28,8 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return similarity.one_of_each(docs.select(*COLUMNS))
+    """The document with the smallest id of each group of near copies, whose shingles are alike by 80 percent at least."""
+    return similarity.one_of_each(docs.select(*COLUMNS), percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join, and their components.
 
 A document's set holds its distinct five-word shingles. Documents with equal sets are one class and are represented by
-their smallest id. Each class gets a signature of minwise tokens. In each of ``TREES`` independent trees a node picks a few
-coordinates of the signature, 1 / threshold of them on average, by a hash of the path that led to it; a class goes on to the
+their smallest id. Each class gets a signature of minwise tokens. In each of several independent trees a node picks a few
+coordinates of the signature, 1 / threshold of them on average (``trees_of`` says how many trees), by a hash of the path that led to it; a class goes on to the
 child named by its token there. A pair as similar as the threshold so keeps at least one common child on average at any
 depth, while classes unlike each other part. Nodes of one class end; nodes of at most ``SMALL`` are leaves; larger ones
 branch again, down to ``DEPTH``.
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 from .common import materialize, sliced, small_batches
 
 WORDS = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union.
 PERCENT = 85
-TOKENS, TREES, DEPTH, SMALL = 64, 10, 6, 512
-#: Bytes of a sketch, the first of them from the tokens. Pairs whose sketches agree in fewer than AGREE bytes aren't confirmed: 4.5
-#: standard deviations below what the threshold gives, chance agreement counted. FIRST_AGREE of the first TOKENS bytes are looked at before the others.
-SKETCH, AGREE, FIRST_AGREE = 512, 400, 40
+TOKENS, DEPTH, SMALL = 64, 6, 512
+#: Share of pairs at the threshold that no tree may bring together.
+MISSED = 4.2e-4
+#: Bytes of a sketch, the first of them from the tokens.
+SKETCH = 512
 #: Nodes of more classes are held against a central class; larger groups than CHUNK are compared as pairs of chunks.
 CENTRAL, CHUNK = 64, 2048
 SLICE_BYTES = 4 << 20
@@ -49,6 +50,30 @@ REMEMBERED = 400_000
 BLOCK_PAIRS = 4000
 
 
+def more_often(percent: int) -> float:
+    """How often a node picks a second coordinate, so that it picks 100 / percent on average."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
+    return (100 - percent) / percent
+
+
+def trees_of(percent: int, depth: int = DEPTH) -> int:
+    """The trees that bring all but ``MISSED`` of pairs at the threshold together, were every node to branch down to ``depth``."""
+    meets, often = 1.0, more_often(percent)
+    for _ in range(depth):
+        common = meets * percent / 100
+        meets = 1 - (1 - often) * (1 - common) - often * (1 - common) ** 2
+    return 1 if meets >= 1 else math.ceil(math.log(MISSED) / math.log(1 - meets))
+
+
+def least_agreeing(percent: int) -> tuple[int, int]:
+    """Bytes of a whole sketch, and of its first ``TOKENS``, that must agree for a pair to be confirmed: 4.5 and 5 standard
+    deviations below what the threshold gives, chance agreement counted. The first are looked at before the others."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    below = lambda n, z: n * p - z * math.sqrt(n * p * (1 - p))
+    return math.ceil(below(SKETCH, 4.5)), math.floor(below(TOKENS, 5))
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
@@ -115,8 +140,9 @@ def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return base.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
-def branch(rows: DataFrame, *, roots: int = 0) -> DataFrame:
+def branch(rows: DataFrame, *, roots: int = 0, percent: int = PERCENT) -> DataFrame:
     """(node, id, sig) one level down; with ``roots``, rows have no node and start in that many trees."""
+    often = int(10_000 * more_often(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_nodes = mix(np.arange(1, roots + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9))
@@ -129,7 +155,7 @@ def branch(rows: DataFrame, *, roots: int = 0) -> DataFrame:
             for node, row in starts:
                 h = mix(node)
                 first = (h % np.uint64(TOKENS)).astype(np.int64)
-                more = np.flatnonzero((h >> np.uint64(20)) % np.uint64(10_000) < np.uint64(10_000 * (100 - PERCENT) // PERCENT))
+                more = np.flatnonzero((h >> np.uint64(20)) % np.uint64(10_000) < np.uint64(often))
                 second = (first + 1 + ((h >> np.uint64(40)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
                 for c, r in ((first, row), (second[more], row[more])):
                     token = sig[r, c]
@@ -142,10 +168,10 @@ def branch(rows: DataFrame, *, roots: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "node long, id long, sig binary")
 
 
-def leaves(classes: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+def leaves(classes: DataFrame, *, trees: int | None = None, depth: int = DEPTH, small: int = SMALL, percent: int = PERCENT) -> DataFrame:
     """(node, id, n) of all leaves of all trees, written level by level. Signatures aren't carried along with nodes."""
     out = None
-    rows = branch(classes, roots=trees)
+    rows = branch(classes, roots=trees or trees_of(percent, depth), percent=percent)
     for level in range(1, depth + 1):
         rows = materialize(rows.select("node", "id"), "nodes")
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -158,7 +184,7 @@ def leaves(classes: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small:
         large = materialize(rows.join(counts.where(F.col("n") > small).select("node"), "node", "left_semi"), "large")
         if large.isEmpty():
             break
-        rows = branch(large.join(classes, "id").select("node", "id", "sig"))
+        rows = branch(large.join(classes, "id").select("node", "id", "sig"), percent=percent)
     return materialize(out, "leaves")
 
 
@@ -188,13 +214,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     Only texts of classes in such pairs are shuffled. Pairs are dealt into blocks by a hash of either end, about BLOCK_PAIRS in
     each, and a text goes once to each block that needs it, however many pairs it has there.
     """
-    some = classes.select("id", "sketch")
+    some, (agree, _) = classes.select("id", "sketch"), least_agreeing(percent)
     both = pairs.join(some.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(some.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (grid(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= AGREE))
+            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= agree))
 
     close = materialize(both.mapInArrow(likely, "a long, b long"), "close")
     ends = materialize(close.select(F.col("a").alias("id")).unionAll(close.select("b")).distinct(), "ends")
@@ -293,8 +319,9 @@ def dealt(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int =
     return placed.join(held, "id").groupBy("node", "i", "j").agg(F.collect_list(F.struct("id", "component", "own", "sketch", "nodes")).alias("members"))
 
 
-def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs between different components within a node, as (a, b). A pair comes from the least of its mixed nodes only."""
+    agree, first_agree = least_agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +334,8 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int =
                 left, right = np.flatnonzero(own == i.as_py()), np.flatnonzero(own == j.as_py())
                 for at, k in enumerate(left.tolist()):
                     near = right[at + 1 :] if i == j else right
-                    near = near[((first[near] == first[k]).sum(axis=1) >= FIRST_AGREE) & (comp[near] != comp[k])]
-                    near = near[(all_bytes[near] == all_bytes[k]).sum(axis=1) >= AGREE]
+                    near = near[((first[near] == first[k]).sum(axis=1) >= first_agree) & (comp[near] != comp[k])]
+                    near = near[(all_bytes[near] == all_bytes[k]).sum(axis=1) >= agree]
                     for m in (k, *near.tolist()) if len(near) else ():
                         if m not in sets:
                             sets[m] = set(held[m].as_py())
@@ -321,17 +348,17 @@ def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int =
     return dealt(nodes, classes, labels, chunk).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int | None = None, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
     """A row for each row of ``docs``: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(sets(texts, id_col="id"), "signatures")
     classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
-    nodes = leaves(classes.select("id", "sig"), trees=trees, small=small)
+    nodes = leaves(classes.select("id", "sig"), trees=trees, small=small, percent=percent)
     middle = materialize(centres(nodes, classes), "centres")
     first = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = confirmed(first, classes, texts, percent)
     labels = components(links)
-    rest = confirmed(across(nodes, classes, labels, chunk), classes, texts, percent)
+    rest = confirmed(across(nodes, classes, labels, chunk, percent), classes, texts, percent)
     if not rest.isEmpty():
         labels = components(links.unionAll(rest))
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))

@@ -169,11 +169,32 @@ def test_unlinked_nodes_are_dealt_in_bounded_groups(spark):
         labels = spark.createDataFrame([(i, 0) for i in range(linked)], "id long, component long")
         groups = similarity.dealt(nodes, classes, labels, chunk).select(F.size("members").alias("n")).collect()
         assert max(g.n for g in groups) <= 2 * chunk
-        alike = lambda x, y: (x == y).sum() >= similarity.AGREE and (x == y)[: similarity.TOKENS].sum() >= similarity.FIRST_AGREE
+        agree, first_agree = similarity.least_agreeing(similarity.PERCENT)
+        alike = lambda x, y: (x == y).sum() >= agree and (x == y)[: similarity.TOKENS].sum() >= first_agree
         want = [(i, j) for i in range(n) for j in range(max(i + 1, linked if i < linked else 0), n) if alike(sketches[i], sketches[j])]
         assert want and sorted(map(tuple, similarity.across(nodes, classes, labels, chunk).collect())) == want
 
 
+def test_near_copies_between_80_and_85_percent(spark):
+    import corpus_pipeline
+
+    assert (similarity.trees_of(85), similarity.least_agreeing(85)) == (10, (400, 40)) and similarity.trees_of(80) > 10
+    texts, want = [], set()
+    for k in range(40):
+        base = words(304, 5000).split()
+        copy = list(base)
+        for at in range(9, 9 + 6 * (5 + k % 2), 6):
+            copy[at] = "edit"
+        x, y = ({tuple(w[i : i + 5]) for i in range(300)} for w in (base, copy))
+        assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+        texts += [" ".join(base), " ".join(copy)]
+        want.add(2 * k)
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+    got = similarity.near_duplicates(docs, percent=80, small=4).collect()
+    assert {r.doc_id for r in got if r.kept} == want
+
+
 def test_decontamination(spark, odd, empty):
     phrase = "the quick brown fox jumps over the lazy dog again and again"
     docs = spark.createDataFrame([(1, f"xx {phrase.upper()}! {phrase}"), (2, "the quick brown fox jumps over the lazy cat"), (3, None), (4, "tiny one"), (5, "a tiny  ONE, b"), (5, "a tiny  ONE, b")], "doc_id long, text string")
