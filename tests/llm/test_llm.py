@@ -223,6 +223,21 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_branches(spark):
+    rows = [(i, f"http://h.io/news/{i}", 0) for i in range(1000)] + [(2000 + i, f"http://h.io/spam/{c}/{i}", 1) for i, c in enumerate("abcdefghijklmno")] + [(3000, "http://h.io/spam/other/1", None), (3001, "http://h.io/news/x/y", None)]
+    for i in range(20):  # below the fourth level
+        rows += [(4000 + i, f"http://deep.io/a/b/c/d/e/bad/{i}", 1), (5000 + i, f"http://deep.io/a/b/c/d/e/good/{i}", 0)]
+    # a good section doesn't hide the others of its branch
+    rows += [(6000 + i, f"http://k.io/spam/{c}/{i}", 1) for i, c in enumerate("abcdefghijklmno")] + [(7000 + i, f"http://k.io/spam/fine/{i}", 0) for i in range(40)] + [(8000 + i, f"http://k.io/news/{i}", 0) for i in range(1000)]
+    rows += [(9000, "http://deep.io/a/b/c/d/e/bad/1", None), (9001, "http://deep.io/a/b/c/d/e/good/1", None), (9002, "http://k.io/spam/other/1", None), (9003, "http://k.io/spam/fine/99", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in urls.filter_urls(df.select("page_id", "url"), df.where("bad is not null").select("page_id", "bad")).collect()}
+    assert len(got) == len(rows) and got[3000].template == "/spam/other/<n>" and got[9000].template == "/a/b/c/d/e/bad/<n>"
+    assert abs(got[3000].purity - 0.66) < 0.01
+    blocked = {i for i, r in got.items() if r.verdict == "block"}
+    assert blocked == {i for i, _, bad in rows if bad} | {3000, 9000, 9002}
+
+
 def test_language(spark, odd, empty):
     rows = [(i, " ".join(RANDOM.choice(pool) for _ in range(60)), lang) for i in range(60) for lang, pool in [("aa", ["kolo", "tama", "baro"]), ("bb", ["schwer", "ächt", "grün"])]]
     model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
