@@ -14,7 +14,7 @@ SEPARATOR = {"pipeDelimited": r"[|]", "spaceDelimited": " "}
 
 
 def cookie_pairs(header: Column) -> Column:
-    return pairs(F.regexp_replace(header, r";\s*", ";"), ";", MAX_COOKIES)
+    return pairs(F.regexp_replace(header, r";\s*", ";"), ";")
 
 
 def header_value(headers: Column, name: str) -> Column:
@@ -35,7 +35,7 @@ def split_style(raw: Column, style: str, explode: bool, name: str) -> Column:
     if style == "matrix":
         body = F.regexp_replace(raw, rf"^;\Q{name}\E=", "")
         return F.split(body, rf";\Q{name}\E=") if explode else F.split(body, ",")
-    return F.transform(F.split(raw, SEPARATOR.get(style, ",")), F.trim)
+    return F.transform(F.split(raw, SEPARATOR.get(style, ",")), lambda x: F.trim(x))
 
 
 def scalar_style(raw: Column, style: str, name: str) -> Column:
@@ -49,6 +49,20 @@ def kinds_of(schema) -> list[str]:
     return k if isinstance(k, list) else [k]
 
 
+def too_many_items(p: dict, schema, message: dict[str, Column], regex: str, names: list[str]) -> Column:
+    """Whether an array that is written as one value has more than ``MAX_ITEMS`` items; those of many pairs are held by the limits of pairs."""
+    place, name = p["in"], p["name"]
+    style = p.get("style", STYLE.get(place, "form"))
+    explode = p.get("explode", style in ("form", "deepObject"))
+    if "array" not in kinds_of(schema) or style == "deepObject" or place in ("query", "cookie") and explode:
+        return F.lit(False)
+    if place in ("query", "cookie"):
+        raw = F.get(values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name), F.lit(0))
+    else:
+        raw = header_value(message["headers"], name) if place == "header" else path_value(message["path"], regex, names.index(name)) if name in names else F.lit(None).cast("string")
+    return F.coalesce(F.size(split_style(raw, style, explode, name)) > MAX_ITEMS, F.lit(False))
+
+
 def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, names: list[str], coerce: bool = True) -> Column:
     """JSON text of a parameter's value; null where it is absent. ``message`` has path, query, headers, cookie."""
     place, name = p["in"], p["name"]
@@ -57,7 +71,7 @@ def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, name
     kinds = kinds_of(schema)
     items = kinds_of(schema.get("items", {})) if isinstance(schema, dict) else []
     scalar = lambda s, ks: coerce_json(s, ks) if coerce else quoted(s)
-    listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(F.slice(a, 1, MAX_ITEMS), lambda x: scalar(x, items)), ","), F.lit("]"))
+    listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: scalar(x, items)), ","), F.lit("]"))
     if place == "query" and style == "deepObject":
         found = deep_object(pairs(message["query"]), name)
         props = schema.get("properties", {}) if isinstance(schema, dict) else {}

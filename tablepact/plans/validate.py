@@ -87,14 +87,16 @@ def request_violations(contract: Contract, *, coerce: bool = True, security: boo
                 text = parameters.parameter_json(p, schema, message, op.regex, op.path_names, coerce)
                 found = compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"{place}/{p['name']}"))
                 missing = _says("parameter", f"{place}/{p['name']}", "is missing") if p.get("required") else none()
-                parts.append(F.when(text.isNull(), missing).otherwise(found))
+                over = parameters.too_many_items(p, schema, message, op.regex, op.path_names)
+                parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found))
         body = contract.deref(op.definition.get("requestBody") or {})
         if body:
             parts.append(body_violations(contract, compiler, body, F.col("body"), F.col("content_type"), required=bool(body.get("required"))))
         if security:
             parts.append(F.when(routing.secure(contract, op.definition.get("security"), message), none()).otherwise(_says("security", "", "no security requirement holds")))
         made = made.when(route == i, _joined(parts))
-    return route, made.otherwise(none())
+    over = [F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in (("query", decoders.too_many_pairs(message["query"])), ("cookie", decoders.too_many_pairs(message["cookie"], ";", parameters.MAX_COOKIES)))]
+    return route, _joined([*over, made.otherwise(none())])
 
 
 def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Column, content_type: Column, *, required: bool) -> Column:
@@ -113,7 +115,7 @@ def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Co
         else:
             schema = contract.schema(media.get("schema") or {})
             value = F.try_parse_json(decoders.body_json(body, content_type, xml=name in ("application/xml", "text/xml")))
-            found = F.when(value.isNull(), _says("json", "body", "is not JSON")).otherwise(compiler.violations(schema, Variant(value), F.lit("body")))
+            found = F.when(decoders.too_many_parts(body, content_type), _says("parts", "body", "has too many parts")).when(value.isNull(), _says("json", "body", "is not JSON")).otherwise(compiler.violations(schema, Variant(value), F.lit("body")))
         made = made.when(hit, found)
     return made.otherwise(_says("mediaType", "body", "media type isn't supported") if compiler.mode == "request" else none())
 
@@ -140,9 +142,11 @@ def validate_responses(df: DataFrame, contract: Contract) -> DataFrame:
                 header = contract.deref(header)
                 schema = contract.schema(header.get("schema") or {})
                 raw = parameters.header_value(F.col("response_headers"), name)
-                text = parameters.parameter_json({"in": "header", "name": name}, schema, {"headers": F.col("response_headers")}, "", [])
+                place, headers = {"in": "header", "name": name}, {"headers": F.col("response_headers")}
+                text = parameters.parameter_json(place, schema, headers, "", [])
+                over = parameters.too_many_items(place, schema, headers, "", [])
                 missing = _says("header", f"header/{name}", "is missing") if header.get("required") else none()
-                parts.append(F.when(raw.isNull(), missing).otherwise(compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"header/{name}"))))
+                parts.append(F.when(raw.isNull(), missing).when(over, _says("items", f"header/{name}", "has too many items")).otherwise(compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"header/{name}"))))
             if response.get("content"):
                 parts.append(body_violations(contract, compiler, response, F.col("body"), F.col("content_type"), required=False))
             one = one.when(key == (status if status == "default" else status.upper()), _joined(parts))

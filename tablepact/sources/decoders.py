@@ -44,12 +44,17 @@ def decode_url(s: Column) -> Column:
     return F.coalesce(F.try_url_decode(s), s)
 
 
-def pairs(query: Column, separator: str = "&", limit: int = MAX_PAIRS) -> Column:
-    """Decoded (name, value) in order; a part without ``=`` has an empty value."""
-    parts = F.slice(F.filter(F.split(F.coalesce(query, F.lit("")), separator), lambda p: p != ""), 1, limit)
+def pairs(query: Column, separator: str = "&") -> Column:
+    """Decoded (name, value) in order; a part without ``=`` has an empty value. All of them: ``too_many_pairs`` tells of more than allowed."""
+    parts = F.filter(F.split(F.coalesce(query, F.lit("")), separator), lambda p: p != "")
     return F.transform(parts, lambda p: F.struct(decode_url(F.substring_index(p, "=", 1)).alias("name"), decode_url(F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("value")))
 
 
+def too_many_pairs(query: Column, separator: str = "&", limit: int = MAX_PAIRS) -> Column:
+    """Empty parts count."""
+    return F.coalesce(F.size(F.split(query, separator)) > limit, F.lit(False))
+
+
 def values_of(found: Column, name: str) -> Column:
     """All values of a name, also written ``name[]``."""
     return F.transform(F.filter(found, lambda p: p["name"].isin(name, name + "[]")), lambda p: p["value"])
@@ -76,12 +81,17 @@ def quoted(s: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
 
 
-def multipart(body: Column, content_type: Column) -> Column:
-    """Parts as array<struct<headers: map, content>>; the boundary is the header's, or the first line's."""
+def sections(body: Column, content_type: Column) -> Column:
+    """What lies between the boundaries of a multipart body; the boundary is the header's, or the first line's."""
     boundary = F.regexp_extract(content_type, r'(?i)boundary="?([^";]+)"?', 1)
     mark = F.concat(F.lit("--"), F.when(boundary != "", boundary).otherwise(F.regexp_extract(body, r"^--([^\r\n]+)", 1)))
-    raw = F.filter(F.split(body, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E"))), lambda p: ~p.rlike(r"^(?:--)?\s*\z"))
-    chopped = F.transform(F.slice(raw, 1, MAX_PARTS), lambda p: F.regexp_replace(p, r"^\r?\n|\r?\n\z", ""))
+    return F.split(body, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E")))
+
+
+def multipart(body: Column, content_type: Column) -> Column:
+    """All parts as array<struct<headers: map, content>>."""
+    raw = F.filter(sections(body, content_type), lambda p: ~p.rlike(r"^(?:--)?\s*\z"))
+    chopped = F.transform(raw, lambda p: F.regexp_replace(p, r"^\r?\n|\r?\n\z", ""))
     head = lambda p: F.regexp_extract(p, r"(?s)^(.*?)\r?\n\r?\n", 1)
     lines = lambda p: F.filter(F.split(head(p), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
     names = lambda p: F.transform(lines(p), lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
@@ -91,7 +101,7 @@ def multipart(body: Column, content_type: Column) -> Column:
 
 def json_lines(body: Column) -> Column:
     """Texts of the non-blank lines; ``try_parse_json`` of one is null where it isn't JSON."""
-    return F.filter(F.transform(F.split(F.regexp_replace(body, "^" + BOM, ""), r"\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(body, "^" + BOM, ""), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_seq(body: Column) -> Column:
@@ -121,6 +131,13 @@ def records(body: Column, content_type: Column) -> Column:
     return F.when(m.isin("application/jsonl", "application/x-ndjson"), json_lines(body)).when(m == "application/json-seq", json_seq(body)).when(m == "text/event-stream", F.transform(server_events(body), event_json))
 
 
+def too_many_parts(body: Column, content_type: Column) -> Column:
+    """Of forms and multipart bodies; what precedes the first boundary and follows the last counts."""
+    m = media(content_type)
+    made = F.when(m == "application/x-www-form-urlencoded", too_many_pairs(body)).when(m == "multipart/form-data", F.size(sections(body, content_type)) > MAX_PARTS)
+    return F.coalesce(made, F.lit(False))
+
+
 def too_many(items: Column, limit: int = MAX_RECORDS) -> Column:
     return F.size(items) > limit
 

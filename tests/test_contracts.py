@@ -142,6 +142,34 @@ def test_requests(spark):
     assert [sorted(v.keyword for v in r.violations) for r in got] == [[], ["maximum"], ["parameter"], [], ["type"], [], [], ["readOnly", "required"], ["mediaType"], ["route"], ["security"]]
 
 
+def test_lines_are_trimmed_of_blanks_alone(spark):
+    assert spark.range(1).select(decoders.json_lines(F.lit("0\n 1 \n \n3\n")).alias("l")).first().l == ["0", "1", "3"]
+
+
+def test_parts_over_the_limits_are_told(spark):
+    many = "&".join(["a=1"] * 1000 + ["b=2"])
+    row = spark.createDataFrame([(many, "--B\r\n\r\nx\r\n" * 1001 + "--B--")], "q string, m string").select(
+        F.size(decoders.pairs(F.col("q"))).alias("n"), F.get(decoders.pairs(F.col("q")), F.lit(1000))["value"].alias("last"), F.size(decoders.multipart(F.col("m"), F.lit("multipart/form-data; boundary=B"))).alias("parts")
+    ).first()
+    assert tuple(row) == (1001, "2", 1001)
+    array = {"type": "array", "items": {"type": "integer"}, "maxItems": 5000}
+    c = Contract.of({"openapi": "3.1.0", "paths": {"/p": {"post": {
+        "parameters": [{"name": "ids", "in": "query", "explode": False, "schema": array}, {"name": "x-ids", "in": "header", "schema": array}],
+        "requestBody": {"content": {k: {"schema": {"type": ["object", "array"]}} for k in ("application/x-www-form-urlencoded", "multipart/form-data")}},
+        "responses": {"200": {"headers": {"x-ids": {"schema": array}}}},
+    }}}})
+    ids, form, parts = ",".join(["1"] * 1001), "application/x-www-form-urlencoded", "--B\r\n\r\nx\r\n" * 1001 + "--B--"
+    few = ",".join(["1"] * 1000)
+    rows = [
+        (many, {}, None, None, None), ("&".join(["a=1"] * 1000), {}, "; ".join(["c=1"] * 100), None, None), ("", {}, "; ".join(["c=1"] * 101), None, None), (f"ids={ids}", {}, None, None, None), (f"ids={few}", {"x-ids": [few]}, None, None, None),
+        ("", {"x-ids": [ids]}, None, None, None), ("", {}, None, form, many), ("", {}, None, form, "a=1"), ("", {}, None, "multipart/form-data; boundary=B", parts),
+    ]
+    got = plans.validate_requests(spark.createDataFrame([("POST", "/p", *r) for r in rows], REQUEST), c).collect()
+    assert [[(v.keyword, v.data_path) for v in r.violations] for r in got] == [[("pairs", "query")], [], [("pairs", "cookie")], [("items", "query/ids")], [], [("items", "header/x-ids")], [("parts", "body")], [], [("parts", "body")]]
+    sent = spark.createDataFrame([("POST", "/p", 200, {"x-ids": [x]}, None, None) for x in (few, ids)], "method string, path string, status int, response_headers map<string,array<string>>, content_type string, body string")
+    assert [[v.keyword for v in r.violations] for r in plans.validate_responses(sent, c).collect()] == [[], ["items"]]
+
+
 def test_responses(spark):
     c = Contract.from_text(PETS)
     rows = [("GET", "/pets", 200, {"x-n": ["3"]}, "application/json", '[{"name":"a"}]'), ("GET", "/pets", 200, {}, "application/json", "[{}]"), ("GET", "/pets", 404, {}, None, None), ("GET", "/pets", 500, {}, None, None), ("POST", "/pets", 201, {}, "application/jsonl", '{"name":"a"}\n{}\n{')]
