@@ -152,8 +152,7 @@ _sql["status_lookup"] = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list("props"), "\n").alias("body"))
-    each = body.select("user_id", F.explode(decoders.json_lines(F.col("body"))).alias("line"))
+    each = read(spark, sf_dir, "events").select("user_id", F.explode(decoders.json_lines(F.col("props"))).alias("line"))
     return each.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.try_variant_get(F.try_parse_json("line"), "$.k", "bigint")).alias("total"))
 
 
