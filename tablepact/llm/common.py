@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 _own_root: list[str] = []
 
 
@@ -25,23 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset, a local folder is made if there
+    is one machine only (tests); on a cluster that is an error, as executors wouldn't see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="tablepact-"))
         root = _own_root[0]
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: a batch of very long texts must fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -50,18 +49,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_path(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may have ended
+        return
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``tables``. All that is read from them must be written by then."""
+    for t in tables:
+        drop_path(t._scratch)
 
 
 def drop_scratch() -> None:
     """Delete every folder that ``materialize`` and ``scratch_path`` have given out; results that still read them must be written first."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may have ended
-            return
+    for path in list(_written):
+        drop_path(path)
 
 
 atexit.register(drop_scratch)

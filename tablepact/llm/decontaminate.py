@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, small_batches
+from .common import materialize, sliced
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -45,7 +45,6 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
     phrases and spans up to that many words are safe from running over into the next document.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     only = None
     if terms is not None:
         found = [bytes(r[0]) for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
@@ -162,7 +161,6 @@ class Shard:
 
 def windows(items: DataFrame, size: int = WINDOW, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct phrases (terms array<binary>, items array<string>) of all items."""
-    small_batches(items.sparkSession)
     base = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +183,6 @@ def search(index: DataFrame, phrases: DataFrame, *, block: int = BLOCK_PHRASES)
     row of the index by its hit positions.
     """
     spark = index.sparkSession
-    small_batches(spark, 1)
     n = phrases.count()
     blocks = max(1, -(-n // block))
     if blocks == 1:
@@ -238,7 +235,6 @@ def _block(index: DataFrame, shared, parts: bool) -> DataFrame:
 
 def proximity(index: DataFrame, terms: list[str], span: int) -> DataFrame:
     """doc_id, position (of a word in its document): the rarest of ``terms`` where all of them lie within ``span`` words."""
-    small_batches(index.sparkSession, 1)
     wanted = [w for t in terms for w in words_of(t)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

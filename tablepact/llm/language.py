@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, small_batches
+from .common import sliced
 
 BUCKETS = 1 << 15
 #: Fixed by design: rounds of EM, weight of evidence of overlapping trigrams, least proportion to be considered.
@@ -90,7 +90,6 @@ class LanguageModel:
 
 def learn(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
     """Trigram counts of every row with a language. What reaches the driver is bounded by languages times buckets."""
-    small_batches(docs.sparkSession)
     base = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,6 @@ def learn(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, lang_pred, score (proportion of that language), languages (map of the chosen set's proportions)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))

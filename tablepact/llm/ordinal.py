@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, small_batches, text_id
+from .common import materialize, sliced, text_id
 
 SAMPLE, ROUNDS = 20_000, 40
 SIZE = 1 << 13
@@ -131,7 +131,6 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, prior: np.ndarray | None = None, rate: float = 0.5) -> OrdinalModel:
     """Fit (grade double, index array<int>, value array<float>). Tasks sum gradients; the driver sees one vector for each task."""
     spark = rows.sparkSession
-    small_batches(spark)
     blocks = materialize(packed(rows.where("grade is not null and size(index) > 0").select("grade", "index", "value").coalesce(spark.sparkContext.defaultParallelism), size), "features")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +175,6 @@ def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, p
 
 
 def featured(docs: DataFrame, *, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
     base = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(keep)])
 
@@ -199,7 +197,6 @@ def train(docs: DataFrame, grades: DataFrame, *, limit: int = SAMPLE, rounds: in
 def grade_documents(docs: DataFrame, model: OrdinalModel, least: float, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, expected_grade, tail_probability of a grade of at least ``least``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))

@@ -7,17 +7,20 @@ child named by its token there. A pair as similar as the threshold so keeps at l
 depth, while classes unlike each other part. Nodes of one class end; nodes of at most ``SMALL`` are leaves; larger ones
 branch again, down to ``DEPTH``.
 
-Leaves yield links in two steps, and neither makes all pairs of a group. First every class of a node is held against one
-class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold two or more components
-are compared exhaustively, and only across components. Nodes of more than ``CHUNK`` that remain are dealt as pairs of chunks, so
-that no group holds more than about ``CHUNK`` classes; pairs of chunks of the node's most common component are left out. So a
-group of thousands of near copies costs a number of comparisons in proportion to its size, one of alike but unlinked texts the
-square of its size in bounded groups, and no pair of components that meets in a node is passed over. Links are confirmed on full
-sets, made again from the texts.
+Leaves yield links in two steps, and neither gives out all pairs of a group. First every class of a node is held against one
+class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold
+two or more components are compared exhaustively, and only across components: by sketches first, which leaves the classes
+that have a likely partner, and then these on their full sets, within the group. A group keeps track of the components that it
+has joined, and gives out those links alone that join two of them: fewer than it has members, however many pairs are alike.
+Nodes of more than ``CHUNK`` classes, or ``CHUNK_BYTES`` of sets, are dealt as pairs of chunks, so that no group holds more than
+about that; pairs of chunks of the node's most common component are left out. So a group of thousands of near copies costs a
+number of comparisons in proportion to its size, one of alike but unlinked texts the square of its size in bounded groups and
+with a linear result, and no pair of components that meets in a node is passed over. All links are confirmed on full sets, made
+again from the texts. What each step has written is deleted when the next one has been.
 
 Null texts, and texts without words, have an empty set and no links. Repeated rows of an id and text collapse into one class
 and come back as often as they came in. Rows with a null id are a class by text like others and are never a component's id
-unless all are null.
+unless all are null. Ids must be whole numbers; under ANSI mode others raise. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, small_batches
+from .common import discard, materialize, ragged, raw_text, sliced
 
 WORDS = 5
 #: Links have 100 * intersection >= percent * union.
@@ -42,9 +45,9 @@ TOKENS, DEPTH, SMALL = 64, 6, 512
 #: Share of pairs at the threshold that no tree may bring together.
 MISSED = 4.2e-4
 #: Bytes of a sketch, the first of them from the tokens.
-SKETCH = 512
+SKETCH = 256
 #: Nodes of more classes are held against a central class; larger groups than CHUNK are compared as pairs of chunks.
-CENTRAL, CHUNK = 64, 2048
+CENTRAL, CHUNK, CHUNK_BYTES = 64, 2048, 16 << 20
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
 BLOCK_PAIRS = 4000
@@ -117,13 +120,13 @@ def minwise(h: np.ndarray) -> tuple[bytes, bytes]:
     return out[:TOKENS].astype("<u4").tobytes(), out.astype(np.uint8).tobytes()
 
 
-def grid(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+def grid(sketches: pa.Array, width: int = SKETCH) -> np.ndarray:
+    """A row of bytes for each value of a binary array whose values are all ``width`` long."""
+    return raw_text(sketches)[0].reshape(-1, width)
 
 
 def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, set_key (of the whole set), sig and its sketch (binary); all null but n_shingles for empty sets."""
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +173,11 @@ def branch(rows: DataFrame, *, roots: int = 0, percent: int = PERCENT) -> DataFr
 
 def leaves(classes: DataFrame, *, trees: int | None = None, depth: int = DEPTH, small: int = SMALL, percent: int = PERCENT) -> DataFrame:
     """(node, id, n) of all leaves of all trees, written level by level. Signatures aren't carried along with nodes."""
-    out = None
+    out, written = None, []
     rows = branch(classes, roots=trees or trees_of(percent, depth), percent=percent)
     for level in range(1, depth + 1):
         rows = materialize(rows.select("node", "id"), "nodes")
+        written.append(rows)
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         last = level == depth
         sized = rows.join(counts, "node")
@@ -182,21 +186,26 @@ def leaves(classes: DataFrame, *, trees: int | None = None, depth: int = DEPTH,
         if last:
             break
         large = materialize(rows.join(counts.where(F.col("n") > small).select("node"), "node", "left_semi"), "large")
+        written.append(large)
         if large.isEmpty():
             break
         rows = branch(large.join(classes, "id").select("node", "id", "sig"), percent=percent)
-    return materialize(out, "leaves")
+    found = materialize(out, "leaves")
+    discard(*written)
+    return found
 
 
-#: Bits of the filter that spares texts of no candidate the shuffle; a full filter passes more, never less.
-FILTER_BITS = 1 << 23
+#: Bits for each id of the filter that spares texts of no candidate the shuffle, and the least and most of all. A full filter
+#: passes more texts to the join that follows, never fewer.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 27
 
 
 def may_hold(ids: DataFrame):
-    """A Column function of ids that is true for all of ``ids`` and few others. What reaches the driver is bounded by FILTER_BITS."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    """A Column function of ids that is true for all of ``ids`` and few others. What reaches the driver is bounded by FILTER_MOST."""
+    size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * ids.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("id"), F.lit(size))
     words = ids.select(F.shiftright(spot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(31).cast("long")).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits = np.zeros(size // 32, np.uint32)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
@@ -208,23 +217,35 @@ def may_hold(ids: DataFrame):
     return F.pandas_udf(held, "boolean")(spot)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the distinct ``ids``, which must be written; only their texts, and few others, are shuffled."""
+    return docs.where(may_hold(ids)).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+
+
+def alike(pairs: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
+    """Pairs (a, b) of which at least ``least`` of the first ``width`` bytes of the sketches agree, written."""
+    some = classes.select("id", F.substring("sketch", 1, width).alias("sketch"))
+    both = pairs.join(some.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(some.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (grid(batch.column(c), width) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= least))
+
+    return materialize(both.mapInArrow(run, "a long, b long"), "alike")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose sketches could be similar enough and whose full sets are, the sets made again from the texts.
 
     Only texts of classes in such pairs are shuffled. Pairs are dealt into blocks by a hash of either end, about BLOCK_PAIRS in
     each, and a text goes once to each block that needs it, however many pairs it has there.
     """
-    some, (agree, _) = classes.select("id", "sketch"), least_agreeing(percent)
-    both = pairs.join(some.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(some.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = (grid(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= agree))
-
-    close = materialize(both.mapInArrow(likely, "a long, b long"), "close")
+    agree, first_agree = least_agreeing(percent)
+    roughly = alike(pairs, classes, TOKENS, first_agree)
+    close = alike(roughly, classes, SKETCH, agree)
     ends = materialize(close.select(F.col("a").alias("id")).unionAll(close.select("b")).distinct(), "ends")
-    texts = materialize(docs.where(may_hold(ends)).join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    texts = materialize(texts_of(docs, ends), "texts")
     parts = max(1, math.isqrt(close.count() // BLOCK_PAIRS))
     bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(parts))
     blocked = close.withColumns({"p": bucket("a"), "q": bucket("b")})
@@ -245,12 +266,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     placed = needed.join(texts, "id").select(F.col("p").alias("tp"), F.col("q").alias("tq"), "id", "text")
-    linked = blocked.groupBy("p", "q").cogroup(placed.groupBy("tp", "tq")).applyInArrow(holds, "a long, b long")
-    return materialize(linked.distinct(), "links")
+    linked = materialize(blocked.groupBy("p", "q").cogroup(placed.groupBy("tp", "tq")).applyInArrow(holds, "a long, b long").distinct(), "links")
+    discard(roughly, close, ends, texts)
+    return linked
 
 
 def centres(nodes: DataFrame, classes: DataFrame, small: int = CENTRAL) -> DataFrame:
-    """(node, a): the class that the others of a node are held against.
+    """(node, a): the class that the others of a node are held against, written.
 
     Of a small node the smallest id; of a large one the class that agrees best with the tokens that most of about 64 of its
     classes, chosen by hash, have. The original of a group of copies is so found even where copies of it have smaller ids.
@@ -262,19 +284,21 @@ def centres(nodes: DataFrame, classes: DataFrame, small: int = CENTRAL) -> DataF
     def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for some in batch.column("some").to_pylist():
-                some = grid(some)
+            for some in batch.column("some"):
+                some = grid(some.values)
                 out.append(bytes(int(np.bincount(some[:, c]).argmax()) for c in range(SKETCH)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "usual"])
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (grid(batch.column(c).to_pylist()) for c in ("sketch", "usual"))
+            x, y = (grid(batch.column(c)) for c in ("sketch", "usual"))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), pa.array((x == y).sum(axis=1), pa.int64())], ["node", "id", "agree"])
 
     held = large.join(few.mapInArrow(usual, "node long, usual binary"), "node").select("node", "id", "sketch", "usual").mapInArrow(agreeing, "node long, id long, agree long")
     best = held.groupBy("node").agg(F.max(F.struct("agree", (-F.col("id")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("a"))
-    return least.unionAll(best)
+    found = materialize(least.unionAll(best), "centres")
+    discard(large)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,94 +309,172 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        far = labels.join(up, "component")
+        far = labels.select("id", "component").join(up, "component")
         near = edges.join(far.select(F.col("id").alias("b"), "jump"), "b").groupBy(F.col("a").alias("id")).agg(F.min("jump").alias("m"))
         found = far.join(near, "id")
         own = found.select("id", F.least("jump", "m").alias("c"), F.col("component").alias("was"))
         hooks = found.where("m < jump").groupBy(F.col("component").alias("id")).agg(F.min("m").alias("c")).withColumn("was", F.lit(None).cast("long"))
         new = materialize(own.unionAll(hooks).groupBy("id").agg(F.min("c").alias("component"), F.max("was").alias("was")), "labels")
-        labels = new.select("id", "component")
+        discard(labels)
+        labels = new
         if new.where("component <> was").isEmpty():
+            discard(edges)
             return labels
 
 
-def dealt(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(node, i, j, members) of nodes that hold several components: what is compared with each other, about ``chunk`` members.
+GROUP = "node long, i long, j long, id long, component long, own long"
 
-    Nodes of at most ``chunk`` are one group. Of larger ones the classes of the most common component and the others are cut
-    into chunks of half that, and each pair of chunks i <= j is a group, but for two of the most common component. A member has
-    its own chunk's number, and all mixed nodes that it is in.
+
+def dealt(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of ``GROUP`` for nodes that hold several components: what is compared with each other, by (node, i, j).
+
+    Nodes of at most ``chunk`` classes and ``chunk_bytes`` of sets are one group. Of larger ones the classes of the most common
+    component and the others are cut into chunks of half that, and each pair of chunks i <= j is a group, but for two of the most
+    common component. A member has its own chunk's number. Nodes of two classes are left out: their pair is a central one.
     """
-    named = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    each = named.groupBy("node", "component").agg(F.count("*").alias("k"))
-    mixed = each.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("main")).where("kinds > 1").select("node", "size", "main")
-    rows = materialize(named.join(mixed, "node").select("node", "id", "component", "size", "main"), "mixed")
-    half = max(1, chunk // 2)
-    common, large = F.col("component") == F.col("main.component"), F.col("size") > chunk
-    others, commons = (F.ceil(n / half) for n in (F.col("size") - F.col("main.k"), F.col("main.k")))
+    named = nodes.where("n > 2").join(labels.select("id", "component"), "id", "left").join(classes.select("id", "n_shingles"), "id")
+    named = named.select("node", "id", F.coalesce("component", "id").alias("component"), (8 * F.col("n_shingles")).alias("w"))
+    each = named.groupBy("node", "component").agg(F.count("*").alias("k"), F.sum("w").alias("w"))
+    mixed = each.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum("w").alias("bytes"), F.max(F.struct("k", "component", "w")).alias("main")).where("kinds > 1").select("node", "size", "bytes", "main")
+    rows = named.join(mixed, "node")
+    cut = lambda n, w: F.greatest(F.ceil(2 * n / chunk), F.ceil(2 * w / chunk_bytes), F.lit(1)).cast("long")
+    common, large = F.col("component") == F.col("main.component"), (F.col("size") > chunk) | (F.col("bytes") > chunk_bytes)
+    others, commons = cut(F.col("size") - F.col("main.k"), F.col("bytes") - F.col("main.w")), cut(F.col("main.k"), F.col("main.w"))
     spot = lambda n: F.pmod(F.xxhash64("id", "node"), n)
     own = F.when(~large, F.lit(0)).when(common, others + spot(commons)).otherwise(spot(others)).cast("long")
     partners = F.when(~large, F.lit(1)).when(common, others).otherwise(others + commons).cast("long")
     placed = rows.withColumns({"own": own, "partners": partners}).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partners") - 1)))
-    placed = placed.select("node", "id", "component", "own", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"))
-    held = rows.groupBy("id").agg(F.collect_list("node").alias("nodes")).join(classes.select("id", "sketch"), "id")
-    return placed.join(held, "id").groupBy("node", "i", "j").agg(F.collect_list(F.struct("id", "component", "own", "sketch", "nodes")).alias("members"))
+    return placed.select("node", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), "id", "component", "own")
 
 
-def across(nodes: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs between different components within a node, as (a, b). A pair comes from the least of its mixed nodes only."""
-    agree, first_agree = least_agreeing(percent)
+class Alike:
+    """Tells which of the members of one group could be similar enough, by sketches."""
+
+    def __init__(self, sketches: np.ndarray, percent: int):
+        self.whole, self.first = sketches, np.ascontiguousarray(sketches[:, :TOKENS])
+        self.agree, self.first_agree = least_agreeing(percent)
+
+    def near(self, k: int, some: np.ndarray) -> np.ndarray:
+        some = some[(self.first[some] == self.first[k]).sum(axis=1) >= self.first_agree]
+        return some[(self.whole[some] == self.whole[k]).sum(axis=1) >= self.agree]
+
+
+def sides(own: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of chunk i with the members of chunk j, every pair once."""
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for at, k in enumerate(left.tolist()):
+        yield k, right[at + 1 :] if i == j else right
+
+
+def active(groups: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``groups`` whose sketch could be similar enough to that of a member of another component."""
+    members = groups.join(classes.select("id", "sketch"), "id").groupBy("node", "i", "j").agg(F.collect_list(F.struct("id", "component", "own", "sketch")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_out, b_out = [], []
-            for node, i, j, members in zip(*(batch.column(c) for c in ("node", "i", "j", "members"))):
-                node, (ids, comp, own, sketches, held) = node.as_py(), members.values.flatten()
-                ids, comp, own = (x.to_numpy() for x in (ids, comp, own))
-                all_bytes = grid(sketches.to_pylist())
-                first, sets = np.ascontiguousarray(all_bytes[:, :TOKENS]), {}
-                left, right = np.flatnonzero(own == i.as_py()), np.flatnonzero(own == j.as_py())
-                for at, k in enumerate(left.tolist()):
-                    near = right[at + 1 :] if i == j else right
-                    near = near[((first[near] == first[k]).sum(axis=1) >= first_agree) & (comp[near] != comp[k])]
-                    near = near[(all_bytes[near] == all_bytes[k]).sum(axis=1) >= agree]
-                    for m in (k, *near.tolist()) if len(near) else ():
-                        if m not in sets:
-                            sets[m] = set(held[m].as_py())
-                    near = near[np.fromiter((min(sets[k] & sets[m]) == node for m in near.tolist()), bool, len(near))]
-                    a_out.append(np.minimum(ids[k], ids[near]))
-                    b_out.append(np.maximum(ids[k], ids[near]))
-            flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([flat(a_out), flat(b_out)], ["a", "b"])
-
-    return dealt(nodes, classes, labels, chunk).mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int | None = None, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """A row for each row of ``docs``: id, n_shingles, component_id, kept."""
+            out = []
+            for node, i, j, rows in zip(*(batch.column(c) for c in ("node", "i", "j", "members"))):
+                ids, comp, own, sketches = rows.values.flatten()
+                component, place, some = comp.to_numpy(), own.to_numpy(), Alike(grid(sketches), percent)
+                hit = np.zeros(len(ids), bool)
+                for k, others in sides(place, i.as_py(), j.as_py()):
+                    near = some.near(k, others[component[others] != component[k]])
+                    hit[near] = True
+                    hit[k] |= len(near) > 0
+                if hit.any():
+                    at = pa.array(np.flatnonzero(hit))
+                    n = len(at)
+                    out.append(pa.RecordBatch.from_arrays([pa.array([x.as_py()] * n, pa.int64()) for x in (node, i, j)] + [x.take(at) for x in (ids, comp, own)], ["node", "i", "j", "id", "component", "own"]))
+            yield from out
+
+    return members.mapInArrow(run, GROUP)
+
+
+def joining(rows: pa.Table, percent: int) -> pa.Table:
+    """Links within one group, confirmed on its full sets, that each join two of the components as they then stand."""
+    ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    held = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    sizes = np.array([len(x) for x in held])
+    starts = np.cumsum(sizes) - sizes
+    distinct, column = np.unique(np.concatenate(held), return_inverse=True)
+    some, mark = Alike(np.stack([np.frombuffer(minwise(x)[1], np.uint8) for x in held]), percent), np.zeros(len(distinct), bool)
+    root = rows.column("component").to_numpy().copy()
+    a, b = [], []
+    for k, others in sides(own, i, j):
+        near = some.near(k, others[root[others] != root[k]])
+        if not len(near):
+            continue
+        mine = column[starts[k] : starts[k] + sizes[k]]
+        mark[mine] = True
+        same = np.add.reduceat(mark[column[ragged(starts[near], sizes[near])]], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+        mark[mine] = False
+        for m in near[100 * same >= percent * (sizes[k] + sizes[near] - same)].tolist():
+            if root[m] != root[k]:
+                root[root == root[m]] = root[k]
+                a.append(min(ids[k], ids[m]))
+                b.append(max(ids[k], ids[m]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def across(nodes: DataFrame, classes: DataFrame, docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) between different components within a node, written; enough of them to join all that are linked.
+
+    Only texts of classes with a likely partner are shuffled, and each goes to the groups that have one for it.
+    """
+    some = materialize(active(dealt(nodes, classes, labels, chunk, chunk_bytes), classes, percent), "active")
+    ids = materialize(some.select("id").distinct(), "active-ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in sliced(batches, "text", SLICE_BYTES):
+            made = [shingles(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "hashes"])
+
+    held = materialize(texts_of(docs, ids).mapInArrow(run, "id long, hashes binary").where(F.octet_length("hashes") > 0), "active-sets")
+    links = materialize(some.join(held, "id").groupBy("node", "i", "j").applyInArrow(lambda t: joining(t, percent), "a long, b long").distinct(), "links")
+    discard(some, ids, held)
+    return links
+
+
+def labelled(docs: DataFrame, *, id_col: str, text_col: str, percent: int, trees: int | None, small: int, chunk: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, set_key) of every row, and (set_key, component_id) of every class; both written."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(sets(texts, id_col="id"), "signatures")
-    classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
+    rows = materialize(made.select("id", "n_shingles", "set_key"), "sizes")
+    classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch"))), "classes")
+    discard(made)
     nodes = leaves(classes.select("id", "sig"), trees=trees, small=small, percent=percent)
-    middle = materialize(centres(nodes, classes), "centres")
+    middle = centres(nodes, classes)
     first = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = confirmed(first, classes, texts, percent)
+    discard(middle)
     labels = components(links)
-    rest = confirmed(across(nodes, classes, labels, chunk, percent), classes, texts, percent)
+    rest = across(nodes, classes, texts, labels, chunk, chunk_bytes, percent)
+    discard(nodes)
     if not rest.isEmpty():
+        discard(labels)
         labels = components(links.unionAll(rest))
-    named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = made.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = materialize(classes.select("set_key", "id").join(labels.select("id", "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "components")
+    discard(classes, links, rest, labels)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int | None = None, small: int = SMALL, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each row of ``docs``: id, n_shingles, component_id, kept."""
+    rows, named = labelled(docs, id_col=id_col, text_col=text_col, percent=percent, trees=trees, small=small, chunk=chunk, chunk_bytes=chunk_bytes)
+    out = rows.join(named, "set_key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs``, unchanged, one of each group of near copies: that with the smallest id. Of repeated rows of one id one
-    stays; rows with a null id are never a copy of another."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(materialize(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return named.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(named.where("doc_id is null"))
+    stays; rows with a null id are never a copy of another. The rows are shuffled once, by their id."""
+    kept = materialize(near_duplicates(docs, id_col=id_col, **options).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key")).distinct(), "kept")
+    row = docs.select(F.col(id_col).cast("long").alias("key"), F.struct("*").alias("row"))
+    named = row.where("key is not null").join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return named.unionAll(row.where("key is null")).select("row.*")
 
 
 #: For DuckDB: all links by shared shingles, and components by walking them.

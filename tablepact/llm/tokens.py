@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PairIndex, Vocabulary, vocabulary
-from .common import sliced, small_batches
+from .common import sliced
 
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
@@ -75,7 +75,6 @@ def whole_tokens(path: str) -> frozenset[bytes]:
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, n_bytes, n_tokens: tokens of each whole text, without special tokens being added."""
     spark = docs.sparkSession
-    small_batches(spark)
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     cols = [id_col, *keep]
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
@@ -104,7 +103,6 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "n_tokens"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode whole texts; ``columns`` names what to return of ``ENCODED``. decoded is made from the ids, not from the text."""
-    small_batches(docs.sparkSession)
     cols = [id_col, *keep]
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)]] + [f"{c} {ENCODED[c]}" for c in columns])
@@ -140,7 +138,6 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and text of rows with an ids array; a null array gives a null text."""
-    small_batches(encoded.sparkSession)
     base = encoded.select(id_col, F.col(ids_col).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

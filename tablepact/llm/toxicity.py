@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, small_batches
+from .common import materialize, sliced
 from .ordinal import OrdinalModel, fit, sample
 
 #: Words of the grammar's closed classes in English, German, French and Spanish.
@@ -159,7 +159,6 @@ def learn_insults(rows: DataFrame, *, rounds: int = 8) -> tuple[str, ...]:
 def train(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE) -> ToxicityModel:
     """``labels``: (doc_id, toxic). Learns from a sample of at most ``limit`` of them, those with the least hash of the id."""
     spark = docs.sparkSession
-    small_batches(spark)
     some = sample(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), limit)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("toxic", "text")
 
@@ -185,7 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE) -> Toxicit
 def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, score, n_matches (outputs of the grammar)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))

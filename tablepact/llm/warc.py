@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, small_batches
+from .common import materialize, scratch_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Signatures of the ZIP format.
@@ -173,7 +173,6 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
 
     Returns a lazy (path, n_records, n_bytes); what a finished job has of it lists the whole archives.
     """
-    small_batches(records.sparkSession, 500)
     base = records.select("record_id", "target_uri", "payload", "payload_digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +210,6 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
 
 def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """Every record of the archives named in column path, as ``RECORD``; payload stays null unless ``with_payload``."""
-    small_batches(archives.sparkSession, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("offset", pa.int64()), ("length", pa.int64()), ("archive", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])

@@ -111,90 +111,6 @@ def test_zip_is_read_by_others_and_damage_is_refused(tmp_path):
         warc.parse_record(b"junk\r\n\r\n")
 
 
-def brute_components(texts):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return [len(s) for s in sets], [find(i) for i in range(len(sets))]
-
-
-def test_near_duplicates(spark, odd, empty):
-    texts = [None, "", "One two", "one TWO"]
-    for _ in range(6):
-        base = words(300, 5000).split()
-        for _ in range(25):
-            copy = list(base)
-            for _ in range(RANDOM.randrange(0, 8)):
-                copy[RANDOM.randrange(300)] = "edit"
-            texts.append(" ".join(copy))
-    RANDOM.shuffle(texts)
-    sizes, roots = brute_components(texts)
-    got = similarity.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=8).orderBy("doc_id").collect()
-    assert [r.n_shingles for r in got] == sizes
-    assert [r.component_id for r in got] == roots and all(r.kept == (r.doc_id == r.component_id) for r in got)
-    assert similarity.near_duplicates(odd).count() == len(ODD) + 2
-    assert similarity.near_duplicates(empty).count() == similarity.one_of_each(empty).count() == 0
-
-
-def test_components_of_a_long_chain(spark):
-    order = RANDOM.sample(range(10_000), 500)
-    links = spark.createDataFrame([*zip(order, order[1:]), (20_001, 20_000)], "a long, b long")
-    got = {r.id: r.component for r in similarity.components(links).collect()}
-    assert got == {i: min(order) for i in order} | {20_000: 20_000, 20_001: 20_000}
-
-
-def test_unlinked_nodes_are_dealt_in_bounded_groups(spark):
-    random, n, chunk = np.random.default_rng(3), 300, 32
-    base, sketches = random.integers(0, 256, similarity.SKETCH, dtype=np.uint8), []
-    for _ in range(n):
-        sketch = base.copy()
-        sketch[random.choice(similarity.SKETCH, random.integers(0, 110), replace=False)] = random.integers(0, 256)
-        sketches.append(sketch)
-    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sketches)], "id long, sketch binary")
-    nodes = spark.createDataFrame([(7, i, n) for i in range(n)] + [(-5, i, 40) for i in range(40)], "node long, id long, n long")
-    for linked in (2, 200):
-        labels = spark.createDataFrame([(i, 0) for i in range(linked)], "id long, component long")
-        groups = similarity.dealt(nodes, classes, labels, chunk).select(F.size("members").alias("n")).collect()
-        assert max(g.n for g in groups) <= 2 * chunk
-        agree, first_agree = similarity.least_agreeing(similarity.PERCENT)
-        alike = lambda x, y: (x == y).sum() >= agree and (x == y)[: similarity.TOKENS].sum() >= first_agree
-        want = [(i, j) for i in range(n) for j in range(max(i + 1, linked if i < linked else 0), n) if alike(sketches[i], sketches[j])]
-        assert want and sorted(map(tuple, similarity.across(nodes, classes, labels, chunk).collect())) == want
-
-
-def test_near_copies_between_80_and_85_percent(spark):
-    import corpus_pipeline
-
-    assert (similarity.trees_of(85), similarity.least_agreeing(85)) == (10, (400, 40)) and similarity.trees_of(80) > 10
-    texts, want = [], set()
-    for k in range(40):
-        base = words(304, 5000).split()
-        copy = list(base)
-        for at in range(9, 9 + 6 * (5 + k % 2), 6):
-            copy[at] = "edit"
-        x, y = ({tuple(w[i : i + 5]) for i in range(300)} for w in (base, copy))
-        assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
-        texts += [" ".join(base), " ".join(copy)]
-        want.add(2 * k)
-    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
-    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
-    got = similarity.near_duplicates(docs, percent=80, small=4).collect()
-    assert {r.doc_id for r in got if r.kept} == want
-
-
 def test_decontamination(spark, odd, empty):
     phrase = "the quick brown fox jumps over the lazy dog again and again"
     docs = spark.createDataFrame([(1, f"xx {phrase.upper()}! {phrase}"), (2, "the quick brown fox jumps over the lazy cat"), (3, None), (4, "tiny one"), (5, "a tiny  ONE, b"), (5, "a tiny  ONE, b")], "doc_id long, text string")
