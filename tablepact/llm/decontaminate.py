@@ -8,7 +8,8 @@ phrases end at the first term that the shard doesn't have. Nothing is dealt by t
 word nor a passage in a third of all documents meets in one task.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of texts with A-Z in lower case. Null texts have no words. Repeated rows of
-documents are judged one by one; repeated items are searched once. An item without words has no window; an item of fewer
+documents are judged one by one; repeated items are searched once. Ids keep their type; other columns are ignored, whatever their
+names. An item without words has no window; an item of fewer
 words than a window is one window of its own length. Empty tables give empty results.
 """
 
@@ -22,23 +23,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, sliced
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Phrases in one broadcast block, and terms in a broadcast vocabulary; beyond the latter every term is indexed.
+#: Phrases in one broadcast block, and terms in a broadcast vocabulary. Beyond the latter every term is indexed: the index is then
+#: larger, what a search finds in it the same.
 BLOCK_PHRASES, MAX_TERMS = 100_000, 1_000_000
 #: Bytes that part words become spaces, A-Z become a-z.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-INDEX = "shard string, doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
+INDEX = "shard string, doc_ids array<{}>, starts array<int>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, gap: int = WINDOW) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, gap: int = WINDOW, max_terms: int = MAX_TERMS) -> DataFrame:
     """The index as a table in the shared folder. ``terms`` (term binary) restricts it to those that may be searched for.
 
     One row is one shard; its size is bounded by ``shard_bytes`` or by one longer document. ``gap`` parts documents: only
@@ -47,10 +50,10 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
     spark = docs.sparkSession
     only = None
     if terms is not None:
-        found = [bytes(r[0]) for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
-        if len(found) <= MAX_TERMS:
-            only = spark.sparkContext.broadcast({t: i for i, t in enumerate(found)})
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        found = [bytes(r[0]) for r in terms.select("term").distinct().limit(max_terms + 1).collect()]
+        if len(found) <= max_terms:
+            only = spark.sparkContext.broadcast(found)
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     class Numbers(dict):
         def __missing__(self, word: bytes) -> int:
@@ -58,13 +61,13 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
             return n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_terms = None if only is None else {t: i for i, t in enumerate(only.value)}
         for batch in sliced(batches, "text", shard_bytes):
-            if only is None:
+            if known_terms is None:
                 numbers: dict[bytes, int] = Numbers()
                 get = numbers.__getitem__
             else:
-                numbers = only.value
-                get = lambda w, f=numbers.get: f(w, -1)
+                get = lambda w, f=known_terms.get: f(w, -1)
             flat, starts, lengths, at = [], [], [], 0
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -80,31 +83,23 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
             term, position = term[order], position[order]
             cuts = np.flatnonzero(np.diff(term, prepend=-1))
             counts = np.diff(np.append(cuts, len(term)))
-            names = list(numbers) if only is None else None
-            here = term[cuts].tolist()
-            if names is None:
-                lookup = numbers_inverse(numbers)
-                listed = [lookup[i] for i in here]
-            else:
-                listed = [names[i] for i in here]
+            names = list(numbers) if only is None else only.value
+            listed = [names[i] for i in term[cuts].tolist()]
             gaps = np.diff(position, prepend=np.int32(0))
             gaps[cuts] = position[cuts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([listed], pa.list_(pa.binary())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([zlib.compress(gaps.astype("<i4").tobytes(), 1)], pa.binary())],
+                [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays([0, batch.num_rows], batch.column("id")), pa.array([starts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([listed], pa.list_(pa.binary())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([zlib.compress(gaps.astype("<i4").tobytes(), 1)], pa.binary())],
                 ["shard", "doc_ids", "starts", "lengths", "terms", "counts", "postings"],
             )
 
-    return materialize(base.mapInArrow(run, INDEX), "postings")
-
+    return materialize(base.mapInArrow(run, INDEX.format(base.schema["id"].dataType.simpleString())), "postings")
 
-_inverse: dict[int, list[bytes]] = {}
 
-
-def numbers_inverse(numbers: dict[bytes, int]) -> list[bytes]:
-    if id(numbers) not in _inverse:
-        _inverse.clear()
-        _inverse[id(numbers)] = list(numbers)
-    return _inverse[id(numbers)]
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of the index one at a time: each is a whole shard."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 class Shard:
@@ -198,6 +193,9 @@ def search(index: DataFrame, phrases: DataFrame, *, block: int = BLOCK_PHRASES)
 
 
 def _block(index: DataFrame, shared, parts: bool) -> DataFrame:
+    kind = index.schema["doc_ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = [p.split(b" ") for p, _ in shared.value]
         names: dict[bytes, int] = {}
@@ -205,64 +203,65 @@ def _block(index: DataFrame, shared, parts: bool) -> DataFrame:
         grid = np.full((len(split), longest), -1, np.int64)
         for row, terms in zip(grid, split):
             row[: len(terms)] = [names.setdefault(t, len(names)) for t in terms]
-        for batch in batches:
-            for shard_row in batch.to_pylist():
-                shard = Shard(shard_row)
-                place = np.array([shard.number.get(t, -1) for t in names], np.int64) if names else np.zeros(0, np.int64)
-                there = np.where(grid >= 0, place[grid], 0) if len(grid) else grid
-                docs = len(shard.ids)
-                hit: list[np.ndarray] = []
-                items: list[set[str]] = [set() for _ in range(docs)]
-                for p in np.flatnonzero((there >= 0).all(axis=1)).tolist():
-                    size = len(split[p])
-                    found = shard.phrase(there[p, :size].tolist())
-                    if len(found):
-                        hit.append((found[:, None] + np.arange(size)).ravel())
-                        for d in np.unique(shard.documents(found)).tolist():
-                            items[d].update(shared.value[p][1])
-                hits = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
-                owner = shard.documents(hits) if len(hits) else hits
-                out = [pa.array(shard.ids, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(np.bincount(owner, minlength=docs), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                named = ["doc_id", "n_words", "n_hit", "items"]
-                if parts:
-                    cuts = np.searchsorted(owner, np.arange(docs + 1))
-                    out += [pa.array([shard_row["shard"]] * docs, pa.string()), pa.array(range(docs), pa.int64()), pa.array([hits[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))]
-                    named += ["shard", "place", "hits"]
-                yield pa.RecordBatch.from_arrays(out, named)
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>" + ", shard string, place long, hits array<long>" * parts)
+        for shard_row in rows_of(batches):
+            shard = Shard(shard_row)
+            place = np.array([shard.number.get(t, -1) for t in names], np.int64) if names else np.zeros(0, np.int64)
+            there = np.where(grid >= 0, place[grid], 0) if len(grid) else grid
+            docs = len(shard.ids)
+            hit: list[np.ndarray] = []
+            items: list[set[str]] = [set() for _ in range(docs)]
+            for p in np.flatnonzero((there >= 0).all(axis=1)).tolist():
+                size = len(split[p])
+                found = shard.phrase(there[p, :size].tolist())
+                if len(found):
+                    hit.append((found[:, None] + np.arange(size)).ravel())
+                    for d in np.unique(shard.documents(found)).tolist():
+                        items[d].update(shared.value[p][1])
+            hits = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+            owner = shard.documents(hits) if len(hits) else hits
+            out = [pa.array(shard.ids, id_type), pa.array(shard.lengths, pa.int64()), pa.array(np.bincount(owner, minlength=docs), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            named = ["doc_id", "n_words", "n_hit", "items"]
+            if parts:
+                cuts = np.searchsorted(owner, np.arange(docs + 1))
+                out += [pa.array([shard_row["shard"]] * docs, pa.string()), pa.array(range(docs), pa.int64()), pa.array([hits[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))]
+                named += ["shard", "place", "hits"]
+            yield pa.RecordBatch.from_arrays(out, named)
+
+    return index.mapInArrow(run, f"doc_id {kind.simpleString()}, n_words long, n_hit long, items array<string>" + ", shard string, place long, hits array<long>" * parts)
 
 
 def proximity(index: DataFrame, terms: list[str], span: int) -> DataFrame:
     """doc_id, position (of a word in its document): the rarest of ``terms`` where all of them lie within ``span`` words."""
     wanted = [w for t in terms for w in words_of(t)]
+    kind = index.schema["doc_ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                found = shard.near(wanted, span)
-                owner = shard.documents(found) if len(found) else found
-                yield pa.RecordBatch.from_arrays([pa.array([shard.ids[d] for d in owner.tolist()], pa.int64()), pa.array(found - shard.starts[owner] if len(found) else [], pa.int64())], ["doc_id", "position"])
+        for row in rows_of(batches):
+            shard = Shard(row)
+            found = shard.near(wanted, span)
+            owner = shard.documents(found) if len(found) else found
+            yield pa.RecordBatch.from_arrays([pa.array([shard.ids[d] for d in owner.tolist()], id_type), pa.array(found - shard.starts[owner] if len(found) else [], pa.int64())], ["doc_id", "position"])
 
-    return index.mapInArrow(run, "doc_id long, position long")
+    return index.mapInArrow(run, f"doc_id {kind.simpleString()}, position long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_PHRASES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_PHRASES, max_terms: int = MAX_TERMS) -> DataFrame:
     """``search`` for all windows of ``items`` in an index of ``docs``."""
     phrases = materialize(windows(items, window), "phrases")
     terms = phrases.select(F.explode(F.split(F.col("phrase").cast("string"), " ")).alias("term")).select(F.col("term").cast("binary").alias("term"))
-    return search(build_index(docs, terms, id_col=id_col, text_col=text_col, gap=window), phrases, block=block)
+    return search(build_index(docs, terms, id_col=id_col, text_col=text_col, gap=window, max_terms=max_terms), phrases, block=block)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs``, unchanged, in which no window of ``items`` occurs. Rows without an id are kept if their text is clean.
+    """Rows of ``docs``, unchanged, in which no window of ``items`` occurs. Ids play no part: rows are told by a SHA-256 of their text.
 
-    Contaminated ids are few against the documents; the join is dealt by id and can be split.
+    Contaminated texts are few against the documents; the join is dealt by that digest and a frequent one can be split.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    hit = contamination(keyed.select("__key", "text"), items, id_col="__key").where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(materialize(hit, "contaminated"), "__key", "left_anti").select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), F.struct("*").alias("row"))
+    hit = contamination(keyed.select("key", F.col("row.text").alias("text")), items, id_col="key").where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(materialize(hit, "contaminated"), "key", "left_anti").select("row.*")
 
 
 #: For DuckDB: windows as text, each document's windows of the same lengths, equality of both.
