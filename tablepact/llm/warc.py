@@ -1,14 +1,15 @@
 """WARC records in ZIP archives: written by Spark tasks, and read by byte ranges without extraction.
 
-An archive is a ZIP file whose members are stored, not deflated: ``archive/data.warc.gz``, one gzip member for each WARC
-record, and ``indexes/index.cdxj``, one line for each record with its offset and length within the data. A reader takes
-the end of the file, follows the (ZIP64) end record to the central directory, finds the stored members through it and
-their local headers, reads the index, and fetches each record by its range.
+An archive is a ZIP file whose members are stored, not deflated: WARC files under ``archive/``, one gzip member for each WARC
+record (or plain), and CDX or CDXJ files under ``indexes/``, plain or packed by gzip, one line for each record with its file,
+offset and length. A reader takes the end of the ZIP file, follows the (ZIP64) end record to the central directory, finds the
+stored members through it and their local headers, reads the indexes, and fetches each record by its range. A WARC file that no
+index names is walked through record by record. ``write_archives`` makes one WARC file and one CDXJ index in each archive.
 
 Files are reached through pyarrow's file systems, so the folder may be any that all executors share. Tasks choose names of
 their own; only files in the list that a finished job returns are read, so a lost executor's half-written files are
 ignored. Null payloads are empty; a record with a null id takes part in no revisit group. Repeated ids with one payload
-are all responses if they are the largest. An empty table gives no archives and no records.
+are all responses if they are the largest. Ids must be whole numbers; under ANSI mode others raise. Other columns are ignored. An empty table gives no archives and no records.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import base64
 import binascii
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -29,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES, DATA, INDEX = "archive/", "indexes/", "data.warc.gz", "index.cdxj"
 #: Signatures of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 #: An archive is closed beyond this many bytes of records; read requests join neighbouring records up to CHUNK bytes.
 ROLL_BYTES, CHUNK = 32 << 20, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "offset long, length long, archive string, record_id string, target_uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+RECORD = "offset long, length long, archive string, member string, record_id string, target_uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
 def base32_sha1(hex_digest: Column) -> Column:
@@ -80,11 +83,11 @@ def parse_record(raw: bytes) -> dict:
         raise ValueError("not a WARC record")
     fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
     block = rest[: int(fields["content-length"])]
-    http, _, body = block.partition(b"\r\n\r\n")
+    http, _, body = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    kind, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
     revisit = fields.get("warc-type") == "revisit"
-    if not revisit and digest and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+    if not revisit and digest and kind in ("", "sha1") and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
         raise ValueError(f"payload digest differs in {fields.get('warc-record-id')}")
     return {
         "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
@@ -168,6 +171,82 @@ class StoredZip:
         return local + 30 + n_name + n_extra, size
 
 
+def cdxj_line(uri: str | None, digest: str, offset: int, length: int) -> str:
+    """Key (host parts reversed, then the path), timestamp and a JSON object, as CDXJ has them."""
+    host, _, path = (uri or "").partition("://")[2].partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")/" + path.lower() if host else "-"
+    found = {"url": uri, "digest": f"sha1:{digest}", "offset": str(offset), "length": str(length), "filename": DATA}
+    return f"{quote(key, safe='/,)?&=:;@!$*+~')} {''.join(c for c in DATE if c.isdigit())} {json.dumps(found)}\n"
+
+
+def index_entries(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file, offset, length) of the lines of a CDXJ or CDX index; the first line of the latter names its columns by letters."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = b"".join(zlib.decompress(raw[at : at + n], 31) for at, n in gzip_members(lambda at, n: raw[at : at + n], 0, len(raw)))
+    letters: list[str] = []
+    for line in raw.decode("utf-8", "replace").splitlines():
+        if line.split()[:1] == ["CDX"]:
+            letters = line.split()[1:]
+        elif (at := line.find("{")) >= 0 and not letters:
+            x = json.loads(line[at:])
+            yield x["filename"], int(x["offset"]), int(x["length"])
+        elif line.strip() and letters:
+            x = dict(zip(letters, line.split()))
+            yield x["g"], int(x["V"]), int(x["S"])
+
+
+def gzip_members(read_at, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length, from ``start`` on, of gzip members that follow one another over ``size`` bytes."""
+    at, base, buffer = 0, 0, memoryview(b"")
+    while at < size:
+        unpack, pos = zlib.decompressobj(31), at
+        while not unpack.eof:
+            if pos >= size:
+                raise ValueError("a gzip member is cut off")
+            if not base <= pos < base + len(buffer):
+                base, buffer = pos, memoryview(read_at(start + pos, min(CHUNK, size - pos)))
+            piece = buffer[pos - base : pos - base + 65_536]
+            unpack.decompress(piece)
+            pos += len(piece) - len(unpack.unused_data)
+        yield at, pos - at
+        at = pos
+
+
+def plain_records(read_at, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of the records of a WARC file that isn't packed."""
+    at = 0
+    while at < size:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            more = read_at(start + at + len(head), min(4096, size - at - len(head)))
+            if not more:
+                raise ValueError("a WARC record is cut off")
+            head += more
+        head = head[: head.index(b"\r\n\r\n")]
+        length = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        n = min(len(head) + 4 + length + 4, size - at)
+        yield at, n
+        at += n
+
+
+def record_places(z: StoredZip) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+    """Each WARC file of an archive with its place in the ZIP file, and offset and length of its records in ascending order."""
+    found: dict[str, set[tuple[int, int]]] = {n: set() for n in z.members if n.startswith(ARCHIVES) and not n.endswith("/")}
+    for name in z.members:
+        if name.startswith(INDEXES) and re.search(r"\.cdxj?(?:\.gz)?$", name):
+            for file, offset, length in index_entries(z.read_at(*z.locate(name))):
+                member = ARCHIVES + file if ARCHIVES + file in found else file
+                if member not in found:
+                    raise ValueError(f"{name} names {file}, which isn't in the archive")
+                found[member].add((offset, length))
+    for member, places in found.items():
+        start, size = z.locate(member)
+        if not places and size:
+            packed = z.read_at(start, 2) == b"\x1f\x8b"
+            places = (gzip_members if packed else plain_records)(z.read_at, start, size)
+        yield member, start, sorted(places)
+
+
 def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, zip64: bool = False, level: int = 1) -> DataFrame:
     """Archives of ``records`` (record_id, target_uri, payload binary, payload_digest, refers_to), one or more for each task.
 
@@ -186,7 +265,7 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
             name = f"{uuid.uuid4().hex}.zip"
             total = 0
             with files.open_output_stream(f"{root}/{name}") as f:
-                for p in zip_bytes([(DATA, parts), (INDEX, ["".join(lines).encode()])], zip64):
+                for p in zip_bytes([(ARCHIVES + DATA, parts), (INDEXES + INDEX, ["".join(sorted(lines)).encode()])], zip64):
                     f.write(p)
                     total += len(p)
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(lines)], "n_bytes": [total]})
@@ -196,7 +275,7 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
                 rid, uri, payload, digest, refers = row
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 packed = packer.compress(warc_record(rid, uri, payload or b"", digest, refers)) + packer.flush()
-                lines.append(json.dumps({"id": rid, "offset": size, "length": len(packed)}) + "\n")
+                lines.append(cdxj_line(uri, digest, size, len(packed)))
                 parts.append(packed)
                 size += len(packed)
                 if size >= roll_bytes:
@@ -212,30 +291,28 @@ def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFram
     """Every record of the archives named in column path, as ``RECORD``; payload stays null unless ``with_payload``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("offset", pa.int64()), ("length", pa.int64()), ("archive", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, RECORD.split(", "))])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, name = filesystem(path)
                 with files.open_input_file(name) as f:
                     read_at = lambda at, n: f.read_at(n, at)
-                    z = StoredZip(read_at, f.size())
-                    start, _ = z.locate(DATA)
-                    index = [json.loads(x) for x in read_at(*z.locate(INDEX)).splitlines()]
-                    i = 0
-                    while i < len(index):
-                        first, j = index[i]["offset"], i + 1
-                        while j < len(index) and index[j]["offset"] + index[j]["length"] - first <= CHUNK:
-                            j += 1
-                        chunk = read_at(start + first, index[j - 1]["offset"] + index[j - 1]["length"] - first)
-                        rows = []
-                        for x in index[i:j]:
-                            at = x["offset"] - first
-                            record = parse_record(zlib.decompress(chunk[at : at + x["length"]], 31))
-                            if not with_payload:
-                                record["payload"] = None
-                            rows.append(record | {"offset": x["offset"], "length": x["length"], "archive": path})
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        i = j
+                    for member, start, places in record_places(StoredZip(read_at, f.size())):
+                        i = 0
+                        while i < len(places):
+                            first, j = places[i][0], i + 1
+                            while j < len(places) and sum(places[j]) - first <= CHUNK:
+                                j += 1
+                            chunk, rows = read_at(start + first, sum(places[j - 1]) - first), []
+                            for offset, length in places[i:j]:
+                                raw = chunk[offset - first : offset - first + length]
+                                record = parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+                                if not with_payload:
+                                    record["payload"] = None
+                                rows.append(record | {"offset": offset, "length": length, "archive": path, "member": member})
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            i = j
 
     return archives.select("path").mapInArrow(run, RECORD)
 
