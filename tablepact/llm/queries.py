@@ -35,10 +35,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of host names that count as a bad label.
+BAD_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is bad if the document that the number in its address names is labelled of quality 0."""
-    named = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/([0-9]+)(?:\.[a-z]+)?/?(?:[?#]|$)", 1).try_cast("long").alias("doc_id"))
-    return named.join(table(spark, sf_dir, "labels"), "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+    """Weak labels, as no table has labels of pages: a page is bad if a part of its host's name is one of ``BAD_WORDS``. Only pages
+    whose crc32(page_id as text) mod 2 is 0 are labelled; the templates and hosts that these teach judge the others."""
+    host, _ = urls.host_and_path(F.col("url").cast("string"))
+    some = table(spark, sf_dir, "pages").where(fold(F.col("page_id"), 2) == 0)
+    return some.select("page_id", F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, BAD_WORDS))).cast("int").alias("bad"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
