@@ -3,7 +3,8 @@
 Training sums trigram counts for each language over all rows given. A text is then modelled as a mixture of the learned
 languages: expectation-maximisation on its trigrams estimates their proportions, and the set of languages is chosen by
 penalised likelihood, adding languages in the order of their proportions while each raises the likelihood by more than
-its penalty. Trigrams overlap, so a third of the log-likelihood counts as evidence.
+its penalty. Estimation goes on until no proportion changes
+by more than ``STILL``. Trigrams overlap, so a third of the log-likelihood counts as evidence.
 
 Null texts and texts without a letter are ``und`` with score 0 and no proportions. Rows without a language aren't learned
 from. Nothing learned at all: every text is ``und``. Texts without a known trigram get the prior's language.
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import only_new, sliced
 
 BUCKETS = 1 << 15
-#: Fixed by design: rounds of EM, weight of evidence of overlapping trigrams, least proportion to be considered.
-ROUNDS, EVIDENCE, LEAST = 8, 1 / 3, 0.02
+#: Weight of evidence of overlapping trigrams, and the change of proportions at which their estimation ends.
+EVIDENCE, STILL = 1 / 3, 1e-3
 SLICE_BYTES = 4 << 20
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that isn't a letter parts words; letters fall to lower case.
@@ -69,8 +70,6 @@ class LanguageModel:
         chosen, proportions, value = order[:1], np.ones(1, np.float32), float(alone[best]) * EVIDENCE
         penalty = 0.5 * np.log(n + 1) + 1
         for k in range(2, len(order) + 1):
-            if share[order[k - 1]] < LEAST:
-                break
             some = order[:k]
             start = np.maximum(share[some], 1e-3)
             fitted = self.fit(p[some], counts, n, start / start.sum())
@@ -83,9 +82,12 @@ class LanguageModel:
 
     @staticmethod
     def fit(p: np.ndarray, counts: np.ndarray, n: float, share: np.ndarray) -> np.ndarray:
-        for _ in range(ROUNDS):
-            share = share * (p @ (counts / (share @ p))) / n
-        return share
+        """Proportions of the languages whose probabilities are the rows of ``p``. Each round raises the likelihood, so rounds end."""
+        while True:
+            new = share * (p @ (counts / (share @ p))) / n
+            if np.abs(new - share).max() <= STILL:
+                return new
+            share = new
 
 
 def learn(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
@@ -122,9 +124,9 @@ def learn(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, lang_pred, score (proportion of that language), languages (map of the chosen set's proportions)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *keep]
+    only_new(cols, ("lang_pred", "score", "languages"))
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
