@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, text_id
+from .common import discard, materialize, only_new, sliced, text_id
 
 SAMPLE, ROUNDS = 20_000, 40
 SIZE = 1 << 13
@@ -131,7 +131,10 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, prior: np.ndarray | None = None, rate: float = 0.5) -> OrdinalModel:
     """Fit (grade double, index array<int>, value array<float>). Tasks sum gradients; the driver sees one vector for each task."""
     spark = rows.sparkSession
-    blocks = materialize(packed(rows.where("grade is not null and size(index) > 0").select("grade", "index", "value").coalesce(spark.sparkContext.defaultParallelism), size), "features")
+    # written first, so that as many tasks read the documents as there are partitions; the bounded sample then fits few blocks
+    graded = materialize(rows.where("grade is not null and size(index) > 0").select("grade", "index", "value"), "graded")
+    blocks = materialize(packed(graded.coalesce(spark.sparkContext.defaultParallelism), size), "features")
+    discard(graded)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
@@ -144,6 +147,7 @@ def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, p
     grades, total = tuple(sorted(found)), sum(found.values())
     weights = np.zeros(size) if prior is None else prior.astype(float)
     if len(grades) < 2:
+        discard(blocks)
         return OrdinalModel(grades, weights, np.zeros(0))
     share = np.clip(np.cumsum([found[g] for g in grades])[:-1] / total, 1e-3, 1 - 1e-3)
     thresholds = np.log(share / (1 - share))
@@ -171,6 +175,7 @@ def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, p
         by = lambda a, b: rate * (a / (1 - 0.8**t)) / (np.sqrt(b / (1 - 0.95**t)) + 1e-4)
         weights = weights + by(m, v)
         thresholds = np.maximum.accumulate(thresholds + 0.2 * by(mt, vt))
+    discard(blocks)
     return OrdinalModel(grades, weights, thresholds)
 
 
@@ -196,9 +201,9 @@ def train(docs: DataFrame, grades: DataFrame, *, limit: int = SAMPLE, rounds: in
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, least: float, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, expected_grade, tail_probability of a grade of at least ``least``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *keep]
+    only_new(cols, ("expected_grade", "tail_probability"))
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
