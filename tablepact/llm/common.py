@@ -80,6 +80,12 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def only_new(cols: list[str], made: tuple[str, ...]) -> None:
+    """Columns that an operator passes through must have names of their own."""
+    if len({*cols, *made}) < len(cols) + len(made):
+        raise ValueError(f"columns {cols} and {list(made)} must have different names")
+
+
 def text_id(col: Column) -> Column:
     return col.cast("string").cast("binary")
 

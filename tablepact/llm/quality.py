@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import only_new
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -105,6 +107,7 @@ def failure_bits(rules: dict[str, tuple[int, str]] = RULES) -> Column:
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, the measurements, and ``fail_bits``. One projection: no shuffle, no Python."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    only_new([id_col, *keep], (*MEASURES, "fail_bits"))
     kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(id_col).alias("__id"), *kept, measures(text).alias("__m"))
     at = {"n_lines": "lines.n", "n_dup_lines": "lines.d"}

@@ -5,13 +5,15 @@ together from the resolved pieces. A slice holds about ``SLICE_BYTES`` of text (
 remembered about pre-tokens is dropped beyond ``REMEMBERED`` entries, so memory is bounded at every input size.
 
 Null texts count as empty. Rows keep their number: repeated rows give repeated results, an empty table an empty result.
-Other columns are ignored unless named in ``keep``.
+Other columns are ignored unless named in ``keep``;
+a name of ``keep`` that is also one of the results raises.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PairIndex, Vocabulary, vocabulary
-from .common import sliced
+from .common import only_new, sliced
 
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
-_index: dict[int, PairIndex] = {}
 
 
+@lru_cache(maxsize=4)
 def pair_index(v: Vocabulary) -> PairIndex:
-    if id(v) not in _index:
-        _index[id(v)] = PairIndex(v)
-    return _index[id(v)]
+    return PairIndex(v)
 
 
 class Resolved:
@@ -77,6 +77,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     cols = [id_col, *keep]
+    only_new(cols, ("n_bytes", "n_tokens"))
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
@@ -104,6 +105,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "n_tokens"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode whole texts; ``columns`` names what to return of ``ENCODED``. decoded is made from the ids, not from the text."""
     cols = [id_col, *keep]
+    only_new(cols, columns)
     base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)]] + [f"{c} {ENCODED[c]}" for c in columns])
     decoding = any(c.startswith("decoded") for c in columns)

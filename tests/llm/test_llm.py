@@ -193,8 +193,8 @@ def test_toxicity(spark, odd):
 
 def test_grammar_states():
     g = toxicity.Grammar(("blorp$", "sner"))
-    hit = lambda t: [toxicity.OUTPUTS[i][1:] for i in np.flatnonzero(g.outputs(t)[:-1])]
-    assert hit("you blorp") == [(1, 0, 0)] and hit("not a blorp") == [(0, 1, 0)] and hit("he said a blorp")[0][2] == 1
+    hit = lambda t: [(o.target, o.negated, o.reported) for o in (toxicity.OUTPUTS[i] for i in np.flatnonzero(g.outputs(t)[:-1]))]
+    assert hit("you blorp") == hit("blorp, you") == [(1, 0, 0)] and hit("not a blorp") == [(0, 1, 0)] and hit("he said a blorp")[0][2] == 1
     assert hit("blorpish") == [] and hit("snerkish") == [(0, 0, 0)] and hit(None) == []
 
 
