@@ -27,7 +27,7 @@ SAMPLE, ROUNDS = 20_000, 40
 SIZE = 1 << 13
 SHAPES = 1 << 10
 SLICE_BYTES = 4 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes to classes of a word's shape: A for capitals, a for small letters and non-ASCII, 0 for digits, others as they are.
 SHAPE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if b >= 0x80 or 0x61 <= b <= 0x7A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
@@ -41,12 +41,13 @@ def shape_of(word: bytes) -> bytes:
 
 
 class Hashed(dict):
-    """Word to (bucket of the word, bucket of its shape)."""
+    """Word to bucket of the word times SHAPES, plus bucket of its shape."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = both = (SHAPES + xxhash.xxh3_64_intdigest(word.lower()) % (SIZE - SHAPES - 8), xxhash.xxh3_64_intdigest(shape_of(word)) % SHAPES)
+        bucket = SHAPES + xxhash.xxh3_64_intdigest(word.lower()) % (SIZE - SHAPES - 8)
+        self[word] = both = bucket * SHAPES + xxhash.xxh3_64_intdigest(shape_of(word)) % SHAPES
         return both
 
 
@@ -59,10 +60,10 @@ def text_features(text: str | None, hashed: Hashed) -> tuple[np.ndarray, np.ndar
     size = SIZE - 8
     dense = [1.0, min(1.0, n / 50), np.log1p(n) / 10, len(words) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), min(2.0, len(raw) / max(1, n) / 10)]
     if n:
-        both = np.array([hashed[w] for w in words])
+        both = np.fromiter(map(hashed.__getitem__, words), np.int64, len(words))
         counts = np.fromiter(words.values(), np.float64, len(words))
         log = np.log1p(counts)
-        index = np.concatenate((both[:, 0], both[:, 1], size + np.arange(len(dense))))
+        index = np.concatenate((both // SHAPES, both % SHAPES, size + np.arange(len(dense))))
         value = np.concatenate((log / np.sqrt((log**2).sum()), 3 * counts / n, dense))
     else:
         index, value = size + np.arange(len(dense)), np.array(dense)
@@ -199,6 +200,14 @@ def train(docs: DataFrame, grades: DataFrame, *, limit: int = SAMPLE, rounds: in
     return fit(featured(rows, keep=("grade",)), SIZE, rounds=rounds, l2=1e-4, rate=0.3)
 
 
+def latent(model: OrdinalModel, texts: pa.Array, hashed: Hashed) -> np.ndarray:
+    out = []
+    for text in texts.to_pylist():
+        index, value = text_features(text, hashed)
+        out.append(float(value @ model.weights[index]))
+    return np.array(out)
+
+
 def grade_documents(docs: DataFrame, model: OrdinalModel, least: float, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``keep``, expected_grade, tail_probability of a grade of at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -210,17 +219,21 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least: float, *, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, m = Hashed(), shared.value
         for batch in sliced(batches, "__text", SLICE_BYTES):
-            latent = []
-            for text in batch.column("__text").to_pylist():
-                index, value = text_features(text, hashed)
-                latent.append(float(value @ m.weights[index]))
-            expected, tail = m.score(np.array(latent), least)
+            expected, tail = m.score(latent(m, batch.column("__text"), hashed), least)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], [*cols, "expected_grade", "tail_probability"])
 
     return base.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")
 
 
-def select_documents(docs: DataFrame, model: OrdinalModel, least: float, probability: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, unchanged, whose tail probability is at least ``probability``."""
-    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return grade_documents(row, model, least, id_col="row").where(F.col("tail_probability") >= probability).select("row.*")
+def select_documents(docs: DataFrame, model: OrdinalModel, least: float, probability: float = 0.5, *, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, unchanged, whose tail probability is at least ``probability``. The text column must hold strings."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, m = Hashed(), shared.value
+        for batch in sliced(batches, f"c{at}", SLICE_BYTES):
+            _, tail = m.score(latent(m, batch.column(at), hashed), least)
+            yield batch.filter(pa.array(tail >= probability))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

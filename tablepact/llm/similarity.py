@@ -49,7 +49,7 @@ SKETCH = 256
 #: Nodes of more classes are held against a central class; larger groups than CHUNK are compared as pairs of chunks.
 CENTRAL, CHUNK, CHUNK_BYTES = 64, 2048, 16 << 20
 SLICE_BYTES = 4 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 BLOCK_PAIRS = 4000
 
 
