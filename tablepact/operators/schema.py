@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import add, and_, ge, gt, le, lt, or_
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import formats
 from ..functions.strings import bind, java_pattern, utf16_length
@@ -23,6 +26,8 @@ VIOLATION = "struct<keyword:string,data_path:string,schema_path:string,message:s
 NONE = f"array<{VIOLATION}>"
 #: Most violations of additional properties at one object.
 MAX_ADDITIONAL = 100
+#: Keyword, whether it is broken, and what to say of it.
+Check = tuple[str, Column, str]
 UNCOMPILED = ("unevaluatedProperties", "unevaluatedItems")
 BEYOND_JAVA = re.compile(r"\(\?[&RP(|]|\(\?\d|\\[gKRX]|\(\*")
 
@@ -94,7 +99,83 @@ class Compiler:
         return value.bound(lambda v: self._all(schema, v, path, at))
 
     def valid(self, schema: Any, value: Typed | Variant) -> Column:
-        return F.size(self.violations(schema, value)) == 0
+        """Whether there are no violations, as a condition of its own: none is made to be counted. Never null."""
+        if schema is True or schema == {}:
+            return F.lit(True)
+        if schema is False:
+            return F.lit(False)
+        if isinstance(schema.get("$ref"), str):
+            rest = {k: v for k, v in schema.items() if k != "$ref"}
+            found = self.valid(self.contract.schema(schema["$ref"]), value)
+            return found & self.valid(rest, value) if rest else found
+        return value.bound(lambda v: self._valid(schema, v))
+
+    def _valid(self, s: dict, v) -> Column:
+        parts = []
+        if isinstance(s.get("discriminator"), dict):
+            parts.append(self._discriminated(s, v))
+            if "oneOf" in s:
+                return parts[0]
+        parts += [~F.coalesce(wrong, F.lit(False)) for _, wrong, _ in [*self._scalars(s, v), *self._sizes(s, v)]]
+        parts += [*self._valid_objects(s, v), *self._valid_arrays(s, v)]
+        parts += [self.valid(sub, v) for sub in s.get("allOf") or []]
+        for k in ("anyOf", "oneOf"):
+            if s.get(k):
+                fits = [self.valid(sub, v) for sub in s[k]]
+                parts.append(reduce(or_, fits) if k == "anyOf" else reduce(add, (x.cast("int") for x in fits)) == 1)
+        if "not" in s:
+            parts.append(~self.valid(s["not"], v))
+        if "if" in s and ("then" in s or "else" in s):
+            parts.append(F.when(self.valid(s["if"], v), self.valid(s.get("then", True), v)).otherwise(self.valid(s.get("else", True), v)))
+        return reduce(and_, parts) if parts else F.lit(True)
+
+    def _valid_objects(self, s: dict, v) -> list[Column]:
+        out, is_object = [], v.is_type("object")
+        if s.get("required"):
+            there = [F.coalesce(got[1], F.lit(False)) if (got := v.get(k)) is not None else F.lit(False) for k in s["required"]]
+            out.append(reduce(and_, there) | ~is_object)
+        for name, sub in (s.get("properties") or {}).items():
+            if (got := v.get(name)) is not None and sub is not True and sub != {}:
+                barred = {"request": "readOnly", "response": "writeOnly"}.get(self.mode)
+                no = barred and isinstance(sub, dict) and self.contract.deref(sub).get(barred) is True
+                out.append(~F.coalesce(got[1], F.lit(False)) | (F.lit(False) if no else self.valid(sub, got[0])))
+        every = lambda names, sub: (None if (found := v.members(names, lambda x, k: self.valid(sub, x))) is None else ~is_object | F.forall(found, lambda x: x))
+        patterns = s.get("patternProperties") or {}
+        for pattern, sub in patterns.items():
+            if (held := every(F.filter(v.keys(), lambda k: k.rlike(java_pattern(pattern))), sub)) is not None:  # noqa: B023  (called at once)
+                out.append(held)
+        extra = s.get("additionalProperties", True)
+        if extra is not True and extra != {}:
+            names = self._additional(s, v)
+            held = ~is_object | (F.size(names) == 0) if extra is False else every(names, extra)
+            out += [held] if held is not None else []
+        if "propertyNames" in s:
+            out.append(~is_object | F.forall(v.keys(), lambda k: self.valid(s["propertyNames"], Typed(k, StringType()))))
+        for name, sub in (s.get("dependentSchemas") or {}).items():
+            out.append(~(is_object & F.array_contains(v.keys(), name)) | self.valid(sub, v))
+        return out
+
+    @staticmethod
+    def _additional(s: dict, v) -> Column:
+        """Names of properties that neither properties nor patternProperties know."""
+        known = list(s.get("properties") or {})
+        names = F.array_except(v.keys(), F.array(*map(F.lit, known))) if known else v.keys()
+        for pattern in s.get("patternProperties") or {}:
+            names = F.filter(names, lambda k: ~k.rlike(java_pattern(pattern)))  # noqa: B023  (called at once)
+        return names
+
+    def _valid_arrays(self, s: dict, v) -> list[Column]:
+        out, is_array = [], v.is_type("array")
+        prefix = s.get("prefixItems") or []
+        for i, sub in enumerate(prefix):
+            if (x := v.element(i)) is not None:
+                out.append(~(is_array & (v.size() > i)) | self.valid(sub, x))
+        items = s.get("items", True)
+        if items is False:
+            out.append(~(is_array & (v.size() > len(prefix))))
+        elif items is not True and items != {} and (found := v.elements(lambda x, i: self.valid(items, x), len(prefix))) is not None:
+            out.append(~is_array | F.forall(found, lambda x: x))
+        return out
 
     def _one(self, keyword: str, path: Column, at: str, message: str | Column, suffix: str | None = None) -> Column:
         text = F.lit(message) if isinstance(message, str) else message
@@ -110,7 +191,7 @@ class Compiler:
                 return routed
         else:
             routed = None
-        flat = [*self._scalars(s, v, path, at), *self._sizes(s, v, path, at)]
+        flat = [self._if(wrong, k, path, at, message) for k, wrong, message in [*self._scalars(s, v), *self._sizes(s, v)]]
         parts = [F.array_compact(F.array(*flat))] if flat else []
         parts += [routed] if routed is not None else []
         parts += [*self._objects(s, v, path, at), *self._arrays(s, v, path, at), *self._composed(s, v, path, at)]
@@ -118,42 +199,44 @@ class Compiler:
 
     # scalars
 
-    def _scalars(self, s: dict, v, path: Column, at: str) -> list[Column]:
-        out = []
+    def _scalars(self, s: dict, v) -> list[Check]:
+        out: list[Check] = []
         if "type" in s:
             kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
             kinds = [*kinds, *(["null"] if s.get("nullable") is True else [])]
             fits = F.lit(False)
             for k in kinds:
                 fits = fits | v.is_type(k)
-            out.append(self._if(~fits, "type", path, at, f"is not of type {' or '.join(kinds)}"))
+            out.append(("type", ~fits, f"is not of type {' or '.join(kinds)}"))
         if "enum" in s:
             keys = [scalar_key(x) for x in s["enum"]]
-            out.append(self._if(~v.key().isin(*keys) if keys else F.lit(True), "enum", path, at, "is none of the allowed values"))
+            out.append(("enum", ~v.key().isin(*keys) if keys else F.lit(True), "is none of the allowed values"))
         if "const" in s:
-            out.append(self._if(v.key() != scalar_key(s["const"]), "const", path, at, "is not the required value"))
+            out.append(("const", v.key() != scalar_key(s["const"]), "is not the required value"))
         text, number = v.string(), v.number()
         for k, wrong in (("minLength", lambda n: utf16_length(text) < n), ("maxLength", lambda n: utf16_length(text) > n)):
             if k in s:
-                out.append(self._if(wrong(s[k]), k, path, at, f"breaks {k} {s[k]}"))
+                out.append((k, wrong(s[k]), f"breaks {k} {s[k]}"))
         if s.get("pattern"):
-            out.append(self._if(~text.rlike(java_pattern(s["pattern"])), "pattern", path, at, "does not match the pattern"))
-        bounds = {"minimum": lambda x: number < x, "maximum": lambda x: number > x, "exclusiveMinimum": lambda x: number <= x, "exclusiveMaximum": lambda x: number >= x}
-        for k, wrong in bounds.items():
+            out.append(("pattern", ~text.rlike(java_pattern(s["pattern"])), "does not match the pattern"))
+        for k, wrong in {"minimum": lt, "maximum": gt, "exclusiveMinimum": le, "exclusiveMaximum": ge}.items():
             if k in s and not isinstance(s[k], bool):
-                out.append(self._if(F.isnan(number) | wrong(F.lit(float(s[k]))), k, path, at, f"breaks {k} {s[k]}"))
+                hit = F.isnan(number) | wrong(number, F.lit(float(s[k])))
+                if 2**53 <= abs(s[k]) < 2**63 and s[k] == int(s[k]):  # doubles can't tell such integers apart
+                    hit = F.coalesce(wrong(v.integer(), F.lit(int(s[k]))), hit)
+                out.append((k, hit, f"breaks {k} {s[k]}"))
         if "multipleOf" in s:
-            out.append(self._if(~self._multiple(v, s["multipleOf"]), "multipleOf", path, at, f"is not a multiple of {s['multipleOf']}"))
+            out.append(("multipleOf", ~self._multiple(v, s["multipleOf"]), f"is not a multiple of {s['multipleOf']}"))
         if "format" in s and "type" in s:
             kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
             wrong = self._format(next((k for k in kinds if k != "null"), "null"), s["format"], v, text)
             if wrong is not None:
-                out.append(self._if(wrong, "format", path, at, f"is not a {s['format']}"))
+                out.append(("format", wrong, f"is not a {s['format']}"))
         if s.get("contentEncoding") == "base64":
-            out.append(self._if(F.coalesce(F.base64(F.try_to_binary(text, F.lit("base64"))) != text, text.isNotNull()), "contentEncoding", path, at, "is not base64"))
+            out.append(("contentEncoding", F.coalesce(F.base64(F.try_to_binary(text, F.lit("base64"))) != text, text.isNotNull()), "is not base64"))
         if "contentMediaType" in s:
             raw = F.when(F.lit(s.get("contentEncoding") == "base64"), F.decode(F.try_to_binary(text, F.lit("base64")), "UTF-8")).otherwise(text)
-            out.append(self._if(text.isNotNull() & ~media_syntax(s["contentMediaType"], raw), "contentMediaType", path, at, f"is not {s['contentMediaType']}"))
+            out.append(("contentMediaType", text.isNotNull() & ~media_syntax(s["contentMediaType"], raw), f"is not {s['contentMediaType']}"))
         return out
 
     @staticmethod
@@ -180,27 +263,27 @@ class Compiler:
 
     # objects
 
-    def _sizes(self, s: dict, v, path: Column, at: str) -> list[Column]:
-        out = []
+    def _sizes(self, s: dict, v) -> list[Check]:
+        out: list[Check] = []
         for k, size, kind in (("minItems", v.size, "array"), ("maxItems", v.size, "array"), ("minProperties", lambda: F.size(v.keys()), "object"), ("maxProperties", lambda: F.size(v.keys()), "object")):
             if k in s:
                 wrong = size() < s[k] if k.startswith("min") else size() > s[k]
-                out.append(self._if(v.is_type(kind) & wrong, k, path, at, f"breaks {k} {s[k]}"))
+                out.append((k, v.is_type(kind) & wrong, f"breaks {k} {s[k]}"))
         if s.get("uniqueItems") is True and (keys := v.elements(lambda x, i: x.key())) is not None:
-            out.append(self._if(bind(keys, lambda k: F.size(F.array_distinct(k)) < F.size(k)), "uniqueItems", path, at, "has equal items"))
+            out.append(("uniqueItems", bind(keys, lambda k: F.size(F.array_distinct(k)) < F.size(k)), "has equal items"))
         if "contains" in s and (hits := v.elements(lambda x, i: self.valid(s["contains"], x))) is not None:
             n, least, most = F.size(F.filter(hits, lambda x: x)), s.get("minContains", 1), s.get("maxContains")
-            out.append(self._if(v.is_type("array") & (n < least), "contains", path, at, f"has under {least} matching items"))
+            out.append(("contains", v.is_type("array") & (n < least), f"has under {least} matching items"))
             if most is not None:
-                out.append(self._if(v.is_type("array") & (n > most), "maxContains", path, at, f"has over {most} matching items"))
+                out.append(("maxContains", v.is_type("array") & (n > most), f"has over {most} matching items"))
         return out
 
     def _objects(self, s: dict, v, path: Column, at: str) -> list[Column]:
         out, is_object = [], v.is_type("object")
         child = lambda key: F.concat(path, F.lit("/"), key)
-        missing_of = lambda names: F.array_except(F.array(*map(F.lit, names)), v.keys())
         if s.get("required"):
-            missing = F.transform(missing_of(s["required"]), lambda k: self._one("required", child(k), at, F.concat(k, F.lit(" is missing"))))
+            there = {k: F.coalesce(got[1], F.lit(False)) if (got := v.get(k)) is not None else F.lit(False) for k in dict.fromkeys(s["required"])}
+            missing = F.array_compact(F.array(*(F.when(~x, self._one("required", child(F.lit(k)), at, f"{k} is missing")) for k, x in there.items())))
             out.append(F.when(is_object, missing).otherwise(none()))
         for name, sub in (s.get("properties") or {}).items():
             if (got := v.get(name)) is not None and sub is not True and sub != {}:
@@ -210,7 +293,7 @@ class Compiler:
                     barred = {"request": "readOnly", "response": "writeOnly"}[self.mode]
                     if self.contract.deref(sub).get(barred) is True:
                         found = F.concat(F.array(self._one(barred, child(F.lit(name)), f"{at}/properties/{name}", f"must not be in a {self.mode}")), found)
-                out.append(F.when(is_object & F.coalesce(present, F.lit(False)), found).otherwise(none()))
+                out.append(F.when(F.coalesce(present, F.lit(False)), found).otherwise(none()))
         patterns = s.get("patternProperties") or {}
         for pattern, sub in patterns.items():
             names = F.filter(v.keys(), lambda k: k.rlike(java_pattern(pattern)))  # noqa: B023  (called at once)
@@ -219,19 +302,16 @@ class Compiler:
                 out.append(F.when(is_object, F.flatten(found)).otherwise(none()))
         extra = s.get("additionalProperties", True)
         if extra is not True and extra != {}:
-            known = list(s.get("properties") or {})
-            names = F.array_except(v.keys(), F.array(*map(F.lit, known))) if known else v.keys()
-            for pattern in patterns:
-                names = F.filter(names, lambda k: ~k.rlike(java_pattern(pattern)))  # noqa: B023  (called at once)
+            names = self._additional(s, v)
             if extra is False:
-                found = F.transform(F.slice(names, 1, MAX_ADDITIONAL), lambda k: self._one("additionalProperties", child(k), at, F.concat(k, F.lit(" isn't allowed"))))
+                one = lambda k: self._one("additionalProperties", child(k), at, F.concat(k, F.lit(" isn't allowed")))
+                over = lambda ks: F.array_compact(F.array(self._if(F.size(ks) > MAX_ADDITIONAL, "additionalProperties", path, at, F.concat((F.size(ks) - MAX_ADDITIONAL).cast("string"), F.lit(" more aren't allowed")))))
+                found = bind(names, lambda ks: F.concat(F.transform(F.slice(ks, 1, MAX_ADDITIONAL), one), over(ks)))
                 out.append(F.when(is_object, found).otherwise(none()))
             elif (found := v.members(names, lambda x, k: self.violations(extra, x, child(k), f"{at}/additionalProperties"))) is not None:
                 out.append(F.when(is_object, F.flatten(found)).otherwise(none()))
         if "propertyNames" in s:
-            from pyspark.sql.types import StringType
-
-            found = F.transform(v.keys(), lambda k: F.when(F.size(self.violations(s["propertyNames"], Typed(k, StringType()))) > 0, self._one("propertyNames", child(k), at, "isn't an allowed name")))
+            found = F.transform(v.keys(), lambda k: F.when(~self.valid(s["propertyNames"], Typed(k, StringType())), self._one("propertyNames", child(k), at, "isn't an allowed name")))
             out.append(F.when(is_object, F.array_compact(found)).otherwise(none()))
         for name, sub in (s.get("dependentSchemas") or {}).items():
             out.append(F.when(is_object & F.array_contains(v.keys(), name), self.violations(sub, v, path, f"{at}/dependentSchemas/{name}")).otherwise(none()))
@@ -259,25 +339,45 @@ class Compiler:
         out = [self.violations(sub, v, path, f"{at}/allOf/{i}") for i, sub in enumerate(s.get("allOf") or [])]
         for k in ("anyOf", "oneOf"):
             if s.get(k):
-                ok = [F.size(self.violations(sub, v, path, f"{at}/{k}/{i}")) == 0 for i, sub in enumerate(s[k])]
-                n = sum((x.cast("int") for x in ok[1:]), ok[0].cast("int"))
+                ok = [self.valid(sub, v) for sub in s[k]]
+                n = reduce(add, (x.cast("int") for x in ok))
                 wrong = n != 1 if k == "oneOf" else n == 0
                 out.append(F.array_compact(F.array(self._if(wrong, k, path, at, F.concat(F.lit("fits "), n.cast("string"), F.lit(f" of {len(ok)} schemas"))))))
         if "not" in s:
-            out.append(F.array_compact(F.array(self._if(F.size(self.violations(s["not"], v, path, f"{at}/not")) == 0, "not", path, at, "fits a schema that it must not fit"))))
+            out.append(F.array_compact(F.array(self._if(self.valid(s["not"], v), "not", path, at, "fits a schema that it must not fit"))))
         if "if" in s and ("then" in s or "else" in s):
-            ok = F.size(self.violations(s["if"], v, path, f"{at}/if")) == 0
+            ok = self.valid(s["if"], v)
             out.append(F.when(ok, self.violations(s.get("then", True), v, path, f"{at}/then")).otherwise(self.violations(s.get("else", True), v, path, f"{at}/else")))
         return out
 
-    def _discriminator(self, s: dict, v, path: Column, at: str) -> Column:
-        """One branch for each value of the property: explicit mapping first, then the last part of each reference."""
-        d = s["discriminator"]
-        name = d["propertyName"]
+    def _routes(self, s: dict) -> tuple[dict[str, str], str | None]:
+        """References by value of the property, explicit mapping first, then the last part of each; and the default."""
+        d, whole = s["discriminator"], lambda r: r if "/" in r or "#" in r else f"#/components/schemas/{r}"
         table: dict[str, str] = {}
         for k in ("oneOf", "anyOf", "allOf"):
             table |= {sub["$ref"].rsplit("/", 1)[-1]: sub["$ref"] for sub in s.get(k) or [] if isinstance(sub, dict) and "$ref" in sub}
-        table |= {k: r if "/" in r or "#" in r else f"#/components/schemas/{r}" for k, r in (d.get("mapping") or {}).items()}
+        table |= {k: whole(r) for k, r in (d.get("mapping") or {}).items()}
+        return table, whole(d["defaultMapping"]) if d.get("defaultMapping") else None
+
+    def _discriminated(self, s: dict, v) -> Column:
+        table, default = self._routes(s)
+        name = s["discriminator"].get("propertyName")
+        if name is None:
+            return self.valid({"$ref": default}, v) if default else F.lit(True)
+        if (got := v.get(name)) is None:
+            return F.lit(False)
+        text = got[0].string()
+        made = F.when(~v.is_type("object") | ~F.coalesce(got[1], F.lit(False)) | text.isNull(), F.lit(False))
+        for key, ref in table.items():
+            made = made.when(text == key, self.valid({"$ref": ref}, v))
+        return made.otherwise(self.valid({"$ref": default}, v) if default else F.lit(False))
+
+    def _discriminator(self, s: dict, v, path: Column, at: str) -> Column:
+        """One branch for each value of the property. Without a name of the property the default alone counts."""
+        table, default = self._routes(s)
+        name = s["discriminator"].get("propertyName")
+        if name is None:
+            return self.violations({"$ref": default}, v, path, at) if default else none()
         got = v.get(name)
         fail = lambda message: F.array(self._one("discriminator", path, at, message))
         if got is None:
@@ -287,17 +387,51 @@ class Compiler:
         made = F.when(~v.is_type("object"), fail("is not an object")).when(~F.coalesce(present, F.lit(False)), fail(f"{name} is missing")).when(text.isNull(), fail(f"{name} is not a string"))
         for key, ref in table.items():
             made = made.when(text == key, self.violations({"$ref": ref}, v, path, f"{at}/discriminator"))
-        default = d.get("defaultMapping")
-        return made.otherwise(self.violations({"$ref": default if "/" in default else f"#/components/schemas/{default}"}, v, path, at) if default else fail(f"{name} names no schema"))
+        return made.otherwise(self.violations({"$ref": default}, v, path, at) if default else fail(f"{name} names no schema"))
+
+    def warnings(self, schema: Any, value: Typed | Variant, path: Column | None = None, at: str = "#") -> Column:
+        """Deprecated properties that are there, at any depth of properties and items; they make nothing invalid."""
+        path = F.lit("") if path is None else path
+        schema = self.contract.schema(schema["$ref"]) if isinstance(schema, dict) and isinstance(schema.get("$ref"), str) else schema
+        if not has_deprecated(self.contract, schema):
+            return none()
+
+        def of(v) -> Column:
+            parts = []
+            for name, sub in (schema.get("properties") or {}).items():
+                if isinstance(sub, dict) and (got := v.get(name)) is not None:
+                    here = F.concat(path, F.lit(f"/{name}"))
+                    own = F.array(self._one("deprecated", here, f"{at}/properties/{name}", f"{name} is deprecated")) if self.contract.deref(sub).get("deprecated") is True else none()
+                    parts.append(F.when(F.coalesce(got[1], F.lit(False)), F.concat(own, self.warnings(sub, got[0], here, f"{at}/properties/{name}"))).otherwise(none()))
+            items = schema.get("items")
+            if isinstance(items, dict) and has_deprecated(self.contract, items) and (found := v.elements(lambda x, i: self.warnings(items, x, F.concat(path, F.lit("/"), i.cast("string")), f"{at}/items"))) is not None:
+                parts.append(F.coalesce(F.flatten(found), none()))
+            return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none()
+
+        return value.bound(of)
+
+
+def has_deprecated(contract: Contract, schema: Any, seen: tuple[str, ...] = ()) -> bool:
+    """Whether a property below is deprecated; a reference is followed once on each path."""
+    if not isinstance(schema, dict):
+        return False
+    if isinstance(ref := schema.get("$ref"), str):
+        return ref not in seen and has_deprecated(contract, contract.resolve(ref)[0], (*seen, ref))
+    below = (schema.get("properties") or {}).values()
+    return any(isinstance(x, dict) and contract.deref(x).get("deprecated") is True for x in below) or any(has_deprecated(contract, x, seen) for x in [*below, schema.get("items")])
+
+
+#: How a text of a media type looks; of other types none does. JSON is parsed.
+MEDIA = {
+    "text/plain": r"", "application/octet-stream": r"", "text/html": r"(?is)^\s*(?:<!doctype html|<html|<[a-z][^>]*>)", "application/xml": r"(?s)^\s*<[^>]+>.*>\s*$", "text/xml": r"(?s)^\s*<[^>]+>.*>\s*$",
+    "image/svg+xml": r"<svg[\s>]", "application/pdf": r"^%PDF-", "image/png": r"^.PNG", "image/gif": r"^GIF8[79]a", "image/jpeg": "^\ufffd{2}", "multipart/form-data": r"^--",
+    "application/x-www-form-urlencoded": r"^[^\s=&]*(?:=[^\s&]*)?(?:&[^\s&]*){0,999}$",
+}
 
 
 def media_syntax(media: str, raw: Column) -> Column:
-    """Whether a text looks like the media type; types that aren't known never do."""
-    rules = {
-        "application/json": lambda: F.try_parse_json(raw).isNotNull(), "text/plain": lambda: F.lit(True), "application/octet-stream": lambda: F.lit(True),
-        "text/html": lambda: raw.rlike(r"(?is)^\s*(?:<!doctype html|<html|<[a-z][^>]*>)"), "application/xml": lambda: raw.rlike(r"(?s)^\s*<[^>]+>.*>\s*\z"), "text/xml": lambda: raw.rlike(r"(?s)^\s*<[^>]+>.*>\s*\z"),
-        "image/svg+xml": lambda: raw.rlike(r"(?s)<svg[\s>]"), "application/pdf": lambda: F.startswith(raw, F.lit("%PDF-")), "image/png": lambda: raw.rlike(r"^.PNG"), "image/gif": lambda: raw.rlike("^GIF8[79]a"),
-        "image/jpeg": lambda: raw.rlike(r"^\x{FFFD}{2}"), "multipart/form-data": lambda: F.startswith(raw, F.lit("--")), "application/x-www-form-urlencoded": lambda: raw.rlike(r"^[^\s=&]*(?:=[^\s&]*)?(?:&[^\s&]*){0,999}\z"),
-    }
-    rule = rules.get(media.lower())
-    return F.coalesce(rule(), F.lit(False)) if rule else F.lit(False)
+    """Whether a text looks like the media type."""
+    if media.lower() == "application/json":
+        return F.try_parse_json(raw).isNotNull()
+    rule = MEDIA.get(media.lower())
+    return F.lit(False) if rule is None else F.coalesce(raw.rlike(rule), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -35,7 +36,7 @@ class Typed:
         if name == "null":
             return ~there
         if name == "integer" and isinstance(k, (T.FloatType, T.DoubleType, T.DecimalType)):
-            return there & F.coalesce((self.c == F.floor(self.c)) & (F.abs(self.c) < float("inf")), F.lit(False))
+            return there & F.coalesce(self.c % 1 == 0, F.lit(False))
         fits = {
             "string": isinstance(k, (T.StringType, T.DateType, T.TimestampType)), "number": isinstance(k, NUMBERS), "integer": isinstance(k, INTEGRAL), "boolean": isinstance(k, T.BooleanType),
             "array": isinstance(k, T.ArrayType), "object": isinstance(k, (T.StructType, T.MapType)),
@@ -127,7 +128,7 @@ class Variant:
         number = t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
         made = {
             "string": t == "STRING", "boolean": t == "BOOLEAN", "array": F.startswith(t, F.lit("ARRAY")), "object": F.startswith(t, F.lit("OBJECT")), "number": number,
-            "integer": (t == "BIGINT") | number & F.coalesce((self.number() == F.floor(self.number())) & (F.abs(self.number()) < float("inf")), F.lit(False)),
+            "integer": (t == "BIGINT") | number & F.coalesce(self.number() % 1 == 0, F.lit(False)),
         }[name]
         return F.coalesce(made, F.lit(False))
 
@@ -170,8 +171,11 @@ class Variant:
         return F.coalesce(F.map_keys(self.map()), F.array().cast("array<string>"))
 
     def get(self, key: str) -> tuple[Variant, Column]:
-        value = F.try_element_at(self.map(), F.lit(key))
-        return Variant(value), F.array_contains(self.keys(), key)
+        """A member by its path, so that the object isn't taken apart; of what isn't an object none is present."""
+        if re.search(r"['\\\]]", key):
+            return Variant(F.try_element_at(self.map(), F.lit(key))), F.array_contains(self.keys(), key)
+        value = F.try_variant_get(self.c, f"$['{key}']", "variant")
+        return Variant(value), value.isNotNull()
 
     def members(self, names: Column, body: Callable[[Variant, Column], Column]) -> Column:
         return F.transform(names, lambda k: body(Variant(F.try_element_at(self.map(), k)), k))
