@@ -14,8 +14,12 @@ def to_boolean(s: Column, strict: bool = True) -> Column:
     return known if strict else known.otherwise(~s.isin("", "0"))
 
 
-def to_integer(s: Column) -> Column:
-    """Digits with a sign or without, leading zeros dropped; what doesn't fit 64 bits is null."""
+def to_integer(s: Column, strict: bool = True) -> Column:
+    """Digits with a sign or without, leading zeros dropped; what doesn't fit 64 bits is null. Leniently the number that a text
+    begins with, cut to an integer, and 0 where it begins with none."""
+    if not strict:
+        number = F.regexp_extract(s, r"^[ \t\n\r\x0b\f]*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+        return F.when(s.isNotNull(), F.when(number == "", F.lit(0).cast("bigint")).otherwise(number.try_cast("decimal(38,9)").try_cast("bigint")))
     return F.when(s.rlike(r"^[+-]?\d+\z"), s.try_cast("bigint"))
 
 

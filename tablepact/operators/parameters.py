@@ -14,7 +14,8 @@ SEPARATOR = {"pipeDelimited": r"[|]", "spaceDelimited": " "}
 
 
 def cookie_pairs(header: Column) -> Column:
-    return pairs(F.regexp_replace(header, r";\s*", ";"), ";")
+    """Cookies aren't forms: ``+`` stays."""
+    return pairs(F.regexp_replace(header, r";\s*", ";"), ";", plus=False)
 
 
 def header_value(headers: Column, name: str) -> Column:

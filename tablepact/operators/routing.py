@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.contract import Contract, Operation
+from ..sources.contract import Contract, ContractError, Operation
 from ..sources.decoders import pairs, values_of
 from .parameters import cookie_pairs, header_value
 
@@ -26,18 +26,61 @@ def strip_server(path: Column, contract: Contract, **values: str) -> Column:
     made = None
     for base in contract.servers(**values):
         hit = (path == base) | F.startswith(path, F.lit(base + "/"))
-        rest = F.when(path == base, "/").otherwise(F.substring(path, len(base) + 1, 1_000_000))
+        rest = F.when(path == base, "/").otherwise(F.substring(path, F.lit(len(base) + 1), F.length(path)))
         made = F.when(hit, rest) if made is None else made.when(hit, rest)
     return path if made is None else made.otherwise(path)
 
 
+def shape(template: str) -> str | None:
+    """What must equal in a path for the template to fit: its number of slashes and its first literal segment; None where a
+    placeholder takes several segments."""
+    if "{+" in template:
+        return None
+    first = template.split("/")[1] if template.count("/") else template
+    return f"{template.count('/')} " + ("" if "{" in first else first)
+
+
 def match_route(contract: Contract, method: Column, path: Column) -> Column:
-    """The index of the operation in ``ranked``; null where none fits."""
-    made = None
-    for i, op in enumerate(ranked(contract)):
-        hit = (F.lower(method) == op.method) & path.rlike(op.regex)
-        made = F.when(hit, i) if made is None else made.when(hit, i)
-    return F.lit(None).cast("int") if made is None else made
+    """The index of the operation in ``ranked``; null where none fits.
+
+    Literal paths are looked up in one map. Others are grouped by method and ``shape``, and a path tries the patterns of its
+    groups only; of what fits, the first in ``ranked`` counts.
+    """
+    known = list(enumerate(ranked(contract)))
+    method = F.lower(method)
+    literal = {}
+    groups: dict[str | None, list] = {}
+    for i, op in known:
+        if op.path_names:
+            s = shape(op.template)
+            groups.setdefault(None if s is None else f"{op.method} {s}", []).append((i, op))
+        else:
+            literal.setdefault(f"{op.method} {op.template}", i)
+    found = []
+    if literal:
+        found.append(F.try_element_at(F.create_map(*(F.lit(x) for kv in literal.items() for x in kv)), F.concat(method, F.lit(" "), path)))
+
+    def tried(ops: list, by_method: bool) -> Column:
+        made = None
+        for i, op in ops:
+            hit = path.rlike(op.regex) & (method == op.method) if by_method else path.rlike(op.regex)
+            made = F.when(hit, i) if made is None else made.when(hit, i)
+        return made
+
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    first = F.when(F.startswith(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(2))).otherwise(path)
+    named = F.concat_ws(" ", method, slashes.cast("string"), first)
+    unnamed = F.concat(method, F.lit(" "), slashes.cast("string"), F.lit(" "))
+    for key, bare in ((named, False), (unnamed, True)):
+        made = None
+        for k, ops in groups.items():
+            if k is not None and k.endswith(" ") == bare:
+                made = F.when(key == k, tried(ops, False)) if made is None else made.when(key == k, tried(ops, False))
+        if made is not None:
+            found.append(made)
+    if None in groups:
+        found.append(tried(groups[None], True))
+    return F.lit(None).cast("int") if not found else F.least(*found) if len(found) > 1 else found[0]
 
 
 def routes_table(spark: SparkSession, contract: Contract) -> DataFrame:
@@ -112,7 +155,7 @@ def secure(contract: Contract, requirements: list[dict] | None, message: dict[st
                 }[s["in"]](s["name"])
                 ok = F.coalesce(value, F.lit("")) != ""
             else:
-                ok = F.lit(False)
+                raise ContractError(f"security scheme {name} isn't supported")
             every = every & F.coalesce(ok, F.lit(False))
         some = some | every
     return some

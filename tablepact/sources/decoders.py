@@ -25,7 +25,10 @@ def is_streaming(content_type: Column) -> Column:
     return media(content_type).isin(*STREAMS)
 
 
-def too_large(body: Column, limit: int = MAX_JSON) -> Column:
+def too_large(body: Column, content_type: Column | None = None) -> Column:
+    """Beyond the limit of the media type: XML, multipart, or what holds for all others."""
+    m = F.lit("") if content_type is None else F.coalesce(media(content_type), F.lit(""))
+    limit = F.when(m == "multipart/form-data", MAX_MULTIPART).when(m.isin("application/xml", "text/xml"), MAX_XML).otherwise(MAX_JSON)
     return F.octet_length(body) > limit
 
 
@@ -40,14 +43,22 @@ def json_body(body: Column) -> Column:
     return F.try_parse_json(json_text(body))
 
 
-def decode_url(s: Column) -> Column:
-    return F.coalesce(F.try_url_decode(s), s)
+def decode_url(s: Column, plus: bool = True) -> Column:
+    """``plus``: whether ``+`` is a space, as in queries and forms."""
+    return F.coalesce(F.try_url_decode(s if plus else F.replace(s, F.lit("+"), F.lit("%2B"))), s)
 
 
-def pairs(query: Column, separator: str = "&") -> Column:
+def pairs(query: Column, separator: str = "&", plus: bool = True) -> Column:
     """Decoded (name, value) in order; a part without ``=`` has an empty value. All of them: ``too_many_pairs`` tells of more than allowed."""
     parts = F.filter(F.split(F.coalesce(query, F.lit("")), separator), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(decode_url(F.substring_index(p, "=", 1)).alias("name"), decode_url(F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("value")))
+    return F.transform(parts, lambda p: F.struct(decode_url(F.substring_index(p, "=", 1), plus).alias("name"), decode_url(F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(""), plus).alias("value")))
+
+
+def nested_pairs(found: Column) -> Column:
+    """(path, value) of pairs whose names have brackets: ``a[b][]=1`` has the path [a, b, ""]. An empty step appends to a list."""
+    steps = lambda n: F.filter(F.transform(F.split(n, r"\["), lambda x, i: F.when(i == 0, x).otherwise(F.regexp_replace(x, r"\]$", ""))), lambda x: x.isNotNull())
+    whole = lambda n: n.rlike(r"^[^\[\]]+(?:\[[^\[\]]*\])*\z")
+    return F.transform(found, lambda p: F.struct(F.when(whole(p["name"]), steps(p["name"])).otherwise(F.array(p["name"])).alias("path"), p["value"].alias("value")))
 
 
 def too_many_pairs(query: Column, separator: str = "&", limit: int = MAX_PAIRS) -> Column:
