@@ -37,9 +37,35 @@ def to_array(s: Column) -> Column:
 COERCE = {"integer": to_integer, "number": to_number, "boolean": to_boolean, "string": lambda s: s, "array": to_array}
 
 
-def coerce_json(s: Column, kinds: list[str]) -> Column:
+def coerce_body(contract, schema, v, strict: bool = True) -> Column:
+    """JSON text of a VARIANT (``values.Variant``) in which strings are what the schema's types take them for, at any depth of
+    properties and items; the rest stays as it is. The schema must be one without recursion."""
+    schema = contract.schema(schema["$ref"]) if isinstance(schema, dict) and isinstance(schema.get("$ref"), str) else schema
+    if not isinstance(schema, dict):
+        return F.to_json(v.c)
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    made = F.when(v.string().isNotNull(), coerce_json(v.string(), kinds, strict))
+    props, items = schema.get("properties") or {}, schema.get("items")
+    if props:
+        def member(e: Column) -> Column:
+            value = None
+            for name, sub in props.items():
+                one = coerce_body(contract, sub, type(v)(e["value"]), strict)
+                value = F.when(e["key"] == name, one) if value is None else value.when(e["key"] == name, one)
+            key = F.regexp_extract(F.to_json(F.struct(e["key"].alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
+            return F.concat(key, F.lit(":"), value.otherwise(F.to_json(e["value"])))
+
+        made = made.when(v.is_type("object"), F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(v.map()), member), ","), F.lit("}")))
+    if isinstance(items, dict):
+        made = made.when(v.is_type("array"), F.concat(F.lit("["), F.array_join(v.elements(lambda x, i: coerce_body(contract, items, x, strict)), ","), F.lit("]")))
+    return made.otherwise(F.to_json(v.c))
+
+
+def coerce_json(s: Column, kinds: list[str], strict: bool = True) -> Column:
     """A string as JSON text of the first of ``kinds`` that takes it; as a JSON string otherwise."""
-    out = [F.to_json(F.struct(COERCE[k](s).alias("v"))) for k in kinds if k in ("integer", "number", "boolean")]
+    lenient = {"integer": lambda x: to_integer(x, False), "boolean": lambda x: to_boolean(x, False)}
+    out = [F.to_json(F.struct((COERCE if strict else COERCE | lenient)[k](s).alias("v"))) for k in kinds if k in ("integer", "number", "boolean")]
     inner = [F.when(x != "{}", F.regexp_extract(x, r"^\{\"v\":(.*)\}\z", 1)) for x in out]
     text = F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
     return F.coalesce(*inner, text)

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coercion import coerce_body
 from ..operators import parameters, routing
 from ..operators.interpreter import violations_udf
 from ..operators.schema import Compiler, compilable, none
 from ..operators.values import Typed, Variant
 from ..sources import decoders
-from ..sources.contract import Contract
+from ..sources.contract import Contract, ContractError, Operation
 
 
 def violations(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, *, mode: str | None = None, strict_formats: bool = False, lane: str | None = None) -> Column:
@@ -28,7 +29,7 @@ def violations(df: DataFrame, column: str, schema: Any, contract: Contract | Non
     native = lane == "native" or lane is None and compilable(contract, schema)
     if not native:
         text = F.col(column) if isinstance(kind, T.StringType) else F.to_json(F.col(column))
-        return violations_udf(contract, schema, mode)(text)
+        return violations_udf(contract, schema, mode, strict_formats)(text)
     compiler = Compiler(contract, mode=mode, strict_formats=strict_formats)
     if isinstance(kind, T.StringType):
         value = F.try_parse_json(F.col(column))
@@ -69,53 +70,131 @@ def _joined(parts: list[Column]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none()
 
 
-def request_violations(contract: Contract, *, coerce: bool = True, security: bool = False) -> tuple[Column, Column]:
-    """(route, violations) of rows with method, path, query, headers (map of arrays), cookie, content_type, body."""
-    message = {k: F.col(k) for k in ("path", "query", "headers", "cookie", "method", "body")}
+def text_violations(contract: Contract, compiler: Compiler, schema: Any, text: Column, path: str, *, coerce: bool = False, strict: bool = True) -> Column:
+    """Violations of JSON text. Schemas that the compiler doesn't take go to the interpreter; ``coerce`` turns strings into what
+    the schema's types take them for first."""
+    if not compilable(contract, schema):
+        found = violations_udf(contract, schema, compiler.mode, compiler.strict)(text)
+        return F.transform(found, lambda v: F.struct(v["keyword"].alias("keyword"), F.concat(F.lit(path), v["data_path"]).alias("data_path"), v["schema_path"].alias("schema_path"), v["message"].alias("message")))
+    value = F.try_parse_json(text)
+    if coerce:
+        value = F.try_parse_json(coerce_body(contract, schema, Variant(value), strict))
+    return F.when(value.isNull(), _says("json", path, "is not JSON")).otherwise(compiler.violations(schema, Variant(value), F.lit(path)))
+
+
+def querystring_violations(contract: Contract, compiler: Compiler, p: dict, query: Column) -> Column:
+    """Of a parameter that is the whole query: ``content`` names its media type and schema. JSON is percent-decoded as a whole,
+    anything else is read as a form."""
+    if p.get("schema") is not None or not p.get("content"):
+        raise ContractError(f"parameter {p.get('name')} of the whole query needs content, not a schema")
+    parts = []
+    for name, node in contract.content(p).items():
+        text = decoders.decode_url(query) if name.endswith("json") else decoders.form_body(query)
+        parts.append(text_violations(contract, compiler, contract.schema(node.get("schema") or {}), text, "querystring"))
+    missing = _says("parameter", "querystring", "is missing") if p.get("required") else none()
+    return F.when(F.coalesce(query, F.lit("")) == "", missing).otherwise(_joined(parts))
+
+
+def operation_violations(contract: Contract, compiler: Compiler, op: Operation, message: dict[str, Column], *, coerce: bool = True, coerce_bodies: bool = False, strict: bool = True, security: bool = False) -> Column:
+    """Of the parameters, the body and, if asked for, the credentials of one operation."""
+    parts: list[Column] = []
+    for place in ("path", "query", "header", "cookie"):
+        for p in op.parameters:
+            if p.get("in") != place:
+                continue
+            schema = contract.schema(p.get("schema") or next((c.get("schema") for c in (p.get("content") or {}).values()), {}) or {})
+            schema = contract.schema(schema["$ref"]) if isinstance(schema, dict) and set(schema) == {"$ref"} else schema
+            text = parameters.parameter_json(p, schema, message, op.regex, op.path_names, coerce)
+            found = text_violations(contract, compiler, schema, text, f"{place}/{p['name']}")
+            missing = _says("parameter", f"{place}/{p['name']}", "is missing") if p.get("required") else none()
+            over = parameters.too_many_items(p, schema, message, op.regex, op.path_names)
+            parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found))
+    parts += [querystring_violations(contract, compiler, p, message["query"]) for p in op.parameters if p.get("in") == "querystring"]
+    body = contract.deref(op.definition.get("requestBody") or {})
+    if body:
+        parts.append(body_violations(contract, compiler, body, message["body"], message["content_type"], required=bool(body.get("required")), coerce=coerce_bodies, strict=strict))
+    if security:
+        parts.append(F.when(routing.secure(contract, op.definition.get("security"), message), none()).otherwise(_says("security", "", "no security requirement holds")))
+    return _joined(parts)
+
+
+MESSAGE = ("path", "query", "headers", "cookie", "method", "body", "content_type")
+
+
+def over_limits(message: dict[str, Column]) -> list[Column]:
+    limits = (("query", decoders.too_many_pairs(message["query"])), ("cookie", decoders.too_many_pairs(message["cookie"], ";", parameters.MAX_COOKIES)))
+    return [F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in limits]
+
+
+def request_violations(contract: Contract, **options) -> tuple[Column, Column]:
+    """(route, violations) of rows with method, path, query, headers (map of arrays), cookie, content_type, body.
+
+    ``options``: coerce (parameters, true), coerce_bodies (false), strict (true), security (false).
+    """
+    message = {k: F.col(k) for k in MESSAGE}
     message["path"] = routing.strip_server(message["path"], contract)
     route = routing.match_route(contract, F.col("method"), message["path"])
     made = F.when(route.isNull(), _says("route", "", "no operation fits"))
     compiler = Compiler(contract, mode="request")
     for i, op in enumerate(routing.ranked(contract)):
-        parts: list[Column] = []
-        for place in ("path", "query", "header", "cookie"):
-            for p in op.parameters:
-                if p.get("in") != place:
-                    continue
-                schema = contract.schema(p.get("schema") or next((c.get("schema") for c in (p.get("content") or {}).values()), {}) or {})
-                schema = contract.schema(schema["$ref"]) if isinstance(schema, dict) and set(schema) == {"$ref"} else schema
-                text = parameters.parameter_json(p, schema, message, op.regex, op.path_names, coerce)
-                found = compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"{place}/{p['name']}"))
-                missing = _says("parameter", f"{place}/{p['name']}", "is missing") if p.get("required") else none()
-                over = parameters.too_many_items(p, schema, message, op.regex, op.path_names)
-                parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found))
-        body = contract.deref(op.definition.get("requestBody") or {})
-        if body:
-            parts.append(body_violations(contract, compiler, body, F.col("body"), F.col("content_type"), required=bool(body.get("required"))))
-        if security:
-            parts.append(F.when(routing.secure(contract, op.definition.get("security"), message), none()).otherwise(_says("security", "", "no security requirement holds")))
-        made = made.when(route == i, _joined(parts))
-    over = [F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in (("query", decoders.too_many_pairs(message["query"])), ("cookie", decoders.too_many_pairs(message["cookie"], ";", parameters.MAX_COOKIES)))]
-    return route, _joined([*over, made.otherwise(none())])
-
-
-def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Column, content_type: Column, *, required: bool) -> Column:
+        made = made.when(route == i, operation_violations(contract, compiler, op, message, **options))
+    return route, _joined([*over_limits(message), made.otherwise(none())])
+
+
+def validate_named(df: DataFrame, contract: Contract, table: dict[tuple[str, str], Operation], **options) -> DataFrame:
+    """Messages to webhooks or callbacks: like requests, but found by columns name and method. Adds violations and valid."""
+    message = {k: F.col(k) if k in df.columns else F.lit(None).cast("string") for k in MESSAGE}
+    if "headers" not in df.columns:
+        message["headers"] = F.create_map().cast("map<string,array<string>>")
+    compiler, made = Compiler(contract, mode="request"), None
+    for (name, method), op in table.items():
+        hit, found = (F.col("name") == name) & (F.lower("method") == method), operation_violations(contract, compiler, op, message, **options)
+        made = F.when(hit, found) if made is None else made.when(hit, found)
+    unknown = _says("name", "", "no operation has this name and method")
+    found = unknown if made is None else made.otherwise(unknown)
+    return df.withColumn("violations", _joined([*over_limits(message), found])).withColumn("valid", F.size("violations") == 0)
+
+
+def validate_webhooks(df: DataFrame, contract: Contract, **options) -> DataFrame:
+    return validate_named(df, contract, contract.webhooks(), **options)
+
+
+def validate_callbacks(df: DataFrame, contract: Contract, **options) -> DataFrame:
+    """A callback with several expressions is held against the first that has the method."""
+    return validate_named(df, contract, {k: ops[0] for k, ops in contract.callbacks().items()}, **options)
+
+
+def warnings(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, examples: list | None = None) -> Column:
+    """What is worth saying of valid values: deprecated properties, and, with ``examples``, values that equal none of them."""
+    contract = contract or Contract({})
+    kind, schema = df.schema[column].dataType, contract.schema(schema)
+    value = Variant(F.try_parse_json(column)) if isinstance(kind, T.StringType) else Variant(F.col(column)) if isinstance(kind, T.VariantType) else Typed(F.col(column), kind)
+    parts = [Compiler(contract).warnings(schema, value)]
+    if examples:
+        text = value if isinstance(value, Variant) else Variant(F.to_variant_object(F.col(column)) if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else F.col(column).cast("variant"))
+        parts.append(F.when(examples_differ(text.c, examples), _says("example", "", "equals none of the examples")).otherwise(none()))
+    return F.coalesce(_joined(parts), none())
+
+
+def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Column, content_type: Column, *, required: bool, coerce: bool = False, strict: bool = True) -> Column:
     """Of a body with a media type among those of ``node``; framed bodies are checked record by record."""
     content = contract.content(node)
     blank = F.coalesce(F.trim(body), F.lit("")) == ""
-    made = F.when(blank, _says("body", "body", "is missing") if required else none()).when(decoders.too_large(body), _says("body", "body", "is too large"))
+    made = F.when(blank, _says("body", "body", "is missing") if required else none()).when(decoders.too_large(body, content_type), _says("body", "body", "is too large"))
     for name, media in sorted(content.items(), key=lambda kv: kv[0].count("*")):
         m = decoders.media(content_type)
         hit = F.lit(True) if name == "*/*" else F.startswith(m, F.lit(name[:-1])) if name.endswith("/*") else m == name
         if name in decoders.STREAMS:
             schema = contract.schema(media.get("itemSchema") or media.get("schema") or {})
+            if not compilable(contract, schema):
+                raise ContractError(f"records of {name} need a schema without recursion and unevaluated keywords")
             items = decoders.records(body, F.lit(name))
             each = F.flatten(F.transform(items, lambda x, i: F.when(F.try_parse_json(x).isNull(), F.array(compiler._one("json", F.concat(F.lit("body/"), i.cast("string")), "#", "is not JSON"))).otherwise(compiler.violations(schema, Variant(F.try_parse_json(x)), F.concat(F.lit("body/"), i.cast("string"))))))
-            found = F.when(decoders.too_many(items), _says("records", "body", "has too many records")).otherwise(each)
+            found = F.when(decoders.too_many(items), _says("records", "body", "has too many records")).when(decoders.too_long(items), _says("records", "body", "has a record that is too long")).otherwise(each)
         else:
             schema = contract.schema(media.get("schema") or {})
-            value = F.try_parse_json(decoders.body_json(body, content_type, xml=name in ("application/xml", "text/xml")))
-            found = F.when(decoders.too_many_parts(body, content_type), _says("parts", "body", "has too many parts")).when(value.isNull(), _says("json", "body", "is not JSON")).otherwise(compiler.violations(schema, Variant(value), F.lit("body")))
+            text = decoders.body_json(body, content_type, xml=name in ("application/xml", "text/xml"))
+            found = F.when(decoders.too_many_parts(body, content_type), _says("parts", "body", "has too many parts")).otherwise(text_violations(contract, compiler, schema, text, "body", coerce=coerce, strict=strict))
         made = made.when(hit, found)
     return made.otherwise(_says("mediaType", "body", "media type isn't supported") if compiler.mode == "request" else none())
 
@@ -126,7 +205,7 @@ def validate_requests(df: DataFrame, contract: Contract, **options) -> DataFrame
     return out.withColumn("operation", routing.operation_name(contract, F.col("route"))).withColumn("valid", F.size("violations") == 0)
 
 
-def validate_responses(df: DataFrame, contract: Contract) -> DataFrame:
+def validate_responses(df: DataFrame, contract: Contract, *, coerce_bodies: bool = False, strict: bool = True) -> DataFrame:
     """Rows with method, path, status, response_headers, content_type, body."""
     path = routing.strip_server(F.col("path"), contract)
     route = routing.match_route(contract, F.col("method"), path)
@@ -148,7 +227,7 @@ def validate_responses(df: DataFrame, contract: Contract) -> DataFrame:
                 missing = _says("header", f"header/{name}", "is missing") if header.get("required") else none()
                 parts.append(F.when(raw.isNull(), missing).when(over, _says("items", f"header/{name}", "has too many items")).otherwise(compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"header/{name}"))))
             if response.get("content"):
-                parts.append(body_violations(contract, compiler, response, F.col("body"), F.col("content_type"), required=False))
+                parts.append(body_violations(contract, compiler, response, F.col("body"), F.col("content_type"), required=False, coerce=coerce_bodies, strict=strict))
             one = one.when(key == (status if status == "default" else status.upper()), _joined(parts))
         made = made.when(route == i, one.otherwise(none()))
     return df.withColumn("violations", made.otherwise(none())).withColumn("valid", F.size("violations") == 0)

@@ -41,10 +41,10 @@ def typed(name: str, table: str, key: list[str], column: str, schema: Any, sql:
     _sql[name] = f"SELECT {', '.join(key)}, {sql} AS valid FROM {table}"
 
 
-def variant(name: str, schema: Any, sql: str) -> None:
+def variant(name: str, schema: Any, sql: str, mode: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = read(spark, sf_dir, "events")
-        return df.select("event_id", Compiler().valid(schema, Variant(F.try_parse_json("props"))).alias("valid"))
+        return df.select("event_id", Compiler(mode=mode).valid(schema, Variant(F.try_parse_json("props"))).alias("valid"))
 
     _queries[name] = run
     _sql[name] = f"SELECT event_id, {sql} AS valid FROM events"
@@ -82,6 +82,25 @@ variant("nested_range", {"properties": {"k": {"type": "integer", "minimum": 20,
 variant("type_dispatch", {"properties": {"k": {"type": ["string", "integer"], "enum": [*range(0, 100, 7)]}}}, "CAST(json_extract(props, '$.k') AS BIGINT) % 7 = 0 AND CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 0 AND 99")
 variant("property_names", {"propertyNames": {"pattern": "^[a-j]$"}}, "len(list_filter(json_keys(props), lambda k: NOT regexp_matches(k, '^[a-j]$'))) = 0")
 
+K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+variant("read_only", {"properties": {"k": {"readOnly": True}}}, f"{K} IS NULL", "request")
+variant("pattern_properties", {"patternProperties": {"^k": {"minimum": 30}}}, f"coalesce({K} >= 30, TRUE)")
+variant("dependent_schemas", {"dependentSchemas": {"k": {"properties": {"k": {"maximum": 40}}}}}, f"coalesce({K} <= 40, TRUE)")
+variant("nested_references", {"allOf": [{"anyOf": [{"properties": {"k": {"maximum": 10}}}, {"properties": {"k": {"minimum": 90}}}]}]}, f"coalesce({K} <= 10 OR {K} >= 90, TRUE)")
+
+
+def text_format(name: str, derive: Callable[[], Column], sql: str) -> None:
+    typed(f"format_{name.replace('-', '_')}", "events", ["event_id"], "t", {"type": "string", "format": name}, sql, derive)
+
+
+EVENT = lambda n: (F.col("event_id") % n).cast("string")
+text_format("date-time", lambda: F.concat(F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 7 == 0, "T25:00:00Z").otherwise("T23:00:00+01:00")), "event_id % 7 <> 0")
+text_format("time", lambda: F.concat(F.lit("12:"), EVENT(90), F.lit(":00Z")), "event_id % 90 BETWEEN 10 AND 59")
+text_format("duration", lambda: F.when(F.col("event_id") % 3 == 0, "PT1.5S").otherwise(F.concat(F.lit("P"), EVENT(9), F.lit("DT2H"))), "event_id % 3 <> 0")
+text_format("ipv6", lambda: F.concat(F.lit("2001:db8::"), F.when(F.col("event_id") % 5 == 0, "g").otherwise(EVENT(100))), "event_id % 5 <> 0")
+text_format("email", lambda: F.concat(F.repeat(F.lit("a"), (F.col("event_id") % 70).cast("int")), F.lit("@x."), F.when(F.col("event_id") % 4 == 0, "12").otherwise("example")), "event_id % 70 BETWEEN 1 AND 64 AND event_id % 4 <> 0")
+text_format("json-pointer", lambda: F.concat(F.when(F.col("event_id") % 2 == 0, "/a~1").otherwise("a/"), EVENT(10)), "event_id % 2 = 0")
+
 PETS = Contract.of({
     "openapi": "3.1.0", "servers": [{"url": "https://api.example/v1"}],
     "paths": {
@@ -199,6 +218,101 @@ def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql["interpreted"] = "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, TRUE) AS valid FROM events"
 
+
+HOOKS = Contract.of({"openapi": "3.1.0", "webhooks": {
+    "click": {"post": {"requestBody": {"required": True, "content": {"application/json": {"schema": {"properties": {"k": {"minimum": 50}}}}}}}},
+    "view": {"post": {"requestBody": {"content": {"application/json": {"schema": {"properties": {"k": {"maximum": 20}}}}}}}},
+}, "paths": {"/e/{id}": {
+    "get": {"operationId": "one", "parameters": [{"name": "id", "in": "path", "required": True, "schema": {"type": "integer", "maximum": 500}}, {"name": "s", "in": "cookie", "schema": {"type": "string", "pattern": r"^\d+\+1$"}}],
+            "responses": {"200": {"headers": {"X-N": {"required": True, "schema": {"type": "integer", "maximum": 50}}}}}},
+}}, "servers": [{"url": "https://x.example/v1"}]})
+
+
+def webhook_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.lit("POST").alias("method"), F.lit("application/json").alias("content_type"), F.col("props").alias("body"))
+    return plans.validate_webhooks(rows, HOOKS).select("event_id", "valid")
+
+
+_sql["webhook_validation"] = f"SELECT event_id, CASE event_type WHEN 'click' THEN props IS NOT NULL AND coalesce({K} >= 50, TRUE) WHEN 'view' THEN coalesce({K} <= 20, TRUE) ELSE FALSE END AS valid FROM events"
+
+
+def path_and_cookie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.lit("GET").alias("method"), F.concat(F.when(F.col("event_id") % 2 == 0, "/v1").otherwise(""), F.lit("/e/"), (F.col("event_id") % 1000).cast("string")).alias("path"), F.lit("").alias("query"),
+        F.create_map().cast("map<string,array<string>>").alias("headers"), F.concat(F.lit("s="), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "%2B1").otherwise("+1")).alias("cookie"), none.alias("content_type"), none.alias("body"),
+    )
+    return plans.validate_requests(rows, HOOKS).select("event_id", "operation", "valid")
+
+
+_sql["path_and_cookie"] = "SELECT event_id, 'one' AS operation, event_id % 1000 <= 500 AS valid FROM events"
+
+
+def response_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.when(F.col("event_id") % 10 == 0, F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("x-n"), F.array((F.col("event_id") % 100).cast("string"))))
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "events").select("event_id", F.lit("GET").alias("method"), F.lit("/e/1").alias("path"), F.lit(200).alias("status"), header.alias("response_headers"), none.alias("content_type"), none.alias("body"))
+    return plans.validate_responses(rows, HOOKS).select("event_id", "valid")
+
+
+_sql["response_headers"] = "SELECT event_id, event_id % 10 <> 0 AND event_id % 100 <= 50 AS valid FROM events"
+
+
+def whole_querystring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = {"name": "q", "in": "querystring", "content": {"application/x-www-form-urlencoded": {"schema": {"required": ["page"], "properties": {"page": {"pattern": "^[0-9]$"}}}}}}
+    found = plans.querystring_violations(PETS, Compiler(PETS), p, F.regexp_extract("url", r"\?([^#]*)", 1))
+    return read(spark, sf_dir, "pages").select("page_id", (F.size(found) == 0).alias("valid"))
+
+
+_sql["whole_querystring"] = r"SELECT page_id, q = '' OR regexp_matches(q, '(^|&)page=[0-9](&|$)') AS valid FROM (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)"
+
+
+def body_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"properties": {"n": {"type": "integer", "maximum": 50}, "on": {"type": "boolean", "const": True}}}
+    text = F.concat(F.lit('{"n":"'), (F.col("event_id") % 100).cast("string"), F.lit('","on":"'), F.when(F.col("event_id") % 3 == 0, "off").otherwise("yes"), F.lit('"}'))
+    found = plans.text_violations(PETS, Compiler(PETS), schema, text, "body", coerce=True)
+    return read(spark, sf_dir, "events").select("event_id", F.size(found).alias("n_violations"))
+
+
+_sql["body_coercion"] = "SELECT event_id, CAST(CAST(event_id % 100 > 50 AS INT) + CAST(event_id % 3 = 0 AS INT) AS INT) AS n_violations FROM events"
+
+
+def deprecated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events")
+    return df.select("event_id", F.size(plans.warnings(df, "props", {"properties": {"k": {"deprecated": True}}})).alias("n_warnings"))
+
+
+_sql["deprecated_warnings"] = f"SELECT event_id, CAST({K} IS NOT NULL AS INT) AS n_warnings FROM events"
+
+
+def coerce_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.regexp_extract("url", r"/([^/?#]*)/?(?:[?#].*)?$", 1)
+    return read(spark, sf_dir, "pages").select("page_id", coercion.to_integer(raw, strict=False).alias("value"))
+
+
+_sql["coerce_lenient"] = r"""SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(s, '^[+-]?\d+', 0), '') AS BIGINT), 0) AS value
+FROM (SELECT page_id, regexp_extract(url, '/([^/?#]*)/?(?:[?#].*)?$', 1) AS s FROM pages)"""
+
+
+def interpreted_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats in a schema that only the interpreter takes."""
+    schema = {"properties": {"m": {"type": "string", "format": "email"}, "d": {"type": "string", "format": "date"}}, "unevaluatedProperties": False}
+    text = F.concat(F.lit('{"m":"a@x.'), F.when(F.col("event_id") % 4 == 0, "12").otherwise("example"), F.lit('","d":"2023-02-'), F.lpad((F.col("event_id") % 31).cast("string"), 2, "0"), F.lit('"}'))
+    return plans.validate(read(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", schema).select("event_id", "valid")
+
+
+_sql["interpreted_formats"] = "SELECT event_id, event_id % 4 <> 0 AND event_id % 31 BETWEEN 1 AND 28 AS valid FROM events"
+
+
+def nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = F.concat(F.lit("a[b]["), (F.col("event_id") % 5).cast("string"), F.lit("][]="), F.col("event_id").cast("string"))
+    found = decoders.nested_pairs(decoders.pairs(query))
+    return read(spark, sf_dir, "events").select("event_id", F.array_join(F.get(found, F.lit(0))["path"], ">").alias("path"), F.get(found, F.lit(0))["value"].alias("value"))
+
+
+_sql["nested_keys"] = "SELECT event_id, 'a>b>' || (event_id % 5) || '>' AS path, CAST(event_id AS VARCHAR) AS value FROM events"
+
+_queries |= {f.__name__: f for f in (webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
 _queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, route_match, query_parse, coerce_integer, coerce_boolean, status_lookup, json_lines, utf16_lengths, conformance_by_hour, interpreted)}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Limits of bodies and of their parts.
-MAX_JSON, MAX_MULTIPART, MAX_XML, MAX_PARTS, MAX_PAIRS, MAX_RECORDS = 10 << 20, 50 << 20, 1 << 20, 1000, 1000, 100_000
+MAX_JSON, MAX_MULTIPART, MAX_XML, MAX_PARTS, MAX_PAIRS, MAX_RECORDS, MAX_RECORD = 10 << 20, 50 << 20, 1 << 20, 1000, 1000, 100_000, 1 << 20
 STREAMS = ("application/jsonl", "application/x-ndjson", "application/json-seq", "text/event-stream")
 BOM = "﻿"
 PAIR = "array<struct<name:string,value:string>>"
@@ -153,6 +153,11 @@ def too_many(items: Column, limit: int = MAX_RECORDS) -> Column:
     return F.size(items) > limit
 
 
+def too_long(items: Column, limit: int = MAX_RECORD) -> Column:
+    """Whether a record has more bytes than one may have."""
+    return F.coalesce(F.exists(items, lambda x: F.octet_length(x) > limit), F.lit(False))
+
+
 def xml_value(node: ET.Element):
     """Attributes as ``@name``, repeated children as lists, text as ``#text`` or, of a leaf, alone."""
     out: dict = {f"@{k}": v for k, v in node.attrib.items()}
