@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import formats
-from ..functions.strings import bind, java_pattern, utf16_length
+from ..functions.strings import HostilePattern, bind, java_pattern, utf16_length
 from ..sources.contract import Contract, ContractError
 from .values import Typed, Variant
 
@@ -218,7 +218,7 @@ class Compiler:
             if k in s:
                 out.append((k, wrong(s[k]), f"breaks {k} {s[k]}"))
         if s.get("pattern"):
-            out.append(("pattern", ~text.rlike(java_pattern(s["pattern"])), "does not match the pattern"))
+            out.append(("pattern", ~text.rlike(checked_pattern(s["pattern"])), "does not match the pattern"))
         for k, wrong in {"minimum": lt, "maximum": gt, "exclusiveMinimum": le, "exclusiveMaximum": ge}.items():
             if k in s and not isinstance(s[k], bool):
                 hit = F.isnan(number) | wrong(number, F.lit(float(s[k])))
@@ -411,6 +411,13 @@ class Compiler:
         return value.bound(of)
 
 
+def checked_pattern(pattern: str) -> str:
+    try:
+        return java_pattern(pattern)
+    except HostilePattern as e:
+        raise ContractError(str(e)) from e
+
+
 def has_deprecated(contract: Contract, schema: Any, seen: tuple[str, ...] = ()) -> bool:
     """Whether a property below is deprecated; a reference is followed once on each path."""
     if not isinstance(schema, dict):

@@ -74,8 +74,7 @@ def text_violations(contract: Contract, compiler: Compiler, schema: Any, text: C
     """Violations of JSON text. Schemas that the compiler doesn't take go to the interpreter; ``coerce`` turns strings into what
     the schema's types take them for first."""
     if not compilable(contract, schema):
-        found = violations_udf(contract, schema, compiler.mode, compiler.strict)(text)
-        return F.transform(found, lambda v: F.struct(v["keyword"].alias("keyword"), F.concat(F.lit(path), v["data_path"]).alias("data_path"), v["schema_path"].alias("schema_path"), v["message"].alias("message")))
+        return F.coalesce(violations_udf(contract, schema, compiler.mode, compiler.strict, path)(text), none())
     value = F.try_parse_json(text)
     if coerce:
         value = F.try_parse_json(coerce_body(contract, schema, Variant(value), strict))

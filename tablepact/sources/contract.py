@@ -17,7 +17,7 @@ from urllib.parse import unquote, urljoin
 import yaml
 
 #: Limits of documents.
-MAX_BYTES, MAX_DEPTH, MAX_ANCHORS, MAX_ALIASES, MAX_REF_BYTES = 1 << 20, 100, 100, 1000, 10 << 20
+MAX_BYTES, MAX_DEPTH, MAX_ANCHORS, MAX_ALIASES, MAX_ALIAS_DEPTH, MAX_REF_BYTES = 1 << 20, 100, 100, 1000, 10, 10 << 20
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace", "query")
 VERSION = re.compile(r"3\.[0-2]\.\d+")
 
@@ -39,6 +39,24 @@ def depth_of(node: Any) -> int:
     return most
 
 
+def alias_depth(text: str) -> int:
+    """How deep anchored nodes refer to one another: 1 for an alias of a node without aliases."""
+    depth: dict[str, int] = {}
+    open_: list[tuple[str | None, int]] = []
+    for e in yaml.parse(text):
+        if isinstance(e, yaml.AliasEvent):
+            d = depth.get(e.anchor, 0) + 1
+            open_ = [(a, max(n, d)) for a, n in open_]
+            depth["*"] = max(depth.get("*", 0), d)
+        elif isinstance(e, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
+            open_.append((e.anchor, 0))
+        elif isinstance(e, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
+            anchor, n = open_.pop()
+            if anchor:
+                depth[anchor] = n
+    return depth.get("*", 0)
+
+
 def parse(text: str, kind: str, *, max_bytes: int = MAX_BYTES) -> Any:
     if len(text.encode()) > max_bytes:
         raise ContractError(f"document has over {max_bytes} bytes")
@@ -52,6 +70,8 @@ def parse(text: str, kind: str, *, max_bytes: int = MAX_BYTES) -> Any:
             names = [type(t).__name__ for t in yaml.scan(text)]
             if names.count("AnchorToken") > MAX_ANCHORS or names.count("AliasToken") > MAX_ALIASES:
                 raise ContractError("too many anchors or aliases")
+            if names.count("AliasToken") and alias_depth(text) > MAX_ALIAS_DEPTH:
+                raise ContractError(f"aliases are nested over {MAX_ALIAS_DEPTH} levels")
 
             class Plain(yaml.SafeLoader):
                 """Dates stay strings: instance values are JSON."""
@@ -146,6 +166,9 @@ class Contract:
         version = str(data.get("openapi", ""))
         if "openapi" in data and not VERSION.fullmatch(version):
             raise ContractError(f"version {version} isn't 3.0, 3.1 or 3.2")
+        own = data.get("$self")
+        if own is not None and (not isinstance(own, str) or not own or "#" in own or not version.startswith("3.2")):
+            raise ContractError("$self is a URI reference without a fragment, of versions from 3.2 on")
         return cls(data, version or "3.1.0", base)
 
     # references
