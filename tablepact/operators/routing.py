@@ -6,6 +6,7 @@ join and no shuffle, and each pattern is compiled once.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,49 +41,49 @@ def shape(template: str) -> str | None:
     return f"{template.count('/')} " + ("" if "{" in first else first)
 
 
+#: Contracts with more patterns are looked up in a table of groups; below, patterns are compiled once as parts of one expression.
+MANY_ROUTES = 64
+
+
 def match_route(contract: Contract, method: Column, path: Column) -> Column:
-    """The index of the operation in ``ranked``; null where none fits.
+    """The index of the operation in ``ranked``; null where none fits. Of what fits, the first counts.
 
-    Literal paths are looked up in one map. Others are grouped by method and ``shape``, and a path tries the patterns of its
-    groups only; of what fits, the first in ``ranked`` counts.
+    Literal paths are looked up by method and path. Paths with placeholders are tried in order or, where there are more than
+    ``MANY_ROUTES``, looked up by method and ``shape``, so that a path tries the patterns of its groups only.
     """
-    known = list(enumerate(ranked(contract)))
     method = F.lower(method)
-    literal = {}
-    groups: dict[str | None, list] = {}
-    for i, op in known:
+    literal, patterns = {}, []
+    for i, op in enumerate(ranked(contract)):
         if op.path_names:
-            s = shape(op.template)
-            groups.setdefault(None if s is None else f"{op.method} {s}", []).append((i, op))
+            patterns.append((i, op))
         else:
             literal.setdefault(f"{op.method} {op.template}", i)
-    found = []
-    if literal:
-        found.append(F.try_element_at(F.create_map(*(F.lit(x) for kv in literal.items() for x in kv)), F.concat(method, F.lit(" "), path)))
-
-    def tried(ops: list, by_method: bool) -> Column:
-        made = None
-        for i, op in ops:
-            hit = path.rlike(op.regex) & (method == op.method) if by_method else path.rlike(op.regex)
-            made = F.when(hit, i) if made is None else made.when(hit, i)
-        return made
-
-    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    first = F.when(F.startswith(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(2))).otherwise(path)
-    named = F.concat_ws(" ", method, slashes.cast("string"), first)
-    unnamed = F.concat(method, F.lit(" "), slashes.cast("string"), F.lit(" "))
-    for key, bare in ((named, False), (unnamed, True)):
-        made = None
-        for k, ops in groups.items():
-            if k is not None and k.endswith(" ") == bare:
-                made = F.when(key == k, tried(ops, False)) if made is None else made.when(key == k, tried(ops, False))
-        if made is not None:
-            found.append(made)
-    if None in groups:
-        found.append(tried(groups[None], True))
+    found = [F.try_element_at(constant(literal, "map<string,int>"), F.concat(method, F.lit(" "), path))] if literal else []
+    grouped: dict[str, list] = {}
+    tried = None
+    for i, op in patterns:
+        if len(patterns) > MANY_ROUTES and (s := shape(op.template)) is not None:
+            grouped.setdefault(f"{op.method} {s}", []).append({"route": i, "regex": op.regex})
+        else:
+            hit = (method == op.method) & path.rlike(op.regex)
+            tried = F.when(hit, i) if tried is None else tried.when(hit, i)
+    if tried is not None:
+        found.append(tried)
+    if grouped:
+        table = constant(grouped, "map<string,array<struct<route:int,regex:string>>>")
+        slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+        first = F.when(F.startswith(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(2))).otherwise(path)
+        for last in (first, F.lit("")):
+            some = F.try_element_at(table, F.concat(method, F.lit(" "), slashes.cast("string"), F.lit(" "), last))
+            found.append(F.get(F.filter(some, lambda c: F.rlike(path, c["regex"])), F.lit(0))["route"])
     return F.lit(None).cast("int") if not found else F.least(*found) if len(found) > 1 else found[0]
 
 
+def constant(value: dict, kind: str) -> Column:
+    """A value as one constant, however large: the optimizer evaluates it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def routes_table(spark: SparkSession, contract: Contract) -> DataFrame:
     """A row for each operation, for reports and joins."""
     rows = [(i, o.name, o.method, o.template, o.regex, len(o.path_names)) for i, o in enumerate(ranked(contract))]

@@ -182,7 +182,8 @@ class Compiler:
         return F.struct(F.lit(keyword).alias("keyword"), path.alias("data_path"), F.lit(f"{at}/{suffix or keyword}").alias("schema_path"), text.alias("message"))
 
     def _if(self, failed: Column, *one, **more) -> Column:
-        return F.when(F.coalesce(failed, F.lit(False)), self._one(*one, **more))
+        """An array of one violation, or none: arrays are joined in generated code, where filtering out nulls isn't."""
+        return F.when(F.coalesce(failed, F.lit(False)), F.array(self._one(*one, **more))).otherwise(none())
 
     def _all(self, s: dict, v, path: Column, at: str) -> Column:
         if isinstance(s.get("discriminator"), dict):
@@ -192,8 +193,7 @@ class Compiler:
         else:
             routed = None
         flat = [self._if(wrong, k, path, at, message) for k, wrong, message in [*self._scalars(s, v), *self._sizes(s, v)]]
-        parts = [F.array_compact(F.array(*flat))] if flat else []
-        parts += [routed] if routed is not None else []
+        parts = [*flat, *([routed] if routed is not None else [])]
         parts += [*self._objects(s, v, path, at), *self._arrays(s, v, path, at), *self._composed(s, v, path, at)]
         return (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else none()
 
@@ -283,8 +283,7 @@ class Compiler:
         child = lambda key: F.concat(path, F.lit("/"), key)
         if s.get("required"):
             there = {k: F.coalesce(got[1], F.lit(False)) if (got := v.get(k)) is not None else F.lit(False) for k in dict.fromkeys(s["required"])}
-            missing = F.array_compact(F.array(*(F.when(~x, self._one("required", child(F.lit(k)), at, f"{k} is missing")) for k, x in there.items())))
-            out.append(F.when(is_object, missing).otherwise(none()))
+            out += [self._if(is_object & ~x, "required", child(F.lit(k)), at, f"{k} is missing") for k, x in there.items()]
         for name, sub in (s.get("properties") or {}).items():
             if (got := v.get(name)) is not None and sub is not True and sub != {}:
                 value, present = got
@@ -305,7 +304,7 @@ class Compiler:
             names = self._additional(s, v)
             if extra is False:
                 one = lambda k: self._one("additionalProperties", child(k), at, F.concat(k, F.lit(" isn't allowed")))
-                over = lambda ks: F.array_compact(F.array(self._if(F.size(ks) > MAX_ADDITIONAL, "additionalProperties", path, at, F.concat((F.size(ks) - MAX_ADDITIONAL).cast("string"), F.lit(" more aren't allowed")))))
+                over = lambda ks: self._if(F.size(ks) > MAX_ADDITIONAL, "additionalProperties", path, at, F.concat((F.size(ks) - MAX_ADDITIONAL).cast("string"), F.lit(" more aren't allowed")))
                 found = bind(names, lambda ks: F.concat(F.transform(F.slice(ks, 1, MAX_ADDITIONAL), one), over(ks)))
                 out.append(F.when(is_object, found).otherwise(none()))
             elif (found := v.members(names, lambda x, k: self.violations(extra, x, child(k), f"{at}/additionalProperties"))) is not None:
@@ -328,7 +327,7 @@ class Compiler:
                 out.append(F.when(is_array & (v.size() > i), self.violations(sub, x, child(F.lit(i)), f"{at}/prefixItems/{i}")).otherwise(none()))
         items = s.get("items", True)
         if items is False:
-            out.append(F.array_compact(F.array(self._if(is_array & (v.size() > len(prefix)), "items", path, at, "has more items than allowed"))))
+            out.append(self._if(is_array & (v.size() > len(prefix)), "items", path, at, "has more items than allowed"))
         elif items is not True and items != {} and (found := v.elements(lambda x, i: self.violations(items, x, child(i), f"{at}/items"), len(prefix))) is not None:
             out.append(F.when(is_array, F.flatten(found)).otherwise(none()))
         return out
@@ -342,9 +341,9 @@ class Compiler:
                 ok = [self.valid(sub, v) for sub in s[k]]
                 n = reduce(add, (x.cast("int") for x in ok))
                 wrong = n != 1 if k == "oneOf" else n == 0
-                out.append(F.array_compact(F.array(self._if(wrong, k, path, at, F.concat(F.lit("fits "), n.cast("string"), F.lit(f" of {len(ok)} schemas"))))))
+                out.append(self._if(wrong, k, path, at, F.concat(F.lit("fits "), n.cast("string"), F.lit(f" of {len(ok)} schemas"))))
         if "not" in s:
-            out.append(F.array_compact(F.array(self._if(self.valid(s["not"], v), "not", path, at, "fits a schema that it must not fit"))))
+            out.append(self._if(self.valid(s["not"], v), "not", path, at, "fits a schema that it must not fit"))
         if "if" in s and ("then" in s or "else" in s):
             ok = self.valid(s["if"], v)
             out.append(F.when(ok, self.violations(s.get("then", True), v, path, f"{at}/then")).otherwise(self.violations(s.get("else", True), v, path, f"{at}/else")))
