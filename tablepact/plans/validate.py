@@ -192,7 +192,7 @@ def body_violations(contract: Contract, compiler: Compiler, node: dict, body: Co
             found = F.when(decoders.too_many(items), _says("records", "body", "has too many records")).when(decoders.too_long(items), _says("records", "body", "has a record that is too long")).otherwise(each)
         else:
             schema = contract.schema(media.get("schema") or {})
-            text = decoders.body_json(body, content_type, xml=name in ("application/xml", "text/xml"))
+            text = decoders.body_json(body, content_type, name)
             found = F.when(decoders.too_many_parts(body, content_type), _says("parts", "body", "has too many parts")).otherwise(text_violations(contract, compiler, schema, text, "body", coerce=coerce, strict=strict))
         made = made.when(hit, found)
     return made.otherwise(_says("mediaType", "body", "media type isn't supported") if compiler.mode == "request" else none())

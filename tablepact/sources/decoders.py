@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -192,11 +193,20 @@ def xml_json(body: Column) -> Column:
     return F.pandas_udf(run, "string")(body)
 
 
-def body_json(body: Column, content_type: Column, *, xml: bool = True) -> Column:
-    """JSON text of any body: JSON as it is, forms as objects, XML as above, other types as a JSON string."""
-    m = media(content_type)
-    made = F.when(m.rlike(r"^application/(?:[^;]+\+)?json\z"), json_text(body)).when(m == "application/x-www-form-urlencoded", form_body(body))
-    made = made.when(m == "multipart/form-data", F.to_json(multipart(body, content_type)))
-    if xml:
-        made = made.when(m.isin("application/xml", "text/xml"), xml_json(body))
-    return made.otherwise(quoted(body))
+KINDS = {
+    r"application/(?:[^;]+\+)?json": lambda body, content_type: json_text(body), r"application/x-www-form-urlencoded": lambda body, content_type: form_body(body),
+    r"multipart/form-data": lambda body, content_type: F.to_json(multipart(body, content_type)), r"(?:application|text)/xml": lambda body, content_type: xml_json(body),
+}
+
+
+def body_json(body: Column, content_type: Column, name: str = "*/*") -> Column:
+    """JSON text of a body: JSON as it is, forms as objects, XML as above, other types as a JSON string. ``name`` is the media type,
+    if it is known to be that one; with a wildcard the message's own tells."""
+    if "*" not in name:
+        found = [made for pattern, made in KINDS.items() if re.fullmatch(pattern, name)]
+        return found[0](body, content_type) if found else quoted(body)
+    m, out = media(content_type), None
+    for pattern, made in KINDS.items():
+        hit, value = m.rlike(f"^(?:{pattern})\\z"), made(body, content_type)
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(quoted(body))
