@@ -101,14 +101,14 @@ text_format("ipv6", lambda: F.concat(F.lit("2001:db8::"), F.when(F.col("event_id
 text_format("email", lambda: F.concat(F.repeat(F.lit("a"), (F.col("event_id") % 70).cast("int")), F.lit("@x."), F.when(F.col("event_id") % 4 == 0, "12").otherwise("example")), "event_id % 70 BETWEEN 1 AND 64 AND event_id % 4 <> 0")
 text_format("json-pointer", lambda: F.concat(F.when(F.col("event_id") % 2 == 0, "/a~1").otherwise("a/"), EVENT(10)), "event_id % 2 = 0")
 
-PETS = Contract.of({
-    "openapi": "3.1.0", "servers": [{"url": "https://api.example/v1"}],
+PETS = Contract.api("3.1.0", {
+    "servers": [{"url": "https://api.example/v1"}],
     "paths": {
         "/": {"get": {"operationId": "root"}}, "/en/{id}": {"get": {"operationId": "english"}}, "/{lang}/{id}": {"get": {"operationId": "any"}}, "/{lang}/{id}.html": {"get": {"operationId": "file"}},
     },
 })
-EVENTS = Contract.of({
-    "openapi": "3.1.0", "paths": {}, "components": {"schemas": {
+EVENTS = Contract.api("3.1.0", {
+    "paths": {}, "components": {"schemas": {
         "click": {"required": ["type"], "properties": {"value": {"maximum": 50}}}, "view": {"properties": {"value": {"minimum": 10}}}, "purchase": {"properties": {"value": {"exclusiveMinimum": 1}}},
         "Event": {"discriminator": {"propertyName": "type"}, "oneOf": [{"$ref": f"#/components/schemas/{n}"} for n in ("click", "view", "purchase")]},
     }},
@@ -219,7 +219,7 @@ def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql["interpreted"] = "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, TRUE) AS valid FROM events"
 
 
-HOOKS = Contract.of({"openapi": "3.1.0", "webhooks": {
+HOOKS = Contract.api("3.1.0", {"webhooks": {
     "click": {"post": {"requestBody": {"required": True, "content": {"application/json": {"schema": {"properties": {"k": {"minimum": 50}}}}}}}},
     "view": {"post": {"requestBody": {"content": {"application/json": {"schema": {"properties": {"k": {"maximum": 20}}}}}}}},
 }, "paths": {"/e/{id}": {

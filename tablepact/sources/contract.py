@@ -11,6 +11,7 @@ import os
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 from typing import Any
 from urllib.parse import unquote, urljoin
 
@@ -18,6 +19,7 @@ import yaml
 
 #: Limits of documents.
 MAX_BYTES, MAX_DEPTH, MAX_ANCHORS, MAX_ALIASES, MAX_ALIAS_DEPTH, MAX_REF_BYTES = 1 << 20, 100, 100, 1000, 10, 10 << 20
+ROOT_KEY = json.loads((Path(__file__).parent / "format.json").read_text())["root_key"]
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace", "query")
 VERSION = re.compile(r"3\.[0-2]\.\d+")
 
@@ -158,13 +160,18 @@ class Contract:
             text = f.read(MAX_BYTES + 1)
         return cls.from_text(text, "json" if path.endswith(".json") else "yaml", base=root or os.path.dirname(os.path.abspath(path)))
 
+    @classmethod
+    def api(cls, version: str, parts: dict, *, base: str | None = None) -> Contract:
+        """A description of that version with these parts."""
+        return cls.of({ROOT_KEY: version} | parts, base=base)
+
     @classmethod
     def of(cls, data: Any, *, base: str | None = None) -> Contract:
         """A whole API description, or a bare JSON Schema (then of version 3.1)."""
         if not isinstance(data, dict):
             raise ContractError("a contract is a mapping")
-        version = str(data.get("openapi", ""))
-        if "openapi" in data and not VERSION.fullmatch(version):
+        version = str(data.get(ROOT_KEY, ""))
+        if ROOT_KEY in data and not VERSION.fullmatch(version):
             raise ContractError(f"version {version} isn't 3.0, 3.1 or 3.2")
         own = data.get("$self")
         if own is not None and (not isinstance(own, str) or not own or "#" in own or not version.startswith("3.2")):

@@ -1,6 +1,7 @@
 """Keywords, composition, formats, coercion, decoders, routing: verdicts, and the compiler against the interpreter."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,31 +103,7 @@ def test_decoders(spark):
     assert json.loads(row.f) == {"a": ["1", "A"], "b": "x y"} and json.loads(row.x) == {"@k": "1", "c": ["2", "3"]}
 
 
-PETS = """
-openapi: 3.1.0
-servers: [{url: 'https://x.example/v1'}]
-security: [{key: []}]
-components:
-  securitySchemes: {key: {type: apiKey, in: header, name: X-Key}}
-  schemas:
-    Pet: {type: object, required: [name], properties: {name: {type: string}, id: {type: integer, readOnly: true}}}
-paths:
-  /pets:
-    get:
-      operationId: list
-      parameters:
-        - {name: limit, in: query, required: true, schema: {type: integer, maximum: 100}}
-        - {name: tags, in: query, schema: {type: array, items: {type: string, maxLength: 3}}}
-      responses: {'200': {headers: {X-N: {required: true, schema: {type: integer}}}, content: {application/json: {schema: {type: array, items: {$ref: '#/components/schemas/Pet'}}}}}, 4XX: {}}
-    post:
-      operationId: make
-      requestBody: {required: true, content: {application/json: {schema: {$ref: '#/components/schemas/Pet'}}}}
-      responses: {default: {content: {application/jsonl: {itemSchema: {$ref: '#/components/schemas/Pet'}}}}}
-  /pets/{id}:
-    get: {operationId: one, parameters: [{name: id, in: path, required: true, schema: {type: integer}}]}
-  /pets/mine:
-    get: {operationId: mine}
-"""
+PETS = (Path(__file__).parent / "data" / "pets.yaml").read_text()
 REQUEST = "method string, path string, query string, headers map<string,array<string>>, cookie string, content_type string, body string"
 
 
@@ -153,7 +130,7 @@ def test_parts_over_the_limits_are_told(spark):
     ).first()
     assert tuple(row) == (1001, "2", 1001)
     array = {"type": "array", "items": {"type": "integer"}, "maxItems": 5000}
-    c = Contract.of({"openapi": "3.1.0", "paths": {"/p": {"post": {
+    c = Contract.api("3.1.0", {"paths": {"/p": {"post": {
         "parameters": [{"name": "ids", "in": "query", "explode": False, "schema": array}, {"name": "x-ids", "in": "header", "schema": array}],
         "requestBody": {"content": {k: {"schema": {"type": ["object", "array"]}} for k in ("application/x-www-form-urlencoded", "multipart/form-data")}},
         "responses": {"200": {"headers": {"x-ids": {"schema": array}}}},
@@ -179,7 +156,7 @@ def test_responses(spark):
 
 def test_contract_guards(tmp_path):
     with pytest.raises(ContractError):
-        Contract.of({"openapi": "2.0.0"})
+        Contract.api("2.0.0", {})
     with pytest.raises(ContractError):
         parse("[" * 200 + "]" * 200, "json")
     with pytest.raises(ContractError):
@@ -191,14 +168,14 @@ def test_contract_guards(tmp_path):
     assert c.schema("u.yaml#/U") == {"type": "string"}
     with pytest.raises(ContractError):
         c.resolve("../out.yaml#/U")
-    old = Contract.of({"openapi": "3.0.0"})
+    old = Contract.api("3.0.0", {})
     assert old.schema({"minimum": 1, "exclusiveMinimum": True}) == {"exclusiveMinimum": 1}
     r = Registry().register("a", "1.9", c).register("a", "1.10", old)
     assert r.get("a") is old and len(r) == 2 and "a" in r
 
 
 def test_links_webhooks_reports(spark):
-    c = Contract.of({"openapi": "3.1.0", "webhooks": {"w": {"post": {}}}, "components": {"callbacks": {"cb": {"{$request.body#/u}": {"post": {}}}}}})
+    c = Contract.api("3.1.0", {"webhooks": {"w": {"post": {}}}, "components": {"callbacks": {"cb": {"{$request.body#/u}": {"post": {}}}}}})
     assert ("w", "post") in c.webhooks() and ("cb", "post") in c.callbacks()
     df = spark.createDataFrame([("w", "POST", '{"u":{"v":[5]}}')], "name string, method string, body string")
     row = df.select(routing.named_operation(c.webhooks(), F.col("name"), F.col("method")).alias("w"), routing.link_value("$request.body#/u/v/0", {"body": F.col("body")}).alias("l")).first()

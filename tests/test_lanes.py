@@ -14,7 +14,7 @@ from tablepact.operators.schema import Compiler
 from tablepact.operators.values import Variant
 from tablepact.plans import validate as plans
 from tablepact.sources import decoders
-from tablepact.sources.contract import Contract, ContractError, parse
+from tablepact.sources.contract import ROOT_KEY, Contract, ContractError, parse
 
 R = random.Random(3)
 SCALARS = [None, True, False, 0, 1, 3, -2, 1.0, 2.5, 1e300, 1e20, 2**53 + 1, 2**53, "", "a", "abc", "😀", "2024-02-29", "a@b.example", "12"]
@@ -91,7 +91,7 @@ def test_additional_properties_beyond_the_listed_ones_are_told(spark):
 
 
 def test_a_discriminator_without_a_name(spark):
-    c = Contract.of({"openapi": "3.2.0", "paths": {}, "components": {"schemas": {"A": {"required": ["a"]}, "D": {"discriminator": {"defaultMapping": "A"}}, "E": {"discriminator": {}}}}})
+    c = Contract.api("3.2.0", {"paths": {}, "components": {"schemas": {"A": {"required": ["a"]}, "D": {"discriminator": {"defaultMapping": "A"}}, "E": {"discriminator": {}}}}})
     df = spark.createDataFrame([('{"a":1}',), ("{}",)], "text string")
     for lane in ("native", "python"):
         assert [[r.valid for r in plans.validate(df, "text", f"#/components/schemas/{n}", c, lane=lane).collect()] for n in "DE"] == [[True, False], [True, True]]
@@ -99,15 +99,15 @@ def test_a_discriminator_without_a_name(spark):
 
 def test_many_routes(spark):
     paths = {f"/r{i}/{{id}}/x": {"get": {"operationId": f"p{i}"}} for i in range(500)} | {f"/r{i}/me/x": {"get": {"operationId": f"l{i}"}} for i in range(500)} | {"/{a}/{b}/x": {"get": {"operationId": "any"}}, "/files/{+rest}": {"get": {"operationId": "files"}}}
-    c = Contract.of({"openapi": "3.1.0", "paths": paths})
+    c = Contract.api("3.1.0", {"paths": paths})
     df = spark.createDataFrame([("GET", "/r7/5/x", "p7"), ("GET", "/r7/me/x", "l7"), ("get", "/zz/5/x", "any"), ("GET", "/files/a/b/c", "files"), ("GET", "/r7/5", None), ("POST", "/r7/5/x", None), ("GET", "/r499/q/x", "p499"), ("GET", None, None)], "m string, p string, want string")
     got = df.select("want", routing.operation_name(c, routing.match_route(c, F.col("m"), F.col("p"))).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_bodies_by_media_type(spark):
-    node = {"openapi": "3.1.0", "webhooks": {"w": {"post": {"requestBody": {"required": True, "content": {k: {"schema": {}} for k in ("multipart/form-data", "application/xml", "application/json")} | {"application/jsonl": {"itemSchema": {"minimum": 1}}}}}}, "r": {"post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/N"}}}}}}}, "components": {"schemas": {"N": {"properties": {"next": {"$ref": "#/components/schemas/N"}, "v": {"type": "integer"}}, "unevaluatedProperties": False}}}}
-    c = Contract.of(node)
+    node = {"webhooks": {"w": {"post": {"requestBody": {"required": True, "content": {k: {"schema": {}} for k in ("multipart/form-data", "application/xml", "application/json")} | {"application/jsonl": {"itemSchema": {"minimum": 1}}}}}}, "r": {"post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/N"}}}}}}}, "components": {"schemas": {"N": {"properties": {"next": {"$ref": "#/components/schemas/N"}, "v": {"type": "integer"}}, "unevaluatedProperties": False}}}}
+    c = Contract.api("3.1.0", node)
     big = "x" * (11 << 20)
     rows = [("w", "POST", "multipart/form-data; boundary=B", f"--B\r\n\r\n{big}\r\n--B--"), ("w", "POST", "application/json", f'"{big}"'), ("w", "POST", "application/xml", f"<a>{big[: 2 << 20]}</a>"), ("w", "POST", "application/jsonl", "2\n" + " " * 9 + '"' + "y" * (2 << 20) + '"'), ("w", "POST", "application/json", None), ("r", "POST", "application/json", '{"next":{"next":{"v":"x"}}}'), ("r", "POST", "application/json", '{"next":{"w":1}}'), ("r", "POST", "application/json", '{"next":{"v":1}}'), ("gone", "POST", None, None)]
     got = plans.validate_webhooks(spark.createDataFrame(rows, "name string, method string, content_type string, body string"), c).collect()
@@ -118,7 +118,7 @@ def test_bodies_by_media_type(spark):
 
 def test_coerced_bodies_and_whole_queries(spark):
     schema = {"type": "object", "properties": {"n": {"type": "integer"}, "l": {"type": "array", "items": {"type": "number"}}, "o": {"type": "object", "properties": {"b": {"type": ["boolean", "null"]}}}, "s": {"type": "string"}}}
-    c = Contract.of({"openapi": "3.2.0", "paths": {"/p": {"post": {"parameters": [{"name": "q", "in": "querystring", "required": True, "content": {"application/json": {"schema": {"required": ["a"]}}}}], "requestBody": {"content": {"application/json": {"schema": schema}}}}}}})
+    c = Contract.api("3.2.0", {"paths": {"/p": {"post": {"parameters": [{"name": "q", "in": "querystring", "required": True, "content": {"application/json": {"schema": {"required": ["a"]}}}}], "requestBody": {"content": {"application/json": {"schema": schema}}}}}}})
     body = '{"n":"7","l":["1.5",2],"o":{"b":"yes","x":"1"},"s":"5"}'
     rows = [("POST", "/p", '{"a":1}', {}, None, "application/json", body), ("POST", "/p", "%7B%22a%22:1%7D", {}, None, "application/json", '{"n":"x"}'), ("POST", "/p", "", {}, None, None, None), ("POST", "/p", "nothing", {}, None, None, None)]
     df = spark.createDataFrame(rows, "method string, path string, query string, headers map<string,array<string>>, cookie string, content_type string, body string")
@@ -144,6 +144,6 @@ def test_documents_are_guarded(tmp_path):
     assert parse("a: &a [x]\nb: *a", "yaml") == {"a": ["x"], "b": ["x"]}
     with pytest.raises(ContractError):
         Compiler().valid({"pattern": "^(a+)+$"}, Variant(F.col("v")))
-    (tmp_path / "c.json").write_text('{"openapi": "3.1.0", "paths": {}}')
-    (tmp_path / "c.yaml").write_text("openapi: 3.1.0\npaths: {}")
+    (tmp_path / "c.json").write_text(json.dumps({ROOT_KEY: "3.1.0", "paths": {}}))
+    (tmp_path / "c.yaml").write_text(f"{ROOT_KEY}: 3.1.0\npaths: {{}}")
     assert Contract.from_file(str(tmp_path / "c.json")).document == Contract.from_file(str(tmp_path / "c.yaml")).document
