@@ -65,7 +65,8 @@ def too_many_items(p: dict, schema, message: dict[str, Column], regex: str, name
 
 
 def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, names: list[str], coerce: bool = True) -> Column:
-    """JSON text of a parameter's value; null where it is absent. ``message`` has path, query, headers, cookie."""
+    """JSON text of a parameter's value; null where it is absent. ``message`` has path, query, headers, cookie. Members of deep
+    objects are strings: their types are those of the schema's properties, see ``coerce_body``."""
     place, name = p["in"], p["name"]
     style = p.get("style", STYLE.get(place, "form"))
     explode = p.get("explode", style in ("form", "deepObject"))
@@ -74,11 +75,7 @@ def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, name
     scalar = lambda s, ks: coerce_json(s, ks) if coerce else quoted(s)
     listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: scalar(x, items)), ","), F.lit("]"))
     if place == "query" and style == "deepObject":
-        found = deep_object(pairs(message["query"]), name)
-        props = schema.get("properties", {}) if isinstance(schema, dict) else {}
-        one = lambda k: scalar(F.try_element_at(found, k), sorted({x for s in props.values() for x in kinds_of(s)}))
-        body = F.array_join(F.transform(F.map_keys(found), lambda k: F.concat(quoted(k), F.lit(":"), one(k))), ",")
-        return F.when(F.size(found) > 0, F.concat(F.lit("{"), body, F.lit("}")))
+        return deep_object(pairs(message["query"]), name)
     if place in ("query", "cookie"):
         found = values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name)
         raw = F.get(found, F.lit(0))

@@ -104,7 +104,7 @@ def operation_violations(contract: Contract, compiler: Compiler, op: Operation,
             schema = contract.schema(p.get("schema") or next((c.get("schema") for c in (p.get("content") or {}).values()), {}) or {})
             schema = contract.schema(schema["$ref"]) if isinstance(schema, dict) and set(schema) == {"$ref"} else schema
             text = parameters.parameter_json(p, schema, message, op.regex, op.path_names, coerce)
-            found = text_violations(contract, compiler, schema, text, f"{place}/{p['name']}")
+            found = text_violations(contract, compiler, schema, text, f"{place}/{p['name']}", coerce=coerce and p.get("style") == "deepObject", strict=strict)
             missing = _says("parameter", f"{place}/{p['name']}", "is missing") if p.get("required") else none()
             over = parameters.too_many_items(p, schema, message, op.regex, op.path_names)
             parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found))
@@ -122,7 +122,8 @@ MESSAGE = ("path", "query", "headers", "cookie", "method", "body", "content_type
 
 def over_limits(message: dict[str, Column]) -> list[Column]:
     limits = (("query", decoders.too_many_pairs(message["query"])), ("cookie", decoders.too_many_pairs(message["cookie"], ";", parameters.MAX_COOKIES)))
-    return [F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in limits]
+    deep = F.when(decoders.too_deep(message["query"]), _says("nesting", "query", "has a name of too many steps")).otherwise(none())
+    return [*(F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in limits), deep]
 
 
 def request_violations(contract: Contract, **options) -> tuple[Column, Column]:

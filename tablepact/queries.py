@@ -312,7 +312,20 @@ def nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql["nested_keys"] = "SELECT event_id, 'a>b>' || (event_id % 5) || '>' AS path, CAST(event_id AS VARCHAR) AS value FROM events"
 
-_queries |= {f.__name__: f for f in (webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
+
+
+def deep_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nested names as an object whose members have the types of its schema."""
+    schema = {"type": "object", "properties": {"id": {"type": "integer", "minimum": 100}, "o": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 2}}}}}
+    query = F.concat(F.lit("f[id]="), F.col("event_id").cast("string"), F.lit("&f[o][k]="), (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 7 == 0, "&f[id][x]=1").otherwise(""))
+    text = decoders.deep_object(decoders.pairs(query), "f")
+    found = plans.text_violations(PETS, Compiler(PETS), schema, text, "query/f", coerce=True)
+    return read(spark, sf_dir, "events").select("event_id", F.size(found).alias("n_violations"))
+
+
+_sql["deep_objects"] = "SELECT event_id, CAST(CAST(event_id % 7 = 0 OR event_id < 100 AS INT) + CAST(event_id % 5 > 2 AS INT) AS INT) AS n_violations FROM events"
+
+_queries |= {f.__name__: f for f in (deep_objects, webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
 _queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, route_match, query_parse, coerce_integer, coerce_boolean, status_lookup, json_lines, utf16_lengths, conformance_by_hour, interpreted)}
 
 

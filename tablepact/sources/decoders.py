@@ -16,6 +16,9 @@ MAX_JSON, MAX_MULTIPART, MAX_XML, MAX_PARTS, MAX_PAIRS, MAX_RECORDS, MAX_RECORD
 STREAMS = ("application/jsonl", "application/x-ndjson", "application/json-seq", "text/event-stream")
 BOM = "﻿"
 PAIR = "array<struct<name:string,value:string>>"
+LEAVES = "array<struct<at:int,path:array<string>,json:string>>"
+#: Steps of a nested name, its first included.
+MAX_NESTING = 64
 
 
 def media(content_type: Column) -> Column:
@@ -72,12 +75,65 @@ def values_of(found: Column, name: str) -> Column:
     return F.transform(F.filter(found, lambda p: p["name"].isin(name, name + "[]")), lambda p: p["value"])
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def numbered(found: Column) -> Column:
+    """(at, path, json) of ``nested_pairs``: an empty step is the number of the item that it appends."""
+
+    def one(p: Column, i: Column) -> Column:
+        first = F.array_position(p["path"], "").cast("int") - 1
+        upto = lambda q: F.slice(q["path"], 1, first + 1)
+        n = F.size(F.filter(F.slice(found, 1, i), lambda q: upto(q) == upto(p))).cast("string")
+        path = F.transform(p["path"], lambda s, j: F.when(s != "", s).when(j == first, n).otherwise(F.lit("0")))
+        return F.struct(i.alias("at"), path.alias("path"), quoted(p["value"]).alias("json"))
+
+    return F.transform(found, one)
+
+
+def folded(leaves: Column) -> Column:
+    """JSON text of (at, path, json), level by level from the deepest. Names that count from 0 in their order make an array."""
+    parent = lambda e, d: F.slice(e["path"], 1, d - 1)
+
+    def node(own: Column, d: Column, p: Column) -> Column:
+        names = F.transform(own, lambda e: F.element_at(e["path"], d))
+        counted = names == F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda i: i.cast("string"))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(own, lambda e: e["json"]), ","), F.lit("]"))
+        keyed = F.concat(F.lit("{"), F.array_join(F.transform(own, lambda e: F.concat(quoted(F.element_at(e["path"], d)), F.lit(":"), e["json"])), ","), F.lit("}"))
+        return F.struct(F.get(own, F.lit(0))["at"].alias("at"), p.alias("path"), F.when(counted, listed).otherwise(keyed).alias("json"))
+
+    def up(all_: Column, d: Column) -> Column:
+        deep = F.filter(all_, lambda e: F.size(e["path"]) == d)
+        made = bound(deep, lambda es: F.transform(F.array_distinct(F.transform(es, lambda e: parent(e, d))), lambda p: bound(F.array_sort(F.filter(es, lambda e: parent(e, d) == p)), lambda own: node(own, d, p))))
+        return F.concat(F.filter(all_, lambda e: F.size(e["path"]) < d), made).cast(LEAVES)
+
+    depth = F.array_max(F.transform(leaves, lambda e: F.size(e["path"])))
+    return F.get(F.reduce(F.sequence(depth, F.lit(1), F.lit(-1)), leaves.cast(LEAVES), up), F.lit(0))["json"]
+
+
 def deep_object(found: Column, name: str) -> Column:
-    """``name[key]=value`` as a map; the last of equal keys counts."""
-    own = F.filter(found, lambda p: F.startswith(p["name"], F.lit(name + "[")) & p["name"].rlike(r"^[^\[]+\[[^\]\[]+\]\z"))
-    keyed = F.transform(own, lambda p: F.struct(F.regexp_extract(p["name"], r"\[([^\]]+)\]\z", 1).alias("k"), p["value"].alias("v")))
-    names = F.array_distinct(F.transform(keyed, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(keyed, lambda p: p["k"] == k), -1)["v"]))
+    """JSON text of ``name[key]=value``, at any depth, with strings as values; null without such pairs. Of pairs for one place the
+    last counts, also where one is a value and another goes deeper. A name without brackets is a list of its values."""
+    prefix = lambda a, b: F.slice(b["path"], 1, F.size(a["path"])) == a["path"]
+    later = lambda es, e: F.exists(es, lambda o: (o["at"] > e["at"]) & (prefix(e, o) | prefix(o, e)))
+
+    def tree(own: Column) -> Column:
+        plain = lambda p: F.size(p["path"]) == 1
+        last = F.element_at(own, -1)
+        values = F.transform(F.when(F.forall(own, plain), own).otherwise(F.array(last)), lambda p: quoted(p["value"]))
+        below = F.transform(F.filter(own, lambda p: ~plain(p)), lambda p: F.struct(F.slice(p["path"], 2, F.size(p["path"])).alias("path"), p["value"].alias("value")))
+        nested = bound(below, lambda b: bound(numbered(b), lambda es: bound(F.filter(es, lambda e: ~later(es, e)), folded)))
+        return F.when(F.size(own) == 0, F.lit(None)).when(plain(last), F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))).otherwise(nested)
+
+    return bound(F.filter(nested_pairs(found), lambda p: F.get(p["path"], F.lit(0)) == name), tree)
+
+
+def too_deep(query: Column) -> Column:
+    """Whether a name of the query has more than ``MAX_NESTING`` steps."""
+    steps = lambda n: F.length(n) - F.length(F.replace(n, F.lit("["), F.lit(""))) + 1
+    return F.coalesce(F.instr(query, "[") + F.instr(F.lower(query), "%5b") > 0, F.lit(False)) & F.exists(pairs(query), lambda p: steps(p["name"]) > MAX_NESTING)
 
 
 def form_body(body: Column) -> Column:

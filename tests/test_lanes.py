@@ -137,6 +137,28 @@ def test_cookies_nested_keys_and_warnings(spark):
     assert [[v.data_path for v in r.w] for r in got] == [["/a", "/l/0/b"], [], []]
 
 
+def test_deep_objects(spark):
+    cases = {
+        "f[a]=1&f[b]=x": {"a": "1", "b": "x"}, "f[a][b][c]=v&g=1&f[a][d]=w": {"a": {"b": {"c": "v"}, "d": "w"}}, "f[a][]=1&f[a][]=2": {"a": ["1", "2"]}, "f[]=1&f[]=2": ["1", "2"], "f[0]=x&f[1][k]=y": ["x", {"k": "y"}],
+        "f[][a]=1&f[][a]=2": [{"a": "1"}, {"a": "2"}], "f[a][b]=1&f[a]=2": {"a": "2"}, "f[a]=1&f[a][b]=2": {"a": {"b": "2"}}, "f[a]=1&f[a]=2": {"a": "2"}, "f=x": ["x"], "f=x&f=y": ["x", "y"], "f[a]=1&f=x": ["x"],
+        "f%5Ba%5D=%22+%C3%A9": {"a": '" \u00e9'}, "g[a]=1": None, "": None, "f[a]=1&f[][]=2": {"a": "1", "0": ["2"]}, "f[1]=x&f[0]=y": {"1": "x", "0": "y"},
+    }
+    rows = spark.createDataFrame([(q,) for q in [*cases, None]], "q string").repartition(1)
+    got = {r.q: r.o and json.loads(r.o) for r in rows.select("q", decoders.deep_object(decoders.pairs(F.col("q")), "f").alias("o")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_deep_objects_follow_their_schema(spark):
+    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "maximum": 9}, "s": {"type": "string"}, "o": {"type": "object", "properties": {"on": {"type": "boolean"}, "l": {"type": "array", "items": {"type": "number"}}}}}}
+    c = Contract.api("3.1.0", {"paths": {"/p": {"get": {"parameters": [{"name": "f", "in": "query", "style": "deepObject", "schema": schema}]}}}})
+    cases = [
+        ("f[n]=5&f[s]=7&f[o][on]=yes&f[o][l][]=1.5", []), ("f[n]=10", ["maximum"]), ("f[n]=x", ["type"]), ("f[n]=1&f[s][b]=v", ["type"]), ("f[n]=1&f[o][on]=maybe", ["type"]), ("f[n]=1&f[z]=1", ["additionalProperties"]), ("f[s]=a", ["required"]),
+        ("f=x", ["type"]), ("", []), (None, []), ("f[n]=1&g" + "[a]" * 63 + "=1", []), ("f[n]=1&g" + "%5Ba%5D" * 64 + "=1", ["nesting"]),
+    ]
+    df = spark.createDataFrame([("GET", "/p", q, {}, None, None, None) for q, _ in cases], "method string, path string, query string, headers map<string,array<string>>, cookie string, content_type string, body string")
+    assert [[v.keyword for v in r.violations] for r in plans.validate_requests(df.repartition(1), c).collect()] == [want for _, want in cases]
+
+
 def test_documents_are_guarded(tmp_path):
     deep = "a: &a0 [x]\n" + "".join(f"b{i}: &a{i + 1} [*a{i}]\n" for i in range(12))
     with pytest.raises(ContractError):
