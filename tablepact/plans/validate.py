@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,27 +143,48 @@ def request_violations(contract: Contract, **options) -> tuple[Column, Column]:
     return route, _joined([*over_limits(message), made.otherwise(none())])
 
 
-def validate_named(df: DataFrame, contract: Contract, table: dict[tuple[str, str], Operation], **options) -> DataFrame:
-    """Messages to webhooks or callbacks: like requests, but found by columns name and method. Adds violations and valid."""
+def validate_named(df: DataFrame, contract: Contract, cases: list[tuple[Column, Operation | None]], **options) -> DataFrame:
+    """Messages to webhooks or callbacks: like requests, but held against the operation of the first of ``cases`` that holds; None
+    says that its address is known at run time only. Adds violations and valid."""
     message = {k: F.col(k) if k in df.columns else F.lit(None).cast("string") for k in MESSAGE}
     if "headers" not in df.columns:
         message["headers"] = F.create_map().cast("map<string,array<string>>")
     compiler, made = Compiler(contract, mode="request"), None
-    for (name, method), op in table.items():
-        hit, found = (F.col("name") == name) & (F.lower("method") == method), operation_violations(contract, compiler, op, message, **options)
+    for hit, op in cases:
+        found = _says("callback", "path", "its address is known at run time only") if op is None else operation_violations(contract, compiler, op, message, **options)
         made = F.when(hit, found) if made is None else made.when(hit, found)
     unknown = _says("name", "", "no operation has this name and method")
     found = unknown if made is None else made.otherwise(unknown)
     return df.withColumn("violations", _joined([*over_limits(message), found])).withColumn("valid", F.size("violations") == 0)
 
 
-def validate_webhooks(df: DataFrame, contract: Contract, **options) -> DataFrame:
-    return validate_named(df, contract, contract.webhooks(), **options)
+def _called(name: str, method: str) -> Column:
+    return (F.col("name") == name) & (F.lower("method") == method)
 
 
-def validate_callbacks(df: DataFrame, contract: Contract, **options) -> DataFrame:
-    """A callback with several expressions is held against the first that has the method."""
-    return validate_named(df, contract, {k: ops[0] for k, ops in contract.callbacks().items()}, **options)
+def validate_webhooks(df: DataFrame, contract: Contract, **options) -> DataFrame:
+    return validate_named(df, contract, [(_called(*k), op) for k, op in contract.webhooks().items()], **options)
+
+
+def validate_callbacks(df: DataFrame, contract: Contract, *, strict_templates: bool = True, **options) -> DataFrame:
+    """Found by name and method, and by the first expression that fits the path: an absolute address by its path, a template, or a
+    path as it is. Runtime expressions are violations, as they can't be resolved here, unless ``strict_templates`` is false: then
+    they fit any path. Without a column path the first expression that has the method is taken."""
+    cases: list[tuple[Column, Operation | None]] = []
+    for (name, method), ops in contract.callbacks().items():
+        for op in ops if "path" in df.columns else ops[:1]:
+            hit, address = _called(name, method), op.template
+            if "path" in df.columns and "{$" in address:
+                op = None if strict_templates else op
+            elif "path" in df.columns:
+                if address.startswith(("http://", "https://")):
+                    op = replace(op, template=urlsplit(address).path)
+                    if not op.template:
+                        continue
+                templated = op.template == address and "{" in address
+                hit &= F.col("path").rlike(op.regex) if templated else F.col("path") == op.template
+            cases.append((hit, op))
+    return validate_named(df, contract, cases, **options)
 
 
 def warnings(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, examples: list | None = None) -> Column:

@@ -325,7 +325,20 @@ def deep_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql["deep_objects"] = "SELECT event_id, CAST(CAST(event_id % 7 = 0 OR event_id < 100 AS INT) + CAST(event_id % 5 > 2 AS INT) AS INT) AS n_violations FROM events"
 
-_queries |= {f.__name__: f for f in (deep_objects, webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
+
+#: Two addresses of one callback, one of them a template.
+CALLED = Contract.api("3.1.0", {"paths": {}, "components": {"callbacks": {"done": {path: {"post": {"requestBody": {"content": {"application/json": {"schema": {"properties": {"k": bound}}}}}}} for path, bound in (("/done", {"minimum": 50}), ("/done/{id}", {"maximum": 20}))}}}})
+
+
+def callback_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("event_type") == "click", "/done").when(F.col("event_type") == "view", F.concat(F.lit("/done/"), F.col("event_id").cast("string"))).otherwise("/gone")
+    rows = read(spark, sf_dir, "events").select("event_id", F.lit("done").alias("name"), F.lit("POST").alias("method"), path.alias("path"), F.lit("application/json").alias("content_type"), F.col("props").alias("body"))
+    return plans.validate_callbacks(rows, CALLED).select("event_id", "valid")
+
+
+_sql["callback_validation"] = f"SELECT event_id, CASE event_type WHEN 'click' THEN coalesce({K} >= 50, TRUE) WHEN 'view' THEN coalesce({K} <= 20, TRUE) ELSE FALSE END AS valid FROM events"
+
+_queries |= {f.__name__: f for f in (callback_validation, deep_objects, webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
 _queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, route_match, query_parse, coerce_integer, coerce_boolean, status_lookup, json_lines, utf16_lengths, conformance_by_hour, interpreted)}
 
 

@@ -238,12 +238,17 @@ class Contract:
         return {(name, op.method): op for i, (name, item) in enumerate((self.document.get("webhooks") or {}).items()) for op in self._of_item(name, self.deref(item), i)}
 
     def callbacks(self) -> dict[tuple[str, str], list[Operation]]:
-        """Operations of callbacks by name and method: components first, then those of operations."""
+        """Operations of callbacks by name and method, in the order of their expressions. A callback of the components hides those of
+        that name in operations; of these the last with an expression counts."""
+        shared = (self.document.get("components") or {}).get("callbacks") or {}
+        named = {name: dict(self.deref(callback)) for name, callback in shared.items()}
+        for op in self.operations():
+            for name, callback in (op.definition.get("callbacks") or {}).items():
+                if name not in shared:
+                    named.setdefault(name, {}).update(self.deref(callback))
         out: dict[tuple[str, str], list[Operation]] = {}
-        named = list(((self.document.get("components") or {}).get("callbacks") or {}).items())
-        named += [x for op in self.operations() for x in (op.definition.get("callbacks") or {}).items()]
-        for i, (name, callback) in enumerate(named):
-            for expression, item in self.deref(callback).items():
+        for i, (name, callback) in enumerate(named.items()):
+            for expression, item in callback.items():
                 for op in self._of_item(expression, self.deref(item), i):
                     out.setdefault((name, op.method), []).append(op)
         return out

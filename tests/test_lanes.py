@@ -159,6 +159,20 @@ def test_deep_objects_follow_their_schema(spark):
     assert [[v.keyword for v in r.violations] for r in plans.validate_requests(df.repartition(1), c).collect()] == [want for _, want in cases]
 
 
+def test_callbacks_by_path(spark):
+    item = lambda n: {"post": {"requestBody": {"required": True, "content": {"application/json": {"schema": {"const": n}}}}}}
+    own = {"c": {"/done": item(1), "/done/{id}": item(2), "https://h.example/abs?x=1": item(3), "{$request.body#/u}": item(4)}, "hidden": {"/x": item(5)}}
+    c = Contract.api("3.1.0", {"paths": {"/p": {"post": {"callbacks": own}}, "/q": {"post": {"callbacks": {"c": {"/done": item(6)}}}}}, "components": {"callbacks": {"hidden": {"/y": item(7)}}}})
+    cases = [
+        ("c", "POST", "/done", "6", []), ("c", "POST", "/done", "1", ["const"]), ("c", "post", "/done/8", "2", []), ("c", "POST", "/abs", "3", []), ("c", "POST", "/else", "4", ["callback"]), ("c", "GET", "/done", "6", ["name"]),
+        ("hidden", "POST", "/x", "5", ["name"]), ("hidden", "POST", "/y", "7", []), ("gone", "POST", "/y", "7", ["name"]), ("hidden", "POST", None, "7", ["name"]),
+    ]
+    df = spark.createDataFrame([(*x[:3], "application/json", x[3]) for x in cases], "name string, method string, path string, content_type string, body string")
+    assert [[v.keyword for v in r.violations] for r in plans.validate_callbacks(df, c).collect()] == [x[4] for x in cases]
+    assert plans.validate_callbacks(df, c, strict_templates=False).collect()[4].valid
+    assert [r.valid for r in plans.validate_callbacks(df.drop("path"), c).collect()][:2] == [True, False]
+
+
 def test_documents_are_guarded(tmp_path):
     deep = "a: &a0 [x]\n" + "".join(f"b{i}: &a{i + 1} [*a{i}]\n" for i in range(12))
     with pytest.raises(ContractError):
