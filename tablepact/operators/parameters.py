@@ -11,6 +11,7 @@ from ..sources.decoders import deep_object, pairs, quoted, values_of
 MAX_ITEMS, MAX_COOKIES = 1000, 100
 STYLE = {"path": "simple", "header": "simple", "query": "form", "cookie": "form"}
 SEPARATOR = {"pipeDelimited": r"[|]", "spaceDelimited": " "}
+TRIMMED = " \t\n\r\0\x0b"
 
 
 def cookie_pairs(header: Column) -> Column:
@@ -29,14 +30,14 @@ def path_value(path: Column, regex: str, index: int) -> Column:
 
 
 def split_style(raw: Column, style: str, explode: bool, name: str) -> Column:
-    """The items of an array parameter."""
-    if style == "label":
-        body = F.regexp_replace(raw, r"^\.", "")
-        return F.split(body, r"\." if explode else ",")
-    if style == "matrix":
-        body = F.regexp_replace(raw, rf"^;\Q{name}\E=", "")
-        return F.split(body, rf";\Q{name}\E=") if explode else F.split(body, ",")
-    return F.transform(F.split(raw, SEPARATOR.get(style, ",")), lambda x: F.trim(x))
+    """The items of an array parameter that is written as one value. Forms and values delimited by pipes or spaces are split as they
+    stand; in other styles nothing has no items, several items are trimmed, and one alone stays as it is."""
+    if style == "form" or style in SEPARATOR:
+        return F.split(raw, SEPARATOR.get(style, ","))
+    body = scalar_style(raw, style, name)
+    mark = {"label": ".", "matrix": f";{name}="}.get(style, ",") if explode else ","
+    several = F.transform(F.split(body, rf"\Q{mark}\E"), lambda x: F.btrim(x, F.lit(TRIMMED)))
+    return F.when(body == "", F.array().cast("array<string>")).when(F.contains(body, F.lit(mark)), several).otherwise(F.array(body))
 
 
 def scalar_style(raw: Column, style: str, name: str) -> Column:
@@ -55,10 +56,11 @@ def too_many_items(p: dict, schema, message: dict[str, Column], regex: str, name
     place, name = p["in"], p["name"]
     style = p.get("style", STYLE.get(place, "form"))
     explode = p.get("explode", style in ("form", "deepObject"))
-    if "array" not in kinds_of(schema) or style == "deepObject" or place in ("query", "cookie") and explode:
+    if "array" not in kinds_of(schema) or style == "deepObject" or place in ("query", "cookie") and explode and style == "form":
         return F.lit(False)
     if place in ("query", "cookie"):
-        raw = F.get(values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name), F.lit(0))
+        found = values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name)
+        raw = F.array_join(found, ",") if style == "form" else F.get(found, F.lit(0))
     else:
         raw = header_value(message["headers"], name) if place == "header" else path_value(message["path"], regex, names.index(name)) if name in names else F.lit(None).cast("string")
     return F.coalesce(F.size(split_style(raw, style, explode, name)) > MAX_ITEMS, F.lit(False))
@@ -78,10 +80,11 @@ def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, name
         return deep_object(pairs(message["query"]), name)
     if place in ("query", "cookie"):
         found = values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name)
-        raw = F.get(found, F.lit(0))
         if "array" in kinds:
-            return F.when(F.size(found) > 0, listed(found if explode else split_style(raw, style, explode, name)))
-        return F.when(F.size(found) > 0, scalar(raw, kinds))
+            one = split_style(F.array_join(found, ",") if style == "form" else F.get(found, F.lit(0)), style, explode, name)
+            split = found if explode and style == "form" else F.when(F.size(found) == 1, one).otherwise(found) if style in SEPARATOR else one
+            return F.when(F.size(found) > 0, listed(split))
+        return F.when(F.size(found) > 0, scalar(F.get(found, F.lit(0)), kinds))
     raw = header_value(message["headers"], name) if place == "header" else path_value(message["path"], regex, names.index(name)) if name in names else F.lit(None).cast("string")
     if "array" in kinds:
         return F.when(raw.isNotNull(), listed(split_style(raw, style, explode, name)))

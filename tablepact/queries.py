@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import message_queries
 from .functions import coercion
 from .functions.strings import utf16_length
 from .operators import routing
@@ -343,8 +344,8 @@ _queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, rou
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | message_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | message_queries.oracle_sql()
