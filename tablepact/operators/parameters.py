@@ -37,7 +37,7 @@ def split_style(raw: Column, style: str, explode: bool, name: str) -> Column:
     body = scalar_style(raw, style, name)
     mark = {"label": ".", "matrix": f";{name}="}.get(style, ",") if explode else ","
     several = F.transform(F.split(body, rf"\Q{mark}\E"), lambda x: F.btrim(x, F.lit(TRIMMED)))
-    return F.when(body == "", F.array().cast("array<string>")).when(F.contains(body, F.lit(mark)), several).otherwise(F.array(body))
+    return F.when(body == "", F.array().cast("array<string>")).when(F.contains(body, F.lit(mark)), several).when(body.isNotNull(), F.array(body))
 
 
 def scalar_style(raw: Column, style: str, name: str) -> Column:

@@ -271,18 +271,45 @@ class Contract:
         return {normal_media(k): v for k, v in ((node or {}).get("content") or {}).items()}
 
     def deprecations(self) -> list[str]:
-        """Fields that this version of the description deprecates."""
-        out, todo = [], [("", self.document)]
+        """Places of fields that descriptions from version 3.2 on deprecate; earlier ones have none. Names that users give, such as
+        those of properties, and data, such as defaults, aren't fields."""
+        out: list[str] = []
+        todo: list[tuple[str, Any, str, bool]] = [("", self.document, "", False)] if self.version.startswith("3.2") else []
         while todo:
-            at, node = todo.pop()
-            if isinstance(node, dict):
-                out += [f"{at}/{k}" for k in ("nullable", "example") if k in node and not self.version.startswith("3.0")]
-                todo += [(f"{at}/{k}", v) for k, v in node.items()]
-            elif isinstance(node, list):
-                todo += [(f"{at}/{i}", v) for i, v in enumerate(node)]
+            at, node, owner, names = todo.pop()
+            if isinstance(node, list):
+                todo += [(f"{at}/{i}", v, owner, False) for i, v in enumerate(node)]
+            elif isinstance(node, dict):
+                if not names:
+                    out += [f"{at}/{k}" for k in deprecated_fields(node, owner)]
+                for k, v in node.items():
+                    if names:
+                        todo.append((f"{at}/{k}", v, owner, False))
+                    elif k not in DATA_FIELDS and not str(k).startswith("x-"):
+                        todo.append((f"{at}/{k}", v, k, k in NAME_FIELDS and isinstance(v, dict)))
         return sorted(out)
 
 
+#: Fields whose members are named by users, and fields that hold data.
+NAME_FIELDS = {"properties", "patternProperties", "dependentSchemas", "$defs", "schemas", "parameters", "responses", "headers", "requestBodies", "paths", "pathItems", "callbacks", "webhooks", "content", "links", "securitySchemes", "mediaTypes", "encoding"}
+DATA_FIELDS = {"example", "examples", "enum", "const", "default", "mapping", "value"}
+
+
+def deprecated_fields(node: dict, owner: str) -> list[str]:
+    """Of one object; ``owner`` is the field that it stands in, or whose members it is one of."""
+    carried = "in" in node or owner == "headers"
+    hit = {
+        "example": not carried and node.get("example") is not None,
+        "nullable": not carried and bool(node.get("nullable")),
+        "exclusiveMinimum": isinstance(node.get("exclusiveMinimum"), bool),
+        "exclusiveMaximum": isinstance(node.get("exclusiveMaximum"), bool),
+        "allowEmptyValue": carried and bool(node.get("allowEmptyValue")),
+        "attribute": owner == "xml" and node.get("attribute") is not None,
+        "wrapped": owner == "xml" and node.get("wrapped") is not None,
+    }
+    return [k for k, told in hit.items() if told]
+
+
 def pointer_get(node: Any, pointer: str) -> Any:
     for part in unquote(pointer).split("/")[1:]:
         part = part.replace("~1", "/").replace("~0", "~")

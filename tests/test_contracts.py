@@ -193,3 +193,39 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rates").select("n_rows", "n_valid").collect() == [(2, 1)]
+
+
+def test_deprecated_fields_are_told_by_place():
+    schema = {"properties": {"example": {"type": "string", "nullable": True}, "n": {"exclusiveMinimum": True, "exclusiveMaximum": 3, "xml": {"attribute": True, "name": "n"}}}, "default": {"nullable": True}, "x-own": {"nullable": True}}
+    parts = {
+        "paths": {"/p": {"get": {"parameters": [{"name": "q", "in": "query", "allowEmptyValue": True, "example": 1, "schema": {"nullable": False}}], "responses": {"200": {"headers": {"nullable": {"allowEmptyValue": True, "example": 1}}, "content": {"application/json": {"example": 1, "schema": {"example": None}}}}}}}},
+        "components": {"schemas": {"S": schema}},
+    }
+    told = Contract.api("3.2.0", parts).deprecations()
+    assert told == sorted([
+        "/components/schemas/S/properties/example/nullable", "/components/schemas/S/properties/n/exclusiveMinimum", "/components/schemas/S/properties/n/xml/attribute",
+        "/paths//p/get/parameters/0/allowEmptyValue", "/paths//p/get/responses/200/headers/nullable/allowEmptyValue", "/paths//p/get/responses/200/content/application/json/example",
+    ])
+    assert Contract.api("3.1.0", parts).deprecations() == [] and Contract.of({"nullable": True}).deprecations() == []
+
+
+def test_files_refer_to_files_by_their_own_place(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "api.json").write_text(json.dumps({"$defs": {"A": {"$ref": "parts/a.yaml#/A"}}}))
+    (tmp_path / "parts/a.yaml").write_text("A: {$ref: './more/../b.json#/B'}\n")
+    (tmp_path / "parts/b.json").write_text('{"B": {"minimum": 3}}')
+    c = Contract.from_file(str(tmp_path / "api.json"))
+    df = spark.createDataFrame([("2",), ("3",)], "t string")
+    assert [r.valid for r in plans.validate(df, "t", "#/$defs/A", c).collect()] == [False, True]
+
+
+def test_array_styles(spark):
+    from tablepact.operators import parameters
+
+    def items(raw, style, explode=False):
+        return spark.range(1).select(parameters.split_style(F.lit(raw), style, explode, "p")).first()[0]
+
+    assert items("", "simple") == [] and items(" a", "simple") == [" a"] and items(" a,\tb", "simple") == ["a", "b"]
+    assert items(".", "label") == [] and items(".a. b", "label", True) == ["a", "b"] and items(".a.b", "label") == ["a.b"]
+    assert items(";p=a;p=b", "matrix", True) == ["a", "b"] and items(";p=", "matrix") == []
+    assert items("a | b", "pipeDelimited") == ["a ", " b"] and items("a, b", "form") == ["a", " b"] and items(None, "simple") is None
