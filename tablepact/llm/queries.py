@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ordinal, quality, similarity, tokens, toxicity, urls, warc
+from . import decontaminate, language, merkle, negatives, ordinal, quality, similarity, tokens, toxicity, urls, vectors, warc
 from .common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,9 +81,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.lowered(columns, "text"))
+    return merkle.manifest(docs, columns=columns, claimed=tampered)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash_dedup, op3_token_counts, op4_decontamination, op5_url_filters, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash_dedup, op3_token_counts, op4_decontamination, op5_url_filters, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_bpe, op10_toxicity, op11_merkle_manifest, op12_hard_negatives, op13_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op2_minhash_dedup": similarity.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op2_minhash_dedup": similarity.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL,
+            "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_vector_dedup": vectors.ORACLE_SQL}
