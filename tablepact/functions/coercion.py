@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from . import text as F
+from .strings import bind
 
 TRUE, FALSE = ("true", "1", "yes", "on"), ("false", "0", "no", "off")
 
@@ -65,7 +67,12 @@ def coerce_body(contract, schema, v, strict: bool = True) -> Column:
 def coerce_json(s: Column, kinds: list[str], strict: bool = True) -> Column:
     """A string as JSON text of the first of ``kinds`` that takes it; as a JSON string otherwise."""
     lenient = {"integer": lambda x: to_integer(x, False), "boolean": lambda x: to_boolean(x, False)}
-    out = [F.to_json(F.struct((COERCE if strict else COERCE | lenient)[k](s).alias("v"))) for k in kinds if k in ("integer", "number", "boolean")]
-    inner = [F.when(x != "{}", F.regexp_extract(x, r"^\{\"v\":(.*)\}\z", 1)) for x in out]
-    text = F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
-    return F.coalesce(*inner, text)
+    known = COERCE if strict else COERCE | lenient
+
+    def of(s: Column) -> Column:
+        # a number or boolean that is written out as a text is its own JSON, but for doubles
+        inner = [F.to_json(F.array(known[k](s))) if k == "number" else known[k](s).cast("string") for k in kinds if k in ("integer", "number", "boolean")]
+        inner = [F.when(x != "[null]", F.regexp_extract(x, r"^\[(.*)\]\z", 1)) if k == "number" else x for k, x in zip((k for k in kinds if k in ("integer", "number", "boolean")), inner)]
+        return F.coalesce(*inner, F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1))
+
+    return bind(s, of) if any(k in ("integer", "number", "boolean") for k in kinds) else of(s)

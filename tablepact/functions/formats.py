@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from . import text as F
 
 #: Java's ``$`` also matches before other line ends; UNIX_LINES leaves ``\n`` alone, ``\z`` none at all.
 END = r"\z"

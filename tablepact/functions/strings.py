@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from . import text as F
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row."""
+    if isinstance(value, F.Text) and "(" not in value.sql and "CASE" not in value.sql:
+        return body(value)
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

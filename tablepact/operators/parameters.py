@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from ..functions import text as F
 from ..functions.coercion import coerce_json
+from ..functions.strings import bind
 from ..sources.decoders import deep_object, pairs, quoted, values_of
 
 MAX_ITEMS, MAX_COOKIES = 1000, 100
@@ -78,14 +79,17 @@ def parameter_json(p: dict, schema, message: dict[str, Column], regex: str, name
     listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: scalar(x, items)), ","), F.lit("]"))
     if place == "query" and style == "deepObject":
         return deep_object(pairs(message["query"]), name)
-    if place in ("query", "cookie"):
-        found = values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name)
+    def written(found: Column) -> Column:
         if "array" in kinds:
             one = split_style(F.array_join(found, ",") if style == "form" else F.get(found, F.lit(0)), style, explode, name)
             split = found if explode and style == "form" else F.when(F.size(found) == 1, one).otherwise(found) if style in SEPARATOR else one
             return F.when(F.size(found) > 0, listed(split))
         return F.when(F.size(found) > 0, scalar(F.get(found, F.lit(0)), kinds))
+
+    if place in ("query", "cookie"):
+        all_ = values_of(pairs(message["query"]) if place == "query" else cookie_pairs(message["cookie"]), name)
+        return bind(all_, written)
     raw = header_value(message["headers"], name) if place == "header" else path_value(message["path"], regex, names.index(name)) if name in names else F.lit(None).cast("string")
     if "array" in kinds:
-        return F.when(raw.isNotNull(), listed(split_style(raw, style, explode, name)))
-    return F.when(raw.isNotNull(), scalar(scalar_style(raw, style, name), kinds))
+        return bind(raw, lambda r: F.when(r.isNotNull(), listed(split_style(r, style, explode, name))))
+    return bind(raw, lambda r: F.when(r.isNotNull(), scalar(scalar_style(r, style, name), kinds)))

@@ -10,8 +10,8 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions import text as F
 from ..sources.contract import Contract, ContractError, Operation
 from ..sources.decoders import pairs, values_of
 from .parameters import cookie_pairs, header_value

@@ -14,9 +14,9 @@ from operator import add, and_, ge, gt, le, lt, or_
 from typing import Any
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import text as F
 from ..functions import formats
 from ..functions.strings import HostilePattern, bind, java_pattern, utf16_length
 from ..sources.contract import Contract, ContractError
@@ -86,7 +86,9 @@ class Compiler:
         self.contract, self.mode, self.strict = contract or Contract({}), mode, strict_formats
 
     def violations(self, schema: Any, value: Typed | Variant, path: Column | None = None, at: str = "#") -> Column:
-        path = F.lit("") if path is None else path
+        path = F.lit("") if path is None else F.written(path)
+        if F.plain(value.c):
+            return value.as_text(lambda v: self.violations(schema, v, path, at))
         if schema is True or schema == {}:
             return none()
         if schema is False:
@@ -100,6 +102,8 @@ class Compiler:
 
     def valid(self, schema: Any, value: Typed | Variant) -> Column:
         """Whether there are no violations, as a condition of its own: none is made to be counted. Never null."""
+        if F.plain(value.c):
+            return value.as_text(lambda v: self.valid(schema, v))
         if schema is True or schema == {}:
             return F.lit(True)
         if schema is False:
@@ -248,7 +252,7 @@ class Compiler:
     def _format(self, kind: str, name: str, v, text: Column) -> Column | None:
         """Whether a value of the type that the format is for breaks it; None for formats that aren't known."""
         if (kind, name) in formats.CUSTOM:
-            return ~formats.CUSTOM[kind, name](text if kind == "string" else v.number())
+            return ~F.written(formats.CUSTOM[kind, name](text if kind == "string" else v.number()))
         if kind == "string" and name in formats.STRING:
             return ~F.coalesce(formats.STRING[name](text), text.isNull())
         if name == "int32" and kind == "integer":
@@ -391,6 +395,8 @@ class Compiler:
     def warnings(self, schema: Any, value: Typed | Variant, path: Column | None = None, at: str = "#") -> Column:
         """Deprecated properties that are there, at any depth of properties and items; they make nothing invalid."""
         path = F.lit("") if path is None else path
+        if F.plain(value.c):
+            return value.as_text(lambda v: self.warnings(schema, v, path, at))
         schema = self.contract.schema(schema["$ref"]) if isinstance(schema, dict) and isinstance(schema.get("$ref"), str) else schema
         if not has_deprecated(self.contract, schema):
             return none()

@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as F
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMBERS = (*INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -27,6 +28,11 @@ class Typed:
     def bound(self, body: Callable[[Typed], Column]) -> Column:
         return body(self)
 
+    def as_text(self, body: Callable[[Typed], Column]) -> Column:
+        """``body`` of the same value as text, see ``functions.text``."""
+        name = F.text_of(self.c)
+        return F.bound_to(self.c, lambda c: body(Typed(c, self.kind))) if name is None else body(Typed(name, self.kind))
+
     @property
     def null(self) -> Column:
         return self.c.isNull()
@@ -112,7 +118,18 @@ class Variant:
         self.c = column
 
     def bound(self, body: Callable[[Variant], Column]) -> Column:
-        return F.get(F.transform(F.array(self.c), lambda x: body(Variant(x))), F.lit(0))
+        """``body`` of the value, of which each question is answered once: what it asks for is a field of one struct."""
+        asked: dict[str, Column] = {}
+        with F.deeper() as v:
+            made = body(Answered(F.Text(v), self, asked))
+        if not asked:
+            return made
+        fields = F.struct(*(c.alias(k) for k, c in asked.items()))
+        return F.Text(f"get(transform(array({fields.sql}), {v} -> {F.operand(made, F.OR)}), 0)")
+
+    def as_text(self, body: Callable[[Variant], Column]) -> Column:
+        name = F.text_of(self.c)
+        return F.bound_to(self.c, lambda c: body(Variant(c))) if name is None else body(Variant(name))
 
     def tag(self) -> Column:
         return F.schema_of_variant(self.c)
@@ -179,3 +196,53 @@ class Variant:
 
     def members(self, names: Column, body: Callable[[Variant, Column], Column]) -> Column:
         return F.transform(names, lambda k: body(Variant(F.try_element_at(self.map(), k)), k))
+
+
+class Answered(Variant):
+    """A VARIANT as a struct of what was asked of it."""
+
+    def __init__(self, struct: F.Text, value: Variant, asked: dict[str, Column]):
+        self._struct, self._value, self._asked = struct, value, asked
+
+    def _of(self, name: str, made: Callable[[], Column]) -> Column:
+        if name not in self._asked:
+            self._asked[name] = made()
+        return self._struct[name]
+
+    @property
+    def c(self) -> Column:
+        return self._of("v", lambda: self._value.c)
+
+    def bound(self, body: Callable[[Variant], Column]) -> Column:
+        return body(self)
+
+    def as_text(self, body: Callable[[Variant], Column]) -> Column:
+        return body(self)
+
+    def tag(self) -> Column:
+        return self._of("t", lambda: self._value.tag())
+
+    @property
+    def null(self) -> Column:
+        return self._of("z", lambda: self._value.null)
+
+    def is_type(self, name: str) -> Column:
+        return self._of(name, lambda: self._value.is_type(name)) if name == "integer" else super().is_type(name)
+
+    def integer(self) -> Column:
+        return self._of("i", lambda: self._value.integer())
+
+    def number(self) -> Column:
+        return self._of("n", lambda: self._value.number())
+
+    def string(self) -> Column:
+        return self._of("s", lambda: self._value.string())
+
+    def key(self) -> Column:
+        return self._of("k", lambda: self._value.key())
+
+    def array(self) -> Column:
+        return self._of("a", lambda: self._value.array())
+
+    def map(self) -> Column:
+        return self._of("m", lambda: self._value.map())

@@ -8,10 +8,11 @@ from typing import Any
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as F
 from ..functions.coercion import coerce_body
+from ..functions.strings import bind
 from ..operators import parameters, routing
 from ..operators.interpreter import violations_udf
 from ..operators.schema import Compiler, compilable, none
@@ -79,8 +80,8 @@ def text_violations(contract: Contract, compiler: Compiler, schema: Any, text: C
         return F.coalesce(violations_udf(contract, schema, compiler.mode, compiler.strict, path)(text), none())
     value = F.try_parse_json(text)
     if coerce:
-        value = F.try_parse_json(coerce_body(contract, schema, Variant(value), strict))
-    return F.when(value.isNull(), _says("json", path, "is not JSON")).otherwise(compiler.violations(schema, Variant(value), F.lit(path)))
+        value = F.try_parse_json(bind(value, lambda v: coerce_body(contract, schema, Variant(v), strict)))
+    return bind(value, lambda v: F.when(v.isNull(), _says("json", path, "is not JSON")).otherwise(compiler.violations(schema, Variant(v), F.lit(path))))
 
 
 def querystring_violations(contract: Contract, compiler: Compiler, p: dict, query: Column) -> Column:
@@ -106,10 +107,11 @@ def operation_violations(contract: Contract, compiler: Compiler, op: Operation,
             schema = contract.schema(p.get("schema") or next((c.get("schema") for c in (p.get("content") or {}).values()), {}) or {})
             schema = contract.schema(schema["$ref"]) if isinstance(schema, dict) and set(schema) == {"$ref"} else schema
             text = parameters.parameter_json(p, schema, message, op.regex, op.path_names, coerce)
-            found = text_violations(contract, compiler, schema, text, f"{place}/{p['name']}", coerce=coerce and p.get("style") == "deepObject", strict=strict)
             missing = _says("parameter", f"{place}/{p['name']}", "is missing") if p.get("required") else none()
             over = parameters.too_many_items(p, schema, message, op.regex, op.path_names)
-            parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found))
+            found = lambda t, p=p, schema=schema, place=place: text_violations(contract, compiler, schema, t, f"{place}/{p['name']}", coerce=coerce and p.get("style") == "deepObject", strict=strict)
+            judged = lambda t, p=p, place=place, missing=missing, over=over, found=found: F.when(t.isNull(), missing).when(over, _says("items", f"{place}/{p['name']}", "has too many items")).otherwise(found(t))
+            parts.append(bind(text, judged) if compilable(contract, schema) else judged(text))
     parts += [querystring_violations(contract, compiler, p, message["query"]) for p in op.parameters if p.get("in") == "querystring"]
     body = contract.deref(op.definition.get("requestBody") or {})
     if body:

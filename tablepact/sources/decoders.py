@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from ..functions import text as F
+from ..functions.strings import bind
 
 #: Limits of bodies and of their parts.
 MAX_JSON, MAX_MULTIPART, MAX_XML, MAX_PARTS, MAX_PAIRS, MAX_RECORDS, MAX_RECORD = 10 << 20, 50 << 20, 1 << 20, 1000, 1000, 100_000, 1 << 20
@@ -77,7 +79,7 @@ def values_of(found: Column, name: str) -> Column:
 
 def bound(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return bind(value, use)
 
 
 def numbered(found: Column) -> Column:
