@@ -79,7 +79,7 @@ def match_route(contract: Contract, method: Column, path: Column) -> Column:
     return F.lit(None).cast("int") if not found else F.least(*found) if len(found) > 1 else found[0]
 
 
-def constant(value: dict, kind: str) -> Column:
+def constant(value: dict | list, kind: str) -> Column:
     """A value as one constant, however large: the optimizer evaluates it once."""
     return F.from_json(F.lit(json.dumps(value)), kind)
 
@@ -91,8 +91,7 @@ def routes_table(spark: SparkSession, contract: Contract) -> DataFrame:
 
 
 def operation_name(contract: Contract, route: Column) -> Column:
-    names = F.array(*(F.lit(o.name) for o in ranked(contract)))
-    return F.get(names, route)
+    return F.get(constant([o.name for o in ranked(contract)], "array<string>"), route)
 
 
 def status_key(status: Column, known: list[str]) -> Column:

@@ -1,14 +1,17 @@
 """Schemas compiled to Column expressions: an array of violations for each row.
 
 The compiler walks a schema once on the driver and emits one expression, so a check is a projection that Catalyst plans
-with the scan: no shuffle, no Python. Schemas that an expression can't hold (recursion, unevaluated properties or items,
-patterns that Java can't read) go to the interpreter in batches; ``compilable`` tells which way a schema takes.
+with the scan: no shuffle, no Python. Which properties and items a schema has evaluated is an expression of
+its own, joined by the outcomes of branches. Schemas that an expression can't hold (recursion through choices, patterns that Java can't read) go to the
+interpreter in batches; ``compilable`` tells which way a schema takes, ``recursion`` holds trees.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 from operator import add, and_, ge, gt, le, lt, or_
 from typing import Any
@@ -28,7 +31,6 @@ NONE = f"array<{VIOLATION}>"
 MAX_ADDITIONAL = 100
 #: Keyword, whether it is broken, and what to say of it.
 Check = tuple[str, Column, str]
-UNCOMPILED = ("unevaluatedProperties", "unevaluatedItems")
 BEYOND_JAVA = re.compile(r"\(\?[&RP(|]|\(\?\d|\\[gKRX]|\(\*")
 
 
@@ -42,28 +44,45 @@ def scalar_key(value: Any) -> str:
         return "z"
     if isinstance(value, bool):
         return f"b{str(value).lower()}"
-    if isinstance(value, int):
-        return f"n{value}"
-    if isinstance(value, float):
-        return f"n{int(value)}" if value.is_integer() and abs(value) < 2**53 else f"d{value!r}"
-    if isinstance(value, str):
-        return f"s{value}"
-    return "j" + json.dumps(folded(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(value, (int, float)):
+        return number_text(value)
+    return f"s{value}" if isinstance(value, str) else "j" + canonical(value)
 
 
-def folded(value: Any) -> Any:
-    if isinstance(value, float) and value.is_integer():
-        return int(value)
-    return [folded(x) for x in value] if isinstance(value, list) else {k: folded(x) for k, x in value.items()} if isinstance(value, dict) else value
+def number_text(value: float) -> str:
+    """Integers and whole doubles below 2^53 as n and digits, other doubles as d and the text that Java writes."""
+    if isinstance(value, int) or value.is_integer() and abs(value) < 2**53:
+        return f"n{int(value)}"
+    digits, exponent = (t := Decimal(repr(value)).normalize().as_tuple()).digits, len(t.digits) + t.exponent - 1
+    sign, text = "-" if value < 0 else "", "".join(map(str, digits))
+    if -3 <= exponent < 7:
+        return "d" + (repr(value) if "e" not in repr(value) else f"{value:f}")
+    return f"d{sign}{text[0]}.{text[1:] or '0'}E{exponent}"
+
+
+def canonical(value: Any) -> str:
+    """JSON text with keys in the order of UTF-16 and numbers by their values, as ``values.canonical`` makes it."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return number_text(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def whole_reference(name: str) -> str:
+    """A value of a mapping: a reference, or the bare name of a schema of the components."""
+    return name if "/" in name or "#" in name else f"#/components/schemas/{name}"
 
 
 def compilable(contract: Contract, schema: Any, seen: tuple[str, ...] = ()) -> bool:
-    """Whether the compiler takes a schema: no recursion and nothing of ``UNCOMPILED`` anywhere below."""
+    """Whether the compiler takes a schema: no recursion anywhere below."""
     if isinstance(schema, list):
         return all(compilable(contract, s, seen) for s in schema)
     if not isinstance(schema, dict):
         return True
-    if any(k in schema for k in UNCOMPILED) or schema.get("format") == "regex":
+    if schema.get("format") == "regex":
         return False
     if isinstance(schema.get("pattern"), str) and BEYOND_JAVA.search(schema["pattern"]):
         return False
@@ -73,9 +92,10 @@ def compilable(contract: Contract, schema: Any, seen: tuple[str, ...] = ()) -> b
         return compilable(contract, contract.resolve(ref)[0], (*seen, ref)) and compilable(contract, {k: v for k, v in schema.items() if k != "$ref"}, seen)
     maps = ("properties", "patternProperties", "dependentSchemas")
     below = [s for k in maps for s in (schema.get(k) or {}).values()]
-    below += [schema[k] for k in ("items", "additionalProperties", "not", "if", "then", "else", "contains", "propertyNames", "allOf", "anyOf", "oneOf", "prefixItems") if k in schema]
+    below += [schema[k] for k in ("items", "additionalProperties", "unevaluatedProperties", "unevaluatedItems", "not", "if", "then", "else", "contains", "propertyNames", "allOf", "anyOf", "oneOf", "prefixItems") if k in schema]
     if isinstance(d := schema.get("discriminator"), dict):
-        below += [{"$ref": r} for r in (d.get("mapping") or {}).values() if r.startswith("#")]
+        named = [*(d.get("mapping") or {}).values(), *([d["defaultMapping"]] if d.get("defaultMapping") else [])]
+        below += [{"$ref": whole_reference(r)} for r in named]
     return all(compilable(contract, s, seen) for s in below)
 
 
@@ -95,7 +115,7 @@ class Compiler:
             return F.array(self._one("false", path, at, "nothing is allowed here"))
         if isinstance(schema.get("$ref"), str):
             target = self.contract.schema(schema["$ref"])
-            rest = {k: v for k, v in schema.items() if k != "$ref"}
+            rest = beside(schema)
             found = self.violations(target, value, path, schema["$ref"])
             return F.concat(found, self.violations(rest, value, path, at)) if rest else found
         return value.bound(lambda v: self._all(schema, v, path, at))
@@ -109,7 +129,7 @@ class Compiler:
         if schema is False:
             return F.lit(False)
         if isinstance(schema.get("$ref"), str):
-            rest = {k: v for k, v in schema.items() if k != "$ref"}
+            rest = beside(schema)
             found = self.valid(self.contract.schema(schema["$ref"]), value)
             return found & self.valid(rest, value) if rest else found
         return value.bound(lambda v: self._valid(schema, v))
@@ -121,7 +141,7 @@ class Compiler:
             if "oneOf" in s:
                 return parts[0]
         parts += [~F.coalesce(wrong, F.lit(False)) for _, wrong, _ in [*self._scalars(s, v), *self._sizes(s, v)]]
-        parts += [*self._valid_objects(s, v), *self._valid_arrays(s, v)]
+        parts += [*self._valid_objects(s, v), *self._valid_arrays(s, v), *self._valid_unevaluated(s, v)]
         parts += [self.valid(sub, v) for sub in s.get("allOf") or []]
         for k in ("anyOf", "oneOf"):
             if s.get(k):
@@ -198,7 +218,7 @@ class Compiler:
             routed = None
         flat = [self._if(wrong, k, path, at, message) for k, wrong, message in [*self._scalars(s, v), *self._sizes(s, v)]]
         parts = [*flat, *([routed] if routed is not None else [])]
-        parts += [*self._objects(s, v, path, at), *self._arrays(s, v, path, at), *self._composed(s, v, path, at)]
+        parts += [*self._objects(s, v, path, at), *self._arrays(s, v, path, at), *self._composed(s, v, path, at), *self._unevaluated(s, v, path, at)]
         return (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else none()
 
     # scalars
@@ -245,9 +265,15 @@ class Compiler:
 
     @staticmethod
     def _multiple(v, by: float) -> Column:
+        """Whole numbers are divided exactly: v is a multiple of p / q, in lowest terms, if p divides v q, and so, as they share no
+        factor, if p divides v. For other numbers the quotient may be off by 1e-9 of itself."""
+        exact = Fraction(repr(by))
+        if exact <= 0:
+            return F.lit(False)
         quotient = v.number() / F.lit(float(by))
         near = F.abs(quotient - F.round(quotient)) < 1e-9 * F.greatest(F.lit(1.0), F.abs(quotient))
-        return F.when(v.integer().isNotNull(), v.integer() % int(by) == 0).otherwise(near) if float(by).is_integer() else near
+        p = F.lit(exact.numerator) if exact.numerator < 2**63 else F.lit(str(exact.numerator)).cast("decimal(38,0)")
+        return F.when(v.integer().isNotNull(), v.integer() % p == 0).otherwise(near)
 
     def _format(self, kind: str, name: str, v, text: Column) -> Column | None:
         """Whether a value of the type that the format is for breaks it; None for formats that aren't known."""
@@ -336,6 +362,108 @@ class Compiler:
             out.append(F.when(is_array, F.flatten(found)).otherwise(none()))
         return out
 
+    # annotations
+
+    def evaluated(self, s: Any, v, of: str, own: bool = True) -> Column:
+        """The keys (``of`` properties) or places (``of`` items) of a value that a schema which holds has evaluated. A branch gives
+        its own where it holds. ``own``: whether unevaluated ones that pass count, as they do for schemas around this one."""
+        nothing = F.array().cast("array<string>" if of == "properties" else "array<int>")
+        if not isinstance(s, dict):
+            return nothing
+        parts: list[Column] = []
+
+        def branch(sub: Any, condition: Column | None = None) -> None:
+            holds = self.valid(sub, v) if condition is None else condition & self.valid(sub, v)
+            if isinstance(sub, dict):
+                parts.append(F.when(holds, self.evaluated(sub, v, of)).otherwise(nothing))
+
+        if isinstance(ref := s.get("$ref", s.get(REFERRED)), str):
+            branch(self.contract.schema(ref))
+        if isinstance(s.get("discriminator"), dict):
+            table, default = self._routes(s)
+            got = v.get(s["discriminator"]["propertyName"]) if "propertyName" in s["discriminator"] else None
+            if got is None:
+                return self.evaluated({"$ref": default}, v, of) if default and "propertyName" not in s["discriminator"] else nothing
+            known = F.lit(False)
+            for key, ref in table.items():
+                branch({"$ref": ref}, F.coalesce(got[0].string() == key, F.lit(False)))
+                known = known | F.coalesce(got[0].string() == key, F.lit(False))
+            if default:
+                branch({"$ref": default}, ~known)
+            if "oneOf" in s:
+                return F.concat(*parts) if parts else nothing
+        for k in ("allOf", "anyOf", "oneOf"):
+            for sub in s.get(k) or []:
+                branch(sub)
+        if "if" in s:
+            branch(s["if"])
+            for k in ("then", "else"):
+                if k in s:
+                    branch(s[k], self.valid(s["if"], v) if k == "then" else ~self.valid(s["if"], v))
+        for name, sub in (s.get("dependentSchemas") or {}).items():
+            branch(sub, F.array_contains(v.keys(), name))
+        parts += self._evaluated_keys(s, v, own) if of == "properties" else self._evaluated_places(s, v, own)
+        return F.concat(nothing, *parts) if parts else nothing
+
+    def _evaluated_keys(self, s: dict, v, own: bool) -> list[Column]:
+        names, parts = list(s.get("properties") or {}), []
+        if "additionalProperties" in s or own and s.get("unevaluatedProperties") in (True, {}):
+            return [v.keys()]
+        if names:
+            parts.append(F.array_intersect(v.keys(), F.array(*map(F.lit, names))))
+        parts += [F.filter(v.keys(), lambda k, p=p: k.rlike(java_pattern(p))) for p in s.get("patternProperties") or {}]
+        if own and isinstance(s.get("unevaluatedProperties"), dict):
+            fits = v.members(v.keys(), lambda x, k: F.when(self.valid(s["unevaluatedProperties"], x), k))
+            parts += [F.array_compact(fits)] if fits is not None else []
+        return parts
+
+    def _evaluated_places(self, s: dict, v, own: bool) -> list[Column]:
+        every, prefix, parts = places(v.size()), len(s.get("prefixItems") or []), []
+        if s.get("items", False) is not False or own and s.get("unevaluatedItems") in (True, {}):
+            return [every]
+        if prefix:
+            parts.append(F.slice(every, 1, prefix))
+        fitting = [s[k] for k in ("contains", *(["unevaluatedItems"] if own else [])) if k in s and s[k] is not False]
+        for sub in fitting:
+            hits = v.elements(lambda x, i, sub=sub: F.when(self.valid(sub, x), i))
+            parts += [F.coalesce(F.array_compact(hits), F.array().cast("array<int>"))] if hits is not None else []
+        return parts
+
+    def _left(self, s: dict, v) -> tuple[Column | None, Column | None]:
+        """Keys and places that nothing has evaluated, where the schema asks for them."""
+        keys = F.array_except(v.keys(), self.evaluated(s, v, "properties", False)) if s.get("unevaluatedProperties", True) not in (True, {}) else None
+        left = F.array_except(places(v.size()), self.evaluated(s, v, "items", False)) if s.get("unevaluatedItems", True) not in (True, {}) else None
+        return keys, left
+
+    def _valid_unevaluated(self, s: dict, v) -> list[Column]:
+        (keys, left), out = self._left(s, v), []
+        if keys is not None:
+            sub = s["unevaluatedProperties"]
+            fits = None if sub is False else v.members(keys, lambda x, k: self.valid(sub, x))
+            held = F.size(keys) == 0 if fits is None else F.forall(fits, lambda x: x)
+            out.append(~v.is_type("object") | held)
+        if left is not None:
+            sub = s["unevaluatedItems"]
+            held = F.size(left) == 0 if sub is False else F.forall(left, lambda i: self.valid(sub, v.at(i)))
+            out.append(~v.is_type("array") | held)
+        return out
+
+    def _unevaluated(self, s: dict, v, path: Column, at: str) -> list[Column]:
+        (keys, left), out = self._left(s, v), []
+        child = lambda key: F.concat(path, F.lit("/"), key)
+        if keys is not None:
+            sub = s["unevaluatedProperties"]
+            bad = keys if sub is False else v.members(keys, lambda x, k: F.when(~self.valid(sub, x), k))
+            if bad is not None:
+                found = F.transform(F.array_compact(bad), lambda k: self._one("unevaluatedProperties", child(k), at, F.concat(k, F.lit(" isn't allowed"))))
+                out.append(F.when(v.is_type("object"), found).otherwise(none()))
+        if left is not None:
+            sub = s["unevaluatedItems"]
+            bad = left if sub is False else F.filter(left, lambda i: ~self.valid(sub, v.at(i)))
+            found = F.transform(bad, lambda i: self._one("unevaluatedItems", child(i.cast("string")), at, "isn't allowed"))
+            out.append(F.when(v.is_type("array"), found).otherwise(none()))
+        return out
+
     # composition
 
     def _composed(self, s: dict, v, path: Column, at: str) -> list[Column]:
@@ -355,7 +483,7 @@ class Compiler:
 
     def _routes(self, s: dict) -> tuple[dict[str, str], str | None]:
         """References by value of the property, explicit mapping first, then the last part of each; and the default."""
-        d, whole = s["discriminator"], lambda r: r if "/" in r or "#" in r else f"#/components/schemas/{r}"
+        d, whole = s["discriminator"], whole_reference
         table: dict[str, str] = {}
         for k in ("oneOf", "anyOf", "allOf"):
             table |= {sub["$ref"].rsplit("/", 1)[-1]: sub["$ref"] for sub in s.get(k) or [] if isinstance(sub, dict) and "$ref" in sub}
@@ -416,6 +544,20 @@ class Compiler:
         return value.bound(of)
 
 
+#: Where what stands beside a reference keeps it, as what it evaluates counts there.
+REFERRED = "$referred"
+
+
+def beside(schema: dict) -> dict:
+    """The keywords beside a reference."""
+    rest = {k: v for k, v in schema.items() if k != "$ref"}
+    return rest | {REFERRED: schema["$ref"]} if rest else rest
+
+
+def places(size: Column) -> Column:
+    return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def checked_pattern(pattern: str) -> str:
     try:
         return java_pattern(pattern)

@@ -19,6 +19,16 @@ def number_key(x: Column) -> Column:
     return F.when((x == F.floor(x)) & (F.abs(x) < 2**53), F.concat(F.lit("n"), F.floor(x).cast("bigint").cast("string"))).otherwise(F.concat(F.lit("d"), x.cast("string")))
 
 
+TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
+
+def canonical(text: Column) -> Column:
+    """JSON text of a VARIANT, whose keys are in order, with its numbers as ``number_key`` writes them; strings stay as they are."""
+    whole = lambda t: F.concat(F.lit("n"), F.when(t == "-0", "0").otherwise(t))
+    number = lambda t: F.when(t.rlike(r"^-?[0-9]+\z"), whole(t)).otherwise(number_key(t.cast("double")))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike(r"^-?[0-9]"), number(t)).otherwise(t)), "")
+
+
 class Typed:
     """A column of a known type; null is JSON's null, and a struct always has all of its fields."""
 
@@ -75,7 +85,7 @@ class Typed:
         elif isinstance(k, (T.StringType, T.DateType, T.TimestampType)):
             made = F.concat(F.lit("s"), self.string())
         else:
-            made = F.concat(F.lit("j"), F.to_json(F.to_variant_object(self.c)))
+            made = F.concat(F.lit("j"), canonical(F.to_json(F.to_variant_object(self.c))))
         return F.coalesce(made, F.lit("z"))
 
     def size(self) -> Column:
@@ -90,6 +100,10 @@ class Typed:
     def element(self, i: int) -> Typed | None:
         return Typed(F.get(self.c, F.lit(i)), self.kind.elementType) if isinstance(self.kind, T.ArrayType) else None
 
+    def at(self, i: Column) -> Typed:
+        """The element at a place that is there."""
+        return Typed(F.get(self.c, i), self.kind.elementType if isinstance(self.kind, T.ArrayType) else T.NullType())
+
     def keys(self) -> Column:
         if isinstance(self.kind, T.StructType):
             return F.array(*(F.lit(f.name) for f in self.kind.fields)) if self.kind.fields else F.array().cast("array<string>")
@@ -165,7 +179,7 @@ class Variant:
         t = self.tag()
         return (
             F.when(self.null, "z").when(t == "STRING", F.concat(F.lit("s"), self.string())).when(t == "BOOLEAN", F.concat(F.lit("b"), F.try_variant_get(self.c, "$", "string")))
-            .when(t == "BIGINT", F.concat(F.lit("n"), self.integer().cast("string"))).when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number_key(self.number())).otherwise(F.concat(F.lit("j"), F.to_json(self.c)))
+            .when(t == "BIGINT", F.concat(F.lit("n"), self.integer().cast("string"))).when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number_key(self.number())).otherwise(F.concat(F.lit("j"), canonical(F.to_json(self.c))))
         )
 
     def array(self) -> Column:
@@ -184,6 +198,9 @@ class Variant:
     def element(self, i: int) -> Variant:
         return Variant(F.get(self.array(), F.lit(i)))
 
+    def at(self, i: Column) -> Variant:
+        return Variant(F.get(self.array(), i))
+
     def keys(self) -> Column:
         return F.coalesce(F.map_keys(self.map()), F.array().cast("array<string>"))
 

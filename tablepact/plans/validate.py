@@ -15,6 +15,7 @@ from ..functions.coercion import coerce_body
 from ..functions.strings import bind
 from ..operators import parameters, routing
 from ..operators.interpreter import violations_udf
+from ..operators.recursion import trees
 from ..operators.schema import Compiler, compilable, none
 from ..operators.values import Typed, Variant
 from ..sources import decoders
@@ -30,10 +31,16 @@ def violations(df: DataFrame, column: str, schema: Any, contract: Contract | Non
     schema = contract.schema(schema)
     kind = df.schema[column].dataType
     native = lane == "native" or lane is None and compilable(contract, schema)
+    compiler = Compiler(contract, mode=mode, strict_formats=strict_formats)
+    tree = None if lane == "python" or compilable(contract, schema) else trees(compiler, schema)
+    if tree is not None and isinstance(kind, (T.StringType, T.VariantType)):
+        text = isinstance(kind, T.StringType)
+        value = F.try_parse_json(F.col(column)) if text else F.col(column)
+        bad = F.array(compiler._one("json", F.lit(""), "#", "is not JSON"))
+        return bind(value, lambda v: F.when(F.col(column).isNull(), none()).when(v.isNull(), bad).otherwise(tree.violations(v, F.lit(""))))
     if not native:
         text = F.col(column) if isinstance(kind, T.StringType) else F.to_json(F.col(column))
         return violations_udf(contract, schema, mode, strict_formats)(text)
-    compiler = Compiler(contract, mode=mode, strict_formats=strict_formats)
     if isinstance(kind, T.StringType):
         value = F.try_parse_json(F.col(column))
         bad = F.array(compiler._one("json", F.lit(""), "#", "is not JSON"))
@@ -49,7 +56,10 @@ def validate(df: DataFrame, column: str, schema: Any, contract: Contract | None
 def row_violations(df: DataFrame, schema: Any, contract: Contract | None = None) -> Column:
     """Violations of the row itself as an object of its typed columns; only columns that the schema names are read."""
     contract = contract or Contract({})
-    return Compiler(contract).violations(contract.schema(schema), Row(df.schema))
+    schema = contract.schema(schema)
+    if not compilable(contract, schema):
+        raise ContractError("rows need a schema without recursion whose patterns Java can read")
+    return Compiler(contract).violations(schema, Row(df.schema))
 
 
 class Row(Typed):
@@ -65,7 +75,7 @@ class Row(Typed):
         return F.lit(name == "object")
 
 
-def _says(keyword: str, path: str, message: str) -> Column:
+def _says(keyword: str, path: str | Column, message: str) -> Column:
     return F.array(F.struct(F.lit(keyword).alias("keyword"), F.lit(path).alias("data_path"), F.lit("#").alias("schema_path"), F.lit(message).alias("message")))
 
 
@@ -76,6 +86,8 @@ def _joined(parts: list[Column]) -> Column:
 def text_violations(contract: Contract, compiler: Compiler, schema: Any, text: Column, path: str, *, coerce: bool = False, strict: bool = True) -> Column:
     """Violations of JSON text. Schemas that the compiler doesn't take go to the interpreter; ``coerce`` turns strings into what
     the schema's types take them for first."""
+    if not compilable(contract, schema) and not coerce and (tree := trees(compiler, schema)) is not None:
+        return bind(F.try_parse_json(text), lambda v: F.when(text.isNull(), none()).when(v.isNull(), _says("json", path, "is not JSON")).otherwise(tree.violations(v, F.lit(path))))
     if not compilable(contract, schema):
         return F.coalesce(violations_udf(contract, schema, compiler.mode, compiler.strict, path)(text), none())
     value = F.try_parse_json(text)
@@ -130,19 +142,35 @@ def over_limits(message: dict[str, Column]) -> list[Column]:
     return [*(F.when(hit, _says("pairs", place, "has too many pairs")).otherwise(none()) for place, hit in limits), deep]
 
 
+#: Contracts of more operations are checked by tables, see ``plans.shared``; fewer by one expression for each.
+FEW = 8
+
+
 def request_violations(contract: Contract, **options) -> tuple[Column, Column]:
     """(route, violations) of rows with method, path, query, headers (map of arrays), cookie, content_type, body.
 
     ``options``: coerce (parameters, true), coerce_bodies (false), strict (true), security (false).
     """
+    from .shared import Requests
+
     message = {k: F.col(k) for k in MESSAGE}
     message["path"] = routing.strip_server(message["path"], contract)
     route = routing.match_route(contract, F.col("method"), message["path"])
-    made = F.when(route.isNull(), _says("route", "", "no operation fits"))
-    compiler = Compiler(contract, mode="request")
-    for i, op in enumerate(routing.ranked(contract)):
-        made = made.when(route == i, operation_violations(contract, compiler, op, message, **options))
-    return route, _joined([*over_limits(message), made.otherwise(none())])
+    compiler, operations = Compiler(contract, mode="request"), routing.ranked(contract)
+    unknown = _says("route", "", "no operation fits")
+    if len(operations) > FEW:
+        tables = Requests(contract, compiler, **options)
+        own = [(i, op) for i, op in enumerate(operations) if not tables.add(op)]
+        made = F.when(route.isNull(), unknown)
+        for i, op in own:
+            made = made.when(route == i, operation_violations(contract, compiler, op, message, **options))
+        made = made.otherwise(tables.violations(route, message))
+    else:
+        made = F.when(route.isNull(), unknown)
+        for i, op in enumerate(operations):
+            made = made.when(route == i, operation_violations(contract, compiler, op, message, **options))
+        made = made.otherwise(none())
+    return route, _joined([*over_limits(message), made])
 
 
 def validate_named(df: DataFrame, contract: Contract, cases: list[tuple[Column, Operation | None]], **options) -> DataFrame:
@@ -230,32 +258,49 @@ def validate_requests(df: DataFrame, contract: Contract, **options) -> DataFrame
     return out.withColumn("operation", routing.operation_name(contract, F.col("route"))).withColumn("valid", F.size("violations") == 0)
 
 
+def response_violations(contract: Contract, compiler: Compiler, op: Operation, message: dict[str, Column], *, coerce_bodies: bool = False, strict: bool = True) -> Column:
+    """Of the headers and the body of a response of an operation, by its status."""
+    responses = {str(k): contract.deref(r) for k, r in (op.definition.get("responses") or {}).items()}
+    key = routing.status_key(message["status"], list(responses))
+    made = F.when(key.isNull(), _says("status", "", "status isn't defined"))
+    for status, response in responses.items():
+        parts = []
+        for name, header in (response.get("headers") or {}).items():
+            header = contract.deref(header)
+            schema = contract.schema(header.get("schema") or {})
+            place = {"in": "header", "name": name}
+            text = parameters.parameter_json(place, schema, message, "", [])
+            over = parameters.too_many_items(place, schema, message, "", [])
+            missing = _says("header", f"header/{name}", "is missing") if header.get("required") else none()
+            found = text_violations(contract, compiler, schema, text, f"header/{name}")
+            parts.append(F.when(text.isNull(), missing).when(over, _says("items", f"header/{name}", "has too many items")).otherwise(found))
+        if response.get("content"):
+            parts.append(body_violations(contract, compiler, response, message["body"], message["content_type"], required=False, coerce=coerce_bodies, strict=strict))
+        made = made.when(key == (status if status == "default" else status.upper()), _joined(parts))
+    return made.otherwise(none())
+
+
 def validate_responses(df: DataFrame, contract: Contract, *, coerce_bodies: bool = False, strict: bool = True) -> DataFrame:
     """Rows with method, path, status, response_headers, content_type, body."""
+    from .shared import Responses
+
     path = routing.strip_server(F.col("path"), contract)
     route = routing.match_route(contract, F.col("method"), path)
-    compiler = Compiler(contract, mode="response")
+    compiler, operations = Compiler(contract, mode="response"), routing.ranked(contract)
+    message = {"headers": F.col("response_headers"), "body": F.col("body"), "content_type": F.col("content_type"), "status": F.col("status")}
     made = F.when(route.isNull(), _says("route", "", "no operation fits"))
-    for i, op in enumerate(routing.ranked(contract)):
-        responses = {str(k): contract.deref(r) for k, r in (op.definition.get("responses") or {}).items()}
-        key = routing.status_key(F.col("status"), list(responses))
-        one = F.when(key.isNull(), _says("status", "", "status isn't defined"))
-        for status, response in responses.items():
-            parts = []
-            for name, header in (response.get("headers") or {}).items():
-                header = contract.deref(header)
-                schema = contract.schema(header.get("schema") or {})
-                raw = parameters.header_value(F.col("response_headers"), name)
-                place, headers = {"in": "header", "name": name}, {"headers": F.col("response_headers")}
-                text = parameters.parameter_json(place, schema, headers, "", [])
-                over = parameters.too_many_items(place, schema, headers, "", [])
-                missing = _says("header", f"header/{name}", "is missing") if header.get("required") else none()
-                parts.append(F.when(raw.isNull(), missing).when(over, _says("items", f"header/{name}", "has too many items")).otherwise(compiler.violations(schema, Variant(F.try_parse_json(text)), F.lit(f"header/{name}"))))
-            if response.get("content"):
-                parts.append(body_violations(contract, compiler, response, F.col("body"), F.col("content_type"), required=False, coerce=coerce_bodies, strict=strict))
-            one = one.when(key == (status if status == "default" else status.upper()), _joined(parts))
-        made = made.when(route == i, one.otherwise(none()))
-    return df.withColumn("violations", made.otherwise(none())).withColumn("valid", F.size("violations") == 0)
+    options = {"coerce_bodies": coerce_bodies, "strict": strict}
+    if len(operations) > FEW:
+        tables = Responses(contract, compiler, **options)
+        for i, op in enumerate(operations):
+            if not tables.add(op):
+                made = made.when(route == i, response_violations(contract, compiler, op, message, **options))
+        made = made.otherwise(tables.violations(route, message))
+    else:
+        for i, op in enumerate(operations):
+            made = made.when(route == i, response_violations(contract, compiler, op, message, **options))
+        made = made.otherwise(none())
+    return df.withColumn("violations", made).withColumn("valid", F.size("violations") == 0)
 
 
 def roll_up(checked: DataFrame, *by: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,9 +72,10 @@ def too_many_pairs(query: Column, separator: str = "&", limit: int = MAX_PAIRS)
     return F.coalesce(F.size(F.split(query, separator)) > limit, F.lit(False))
 
 
-def values_of(found: Column, name: str) -> Column:
+def values_of(found: Column, name: str | Column) -> Column:
     """All values of a name, also written ``name[]``."""
-    return F.transform(F.filter(found, lambda p: p["name"].isin(name, name + "[]")), lambda p: p["value"])
+    listed = name + "[]" if isinstance(name, str) else F.concat(name, F.lit("[]"))
+    return F.transform(F.filter(found, lambda p: p["name"].isin(name, listed)), lambda p: p["value"])
 
 
 def bound(value: Column, use) -> Column:
@@ -217,32 +218,64 @@ def too_long(items: Column, limit: int = MAX_RECORD) -> Column:
     return F.coalesce(F.exists(items, lambda x: F.octet_length(x) > limit), F.lit(False))
 
 
-def xml_value(node: ET.Element):
-    """Attributes as ``@name``, repeated children as lists, text as ``#text`` or, of a leaf, alone."""
-    out: dict = {f"@{k}": v for k, v in node.attrib.items()}
-    for child in node:
-        value = xml_value(child)
-        if child.tag in out:
-            out[child.tag] = [*out[child.tag], value] if isinstance(out[child.tag], list) else [out[child.tag], value]
+#: Fixed value: deepest nesting of XML elements.
+MAX_XML_DEPTH = 128
+
+
+class XmlReader:
+    """Values of elements as they close, without recursion: attributes as ``@name``, repeated children as lists, text as ``#text`` or,
+    of a leaf, alone; an empty leaf is null. Names keep the prefix that they are written with."""
+
+    def __init__(self) -> None:
+        self.open: list[list] = [[None, {}, []]]
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        if len(self.open) > MAX_XML_DEPTH:
+            raise ValueError("too deep")
+        self.open.append([name, {f"@{k}": v for k, v in attributes.items() if k != "xmlns" and not k.startswith("xmlns:")}, []])
+
+    def data(self, text: str) -> None:
+        self.open[-1][2].append(text)
+
+    def end(self, name: str) -> None:
+        _, out, texts = self.open.pop()
+        text = "".join(texts)
+        value = out if out else text or None
+        if out and text.strip():
+            out["#text"] = text.strip()
+        siblings = self.open[-1][1]
+        if name in siblings:
+            siblings[name] = [*siblings[name], value] if isinstance(siblings[name], list) else [siblings[name], value]
         else:
-            out[child.tag] = value
-    text = (node.text or "").strip()
-    return text if not out else out | ({"#text": text} if text else {})
+            siblings[name] = value
+
+
+def xml_document(text: str) -> str | None:
+    """JSON text of the root element's value; None for what isn't XML, has a DTD or is nested too deep."""
+    reader, parser = XmlReader(), expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = reader.start, reader.end, reader.data
+
+    def refused(*_: object) -> None:
+        raise ValueError("DTD")
+
+    parser.StartDoctypeDeclHandler = refused
+    try:
+        parser.Parse(text.encode("utf-8", "replace"), True)
+    except (expat.ExpatError, ValueError):
+        return None
+    return json.dumps(next(iter(reader.open[0][1].values())))
 
 
 def xml_json(body: Column) -> Column:
-    """JSON text of XML bodies; documents with a DTD, too large ones, and what isn't XML stay a JSON string."""
+    """JSON text of XML bodies; documents with a DTD, too large or too deep ones, and what isn't XML stay a JSON string."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
-            try:
-                if len(text) > MAX_XML or "<!DOCTYPE" in text or "<!ENTITY" in text:
-                    return json.dumps(text)
-                return json.dumps(xml_value(ET.fromstring(text)))
-            except ET.ParseError:
-                return json.dumps(text)
+            made = xml_document(text) if len(text) <= MAX_XML else None
+            return json.dumps(text) if made is None else made
 
         for batch in batches:
             yield batch.map(one)
