@@ -157,8 +157,10 @@ def links(frame: Frame, p: int, x: np.ndarray, y: np.ndarray, raw_x: np.ndarray,
                 cosine = np.concatenate([np.einsum("ij,ij->i", unit_x[i + r[s : s + 65536]], unit_y[j + c[s : s + 65536]]) for s in range(0, len(r), 65536)] or [np.zeros(0)])
             sure = cosine >= frame.least
             r, c = r[sure], c[sure]
-            if before and len(r):
-                new = ~reduce(np.logical_or, (frame.near(a[r], b[c], k) for k in before))
+            if len(frame.passes) > 1 and len(r):  # by the rule that is the same in all passes, not by the product above
+                new = reduce(np.logical_or, (frame.near(a[r], b[c], k) for k in own))
+                for k in before:
+                    new &= ~frame.near(a[r], b[c], k)
                 r, c = r[new], c[new]
             left.append(i + r)
             right.append(j + c)

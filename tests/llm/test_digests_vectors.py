@@ -160,10 +160,8 @@ def test_vectors_against_brute_force(spark):
 
 
 def test_planes_lose_no_pair():
-    g = np.random.default_rng(5)
-    centres = g.normal(size=(40, 16)) * np.array([4, 3, 2, 2] + [0.3] * 12)
-    x = (centres[g.integers(0, 40, 1500)] + g.normal(size=(1500, 16)) * 0.3).astype(np.float64)
-    frame = vectors.Frame(vectors.unit(x), 0.9, 4)
+    x = np.array(vectors_of(5, 1500, 24, 150)) * np.array([3.0] * 6 + [0.2] * 18)  # few strong axes, so that planes pay
+    frame = vectors.Frame(vectors.unit(x), 0.9)
     assert any(isinstance(tree, vectors.Plane) for tree, _ in frame.passes)
     turned, met = frame.turn(x), np.zeros((1500, 1500), int)
     for p, (tree, _) in enumerate(frame.passes):
@@ -179,7 +177,7 @@ def test_planes_lose_no_pair():
                     met[b, a] += 1
     u = vectors.unit(x)
     want = (u @ u.T >= 0.9) & ~np.eye(1500, dtype=bool)
-    assert (met == want).all() and want.sum() > 10_000
+    assert (met == want).all() and want.sum() > 1000
 
 
 @pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_hard_negatives", "op13_vector_dedup"])
