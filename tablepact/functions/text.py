@@ -258,9 +258,9 @@ def written(c: Column) -> Text:
     """An ordinary Column as text, by Spark's own rendering; functions that take lambda functions have none."""
     if not plain(c):
         return c
-    from pyspark import SparkContext
+    from pyspark.sql import SparkSession
 
-    return Text(SparkContext._active_spark_context._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(c._jc).sql(), OR)
+    return Text(SparkSession.active()._jsparkSession.expression(c._jc).sql(), OR)
 
 
 def bound_to(value: Column, body: Callable[[Text], Column]) -> Column:

@@ -6,7 +6,7 @@ what is found is held against the expression of its schema. Schemas, bodies and
 operations are there once, so the plan grows with the distinct schemas of a contract, not with its operations. Which expression a
 number means is decided by halves.
 
-Operations with whole-query parameters, deep objects, bodies that may be XML or schemas that need the interpreter aren't taken:
+Operations with whole-query parameters, bodies that may be XML or schemas that need the interpreter aren't taken:
 ``add`` says so.
 """
 
@@ -19,6 +19,7 @@ from typing import Any
 from pyspark.sql import Column
 
 from ..functions import text as F
+from ..functions.coercion import coerce_body
 from ..functions.strings import bind
 from ..operators import routing
 from ..operators.parameters import Signature, index_of
@@ -28,7 +29,7 @@ from ..sources import decoders
 from ..sources.contract import Contract, Operation
 from .validate import _joined, _says, body_violations
 
-PARAMETER = "struct<sig:int,path:string,name:string,schema:int,required:boolean,regex:string,index:int>"
+PARAMETER = "struct<sig:int,path:string,name:string,schema:int,required:boolean,regex:string,index:int,deep:int>"
 JSON = "application/json"
 
 
@@ -67,7 +68,7 @@ class Shared:
         self.contract, self.compiler = contract, compiler
         self.coerce, self.coerce_bodies, self.strict, self.security = coerce, coerce_bodies, strict, security
         self.signatures: list[Signature] = []
-        self.schemas, self.records, self.bodies, self.credentials = Numbers(), Numbers(), Numbers(), Numbers()
+        self.schemas, self.records, self.deep, self.bodies, self.credentials = Numbers(), Numbers(), Numbers(), Numbers(), Numbers()
         self.rows: list[Any] = []
 
     def schema(self, numbers: Numbers, schema: Any) -> int | None:
@@ -76,11 +77,12 @@ class Shared:
 
     def parameter(self, p: dict, schema: Any, regex: str, names: list[str]) -> dict | None:
         signature, number, index = Signature.of(p, schema), self.schema(self.schemas, schema), index_of(p, names)
-        if number is None or signature.style == "deepObject" or signature.place == "path" and index is None:
+        if number is None or signature.place == "path" and index is None:
             return None
+        deep = self.deep.of(schema) if self.coerce and signature.style == "deepObject" else -1
         if signature not in self.signatures:
             self.signatures.append(signature)
-        return {"sig": self.signatures.index(signature), "path": f"{p['in']}/{p['name']}", "name": p["name"], "schema": number, "required": bool(p.get("required")), "regex": regex, "index": index or 0}
+        return {"sig": self.signatures.index(signature), "path": f"{p['in']}/{p['name']}", "name": p["name"], "schema": number, "required": bool(p.get("required")), "regex": regex, "index": index or 0, "deep": deep}
 
     def body(self, node: dict, required: bool) -> int | None:
         """Number of a body; -1 for none, None for one that needs the interpreter."""
@@ -118,6 +120,9 @@ class Shared:
             where = (message, p["name"], p["regex"], p["index"])
             text = chosen(p["sig"], [s.json(*where, self.coerce) for s in self.signatures])
             over = chosen(p["sig"], [s.too_many_items(*where) for s in self.signatures])
+            if self.deep.values:  # members of deep objects are what their schema takes them for
+                typed = lambda v: chosen(p["deep"], [coerce_body(self.contract, s, Variant(v), self.strict) for s in self.deep.values])
+                text = bind(text, lambda t: F.when(p["deep"] < 0, t).otherwise(bind(F.try_parse_json(t), typed)))
             missing = F.when(p["required"], _says(kind, p["path"], "is missing")).otherwise(none())
             found = lambda t: F.when(t.isNull(), missing).when(over, _says("items", p["path"], "has too many items")).otherwise(self.against(self.schemas, p["schema"], t, p["path"]))
             return bind(text, found)
