@@ -69,19 +69,6 @@ class Vocabulary:
             out += [part] if part in self.special else find(part)
         return out
 
-    def merge(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token, lowest rank first, leftmost among equals."""
-        ids, ranks = [int(self.byte_ids[b]) for b in word], self.ranks
-        if len(ids) > 64:
-            return PairIndex(self).encode([word])[0].tolist()
-        while len(ids) > 1:
-            best = min(((ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
-        return ids
-
     def proven_whole(self) -> list[bytes]:
         """Vocabulary strings that encode alone as exactly one token: each is merged from its bytes, and the outcome compared.
 
@@ -105,7 +92,11 @@ class Vocabulary:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """A vocabulary whose merges can be applied to all places of a pair at once; others are an error."""
+    found = Vocabulary(path)
+    if not found.monotone:
+        raise ValueError(f"{path}: a merge comes before those that make its parts")
+    return found
 
 
 class PairIndex:

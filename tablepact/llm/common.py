@@ -86,6 +86,14 @@ def only_new(cols: list[str], made: tuple[str, ...]) -> None:
         raise ValueError(f"columns {cols} and {list(made)} must have different names")
 
 
+def unused(cols: Iterable[str], name: str) -> str:
+    """``name``, longer by underscores as far as columns already have it; names that differ in case only are one."""
+    taken = {c.lower() for c in cols}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_id(col: Column) -> Column:
     return col.cast("string").cast("binary")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_new, sliced
+from .common import only_new, sliced, unused
 
 BUCKETS = 1 << 15
 #: Weight of evidence of overlapping trigrams, and the change of proportions at which their estimation ends.
@@ -127,14 +127,15 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     only_new(cols, ("lang_pred", "score", "languages"))
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(cols, "__text")
+    base = docs.select(*cols, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in sliced(batches, "__text", SLICE_BYTES):
+        for batch in sliced(batches, inner, SLICE_BYTES):
             pred, score, mixed = [], [], []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(inner).to_pylist():
                 found = m.mixture(text)
                 if found is None:
                     pred.append("und")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, only_new, sliced, text_id
+from .common import discard, materialize, only_new, sliced, text_id, unused
 
 SAMPLE, ROUNDS = 20_000, 40
 SIZE = 1 << 13
@@ -181,13 +181,14 @@ def fit(rows: DataFrame, size: int, *, rounds: int = ROUNDS, l2: float = 1e-4, p
 
 
 def featured(docs: DataFrame, *, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    base = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(keep, "__text")
+    base = docs.select(*keep, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
-        for batch in sliced(batches, "__text", SLICE_BYTES):
-            both = [text_features(t, hashed) for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, inner, SLICE_BYTES):
+            both = [text_features(t, hashed) for t in batch.column(inner).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in both], pa.list_(pa.float32()))], [*keep, "index", "value"])
 
     return base.mapInArrow(run, f"{schema}, index array<int>, value array<float>")
@@ -213,13 +214,14 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least: float, *, id_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     only_new(cols, ("expected_grade", "tail_probability"))
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(cols, "__text")
+    base = docs.select(*cols, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, m = Hashed(), shared.value
-        for batch in sliced(batches, "__text", SLICE_BYTES):
-            expected, tail = m.score(latent(m, batch.column("__text"), hashed), least)
+        for batch in sliced(batches, inner, SLICE_BYTES):
+            expected, tail = m.score(latent(m, batch.column(inner), hashed), least)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], [*cols, "expected_grade", "tail_probability"])
 
     return base.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PairIndex, Vocabulary, vocabulary
-from .common import only_new, sliced
+from .common import only_new, sliced, unused
 
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
@@ -78,13 +78,14 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     cols = [id_col, *keep]
     only_new(cols, ("n_bytes", "n_tokens"))
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(cols, "__text")
+    base = docs.select(*cols, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resolved = Resolved(path, whole.value)
-        for batch in sliced(batches, "__text", SLICE_BYTES):
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, inner, SLICE_BYTES):
+            texts = [t or "" for t in batch.column(inner).to_pylist()]
             get = resolved.known.__getitem__
             counts = [sum(map(get, p)) for p in resolved.pieces(texts)]
             sizes = [len(t.encode()) for t in texts]
@@ -106,15 +107,16 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """Encode whole texts; ``columns`` names what to return of ``ENCODED``. decoded is made from the ids, not from the text."""
     cols = [id_col, *keep]
     only_new(cols, columns)
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(cols, "__text")
+    base = docs.select(*cols, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)]] + [f"{c} {ENCODED[c]}" for c in columns])
     decoding = any(c.startswith("decoded") for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resolved = Resolved(path)
         v = resolved.v
-        for batch in sliced(batches, "__text", SLICE_BYTES):
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, inner, SLICE_BYTES):
+            texts = [t or "" for t in batch.column(inner).to_pylist()]
             out: dict[str, list] = {c: [] for c in columns}
             get = resolved.known.__getitem__
             for pieces in resolved.pieces(texts):

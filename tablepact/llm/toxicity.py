@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, only_new, sliced
+from .common import discard, materialize, only_new, sliced, unused
 from .ordinal import OrdinalModel, fit, sample
 
 #: Words of the grammar's closed classes in English, German, French and Spanish.
@@ -313,13 +313,14 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *keep]
     only_new(cols, ("score", "n_matches"))
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
+    inner = unused(cols, "__text")
+    base = docs.select(*cols, F.col(text_col).cast("string").alias(inner))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(shared.value.insults)
-        for batch in sliced(batches, "__text", SLICE_BYTES):
-            made = np.array([grammar.outputs(t) for t in batch.column("__text").to_pylist()]).reshape(-1, SIZE)
+        for batch in sliced(batches, inner, SLICE_BYTES):
+            made = np.array([grammar.outputs(t) for t in batch.column(inner).to_pylist()]).reshape(-1, SIZE)
             n = np.rint(2 ** made[:, :-1] - 1).sum(axis=1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.scores(made)), pa.array(n)], [*cols, "score", "n_matches"])
 

@@ -26,7 +26,7 @@ from .common import materialize
 
 MANY, SHARE = 20, 0.5
 #: Pseudo-counts of smoothing, the share of bad labels that blocks, and the two-sided test's bound.
-STRENGTH, BLOCK_AT, Z = 8.0, 0.5, 1.96
+STRENGTH, BLOCK_AT, Z = 8.0, 0.6, 1.96
 
 
 @dataclass(frozen=True)

@@ -223,3 +223,15 @@ def test_pipeline_stages(spark, empty):
     t = Tokenizer.from_file(VOCAB)
     for r in p.encoding(spark, docs, SF).join(docs, "doc_id").limit(20).collect():
         assert r.ids == t.encode(r.text, add_special_tokens=False).ids
+
+
+def test_inner_names_give_way(spark):
+    import public_tokenizers
+
+    from tablepact.llm import language, tokens
+
+    docs = spark.createDataFrame([(1, "the text", "kept"), (2, None, "kept")], "doc_id long, text string, __text string")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("__text",)).orderBy("doc_id").collect()
+    assert [(r["__text"], r.n_tokens) for r in counted] == [("kept", 2), ("kept", 0)]
+    model = language.learn(spark.createDataFrame([(1, "the house and", "en"), (2, "das Haus und", "de")], "doc_id long, text string, lang string"))
+    assert [r["__text"] for r in language.identify(docs, model, keep=("__text",)).collect()] == ["kept", "kept"]

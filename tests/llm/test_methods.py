@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -175,10 +176,20 @@ def test_url_query_rows(spark):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         name, verdict = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, name) and verdict in (None, r.verdict)
-    free = [r for r in got if r.rule is None]
-    bad = {r.page_id for r in free if set(regex.split(r"[.-]", r.host)) & set(queries.BAD_WORDS)}
+
+
+def test_url_templates_judge_held_out_pages(spark):
+    """Pages that gave no label, by the language that their html names; hosts have good and bad templates."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op5_url_filters(spark, sf).collect()
+    html = {r.page_id: regex.search(r'<html[^>]*\slang="(\w+)"', r.html or "") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    free = [r for r in got if r.rule is None and html[r.page_id] and zlib.crc32(str(r.page_id).encode()) % 2]
+    bad = {r.page_id for r in free if html[r.page_id][1] not in queries.WANTED}
     blocked = {r.page_id for r in free if r.verdict == "block"}
-    assert blocked and blocked <= bad  # hosts with few or no labelled pages stay
+    by_host = {}
+    for r in free:
+        by_host.setdefault(r.host, set()).add(r.verdict)
+    assert len(blocked & bad) >= 0.95 * len(blocked) and len(blocked & bad) >= 0.3 * len(bad) and sum(len(v) == 2 for v in by_host.values()) >= 5
 
 
 def test_url_odd_rows(spark):
