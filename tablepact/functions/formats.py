@@ -50,11 +50,17 @@ ULABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
 def email(s: Column) -> Column:
     local = r"(?:[\p{L}\p{N}!#$%&'*+/=?^_`{|}~-]+(?:\.[\p{L}\p{N}!#$%&'*+/=?^_`{|}~-]+)*|\"(?:[^\"\\\r\n]|\\.)+\")"
     domain = rf"(?:(?:{ULABEL}\.)+(?!\d+\z){ULABEL}|\[(?:{IPV4}|IPv6:(?:{IPV6}))\])"
-    return (F.octet_length(s) <= 254) & (F.octet_length(F.regexp_replace(s, "@[^@]*$", "")) <= 64) & s.rlike("^" + local + "@" + domain + END)
+    return (F.octet_length(s) <= 254) & (F.octet_length(F.regexp_replace(s, "@[^@]*$", "")) <= 64) & s.rlike("^" + local + "@" + domain + END) & ascii_host(F.regexp_extract(s, "@([^@]*)$", 1)).isNotNull()
+
+
+def ascii_host(s: Column) -> Column:
+    """A host name as IDNA (RFC 3490) writes it; null where a label is longer than 63 bytes then, or can't be written."""
+    made = F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), s)
+    return F.when(s.rlike(r"^[\x00-\x7F]*\z"), s).otherwise(made)
 
 
 def hostname(s: Column) -> Column:
-    return (F.length(s) <= 253) & s.rlike(rf"^{ULABEL}(?:\.{ULABEL})*{END}")
+    return s.rlike(rf"^{ULABEL}(?:\.{ULABEL})*{END}") & F.coalesce(F.length(ascii_host(s)) <= 253, F.lit(False))
 
 
 def uri(s: Column) -> Column:

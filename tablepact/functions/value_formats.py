@@ -33,8 +33,20 @@ _template = like(r"(?:[^{}]|\{[+#./;?&=,!@|]?[A-Za-z0-9_.%]+(?::[0-9]{1,4}|\*)?(
 _pointer = r"(?:/(?:[^~/]|~[01])*)*"
 
 
+def ascii_length(host: str) -> int | None:
+    """Bytes of a host name as IDNA writes it; None where a label is too long then, or can't be written."""
+    try:
+        return len(host if host.isascii() else host.encode("idna"))
+    except UnicodeError:
+        return None
+
+
+def hostname(s: str) -> bool:
+    return _host(s) and (ascii_length(s) or 254) <= 253
+
+
 def email(s: str) -> bool:
-    return len(s.encode()) <= 254 and len(s.rpartition("@")[0].encode()) <= 64 and _email(s)
+    return _email(s) and ascii_length(s.rpartition("@")[2]) is not None and len(s.encode()) <= 254 and len(s.rpartition("@")[0].encode()) <= 64
 
 
 def uri(s: str) -> bool:
@@ -75,4 +87,4 @@ VALUE: dict[str, Callable[[str], bool]] = {
     "byte": byte, "binary": lambda s: True, "password": lambda s: True, "json-pointer": like(_pointer), "relative-json-pointer": like(rf"(?:0|[1-9][0-9]*)(?:#|{_pointer})"), "regex": pattern,
 }
 _host = like(rf"{ULABEL}(?:\.{ULABEL})*")
-VALUE["hostname"] = VALUE["idn-hostname"] = lambda s: len(s) <= 253 and _host(s)
+VALUE["hostname"] = VALUE["idn-hostname"] = hostname

@@ -50,7 +50,24 @@ def violations(df: DataFrame, column: str, schema: Any, contract: Contract | Non
 
 def validate(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, **options) -> DataFrame:
     """``df`` with violations and valid."""
-    return df.withColumn("violations", violations(df, column, schema, contract, **options)).withColumn("valid", F.size("violations") == 0)
+    found = violations(df, column, schema, contract, **options)
+    return df.withColumns({"violations": found, "valid": holds(df, column, schema, contract, **options)}) if plain_check(df, column, schema, contract, **options) else df.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
+
+
+def plain_check(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, *, lane: str | None = None, **_: Any) -> bool:
+    """Whether validity is compiled as a condition of its own."""
+    contract = contract or Contract({})
+    return lane != "python" and column not in ("violations", "valid") and compilable(contract, contract.schema(schema))
+
+
+def holds(df: DataFrame, column: str, schema: Any, contract: Contract | None = None, *, mode: str | None = None, strict_formats: bool = False, lane: str | None = None) -> Column:
+    """Whether a column has no violations, without making any."""
+    contract = contract or Contract({})
+    compiler, kind, schema = Compiler(contract, mode=mode, strict_formats=strict_formats), df.schema[column].dataType, contract.schema(schema)
+    if isinstance(kind, T.StringType):
+        fits = bind(F.try_parse_json(F.col(column)), lambda v: F.when(v.isNull(), F.lit(False)).otherwise(compiler.valid(schema, Variant(v))))
+        return F.when(F.col(column).isNull(), F.lit(True)).otherwise(fits)
+    return compiler.valid(schema, Variant(F.col(column)) if isinstance(kind, T.VariantType) else Typed(F.col(column), kind))
 
 
 def row_violations(df: DataFrame, schema: Any, contract: Contract | None = None) -> Column:

@@ -191,7 +191,7 @@ class Contract:
             if os.path.commonpath([root, path]) != root:
                 raise ContractError(f"reference to {name} leaves {root}")
             with open(path, encoding="utf-8") as f:
-                self._outside[name] = parse(f.read(MAX_REF_BYTES + 1), "json" if path.endswith(".json") else "yaml", max_bytes=MAX_REF_BYTES)
+                self._outside[name] = rebased(name, parse(f.read(MAX_REF_BYTES + 1), "json" if path.endswith(".json") else "yaml", max_bytes=MAX_REF_BYTES))
         return self._outside[name]
 
     def resolve(self, ref: str, within: str = "") -> tuple[Any, str]:
@@ -205,7 +205,7 @@ class Contract:
             seen.add((name, pointer))
             node = pointer_get(self._document(name), pointer)
             if isinstance(node, dict) and set(node) == {"$ref"}:
-                ref, within = node["$ref"], name
+                ref, within = node["$ref"], ""  # those of other documents are written from the root's place
                 continue
             return node, name
 
@@ -310,6 +310,19 @@ def deprecated_fields(node: dict, owner: str) -> list[str]:
     return [k for k, told in hit.items() if told]
 
 
+def rebased(name: str, node: Any) -> Any:
+    """A document of another file with its references as the root document would write them."""
+    if isinstance(node, list):
+        return [rebased(name, x) for x in node]
+    if not isinstance(node, dict):
+        return node
+    whole = lambda ref: urljoin(name, ref) if ref.partition("#")[0] else name + ref
+    out = {k: whole(v) if k == "$ref" and isinstance(v, str) else rebased(name, v) for k, v in node.items()}
+    if isinstance(d := out.get("discriminator"), dict) and isinstance(d.get("mapping"), dict):
+        out["discriminator"] = d | {"mapping": {k: whole(v) if isinstance(v, str) and "#" in v else v for k, v in d["mapping"].items()}}
+    return out
+
+
 def pointer_get(node: Any, pointer: str) -> Any:
     for part in unquote(pointer).split("/")[1:]:
         part = part.replace("~1", "/").replace("~0", "~")
