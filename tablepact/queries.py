@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from .operators import routing
 from .operators.schema import Compiler
 from .operators.values import Typed, Variant
 from .plans import validate as plans
+from .plans.versions import read_versions, validate_as_of, versions_of
 from .sources import decoders
-from .sources.contract import Contract
+from .sources.contract import ROOT_KEY, Contract
 from .streaming.conformance import conformance_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +214,7 @@ _sql["conformance_by_hour"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d
 
 
 def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interpreter's way, on a schema that the compiler leaves to it."""
+    """What a branch hasn't evaluated isn't allowed."""
     schema = {"allOf": [{"properties": {"k": {"minimum": 50}}}], "unevaluatedProperties": False}
     return plans.validate(read(spark, sf_dir, "events"), "props", schema).select("event_id", "valid")
 
@@ -220,6 +222,22 @@ def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql["interpreted"] = "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, TRUE) AS valid FROM events"
 
 
+def contract_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against the version of their contract that was in force on their date; of two names one has two versions."""
+    version = lambda most, states: {ROOT_KEY: "3.1.0", "components": {"schemas": {"Order": {"properties": {"price": {"maximum": most}, "status": {"enum": states}}}}}}
+    table = versions_of([("urgent", "1", datetime(1995, 1, 1), version(200_000, ["F", "O"])), ("urgent", "2", datetime(1996, 7, 1), version(150_000, ["F", "O", "P"])), ("other", "1", datetime(1993, 1, 1), version(250_000, ["F", "O", "P"]))], spark)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("other").alias("kind"), F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("order"))
+    checked = validate_as_of(orders, "order", "#/components/schemas/Order", read_versions(table), name_col="kind", time_col="o_orderdate")
+    return checked.select("o_orderkey", "contract_version", F.array_join(F.array_sort(F.transform("violations", lambda v: v["keyword"])), ",").alias("broken"), "valid")
+
+
+_sql["contract_versions"] = """
+WITH o AS (SELECT *, o_orderpriority LIKE '1%' AS urgent, CASE WHEN o_orderpriority LIKE '1%' THEN CASE WHEN o_orderdate >= '1996-07-01' THEN '2' WHEN o_orderdate >= '1995-01-01' THEN '1' END WHEN o_orderdate >= '1993-01-01' THEN '1' END AS v FROM orders),
+b AS (SELECT *, CASE WHEN v IS NULL THEN 'version' ELSE concat_ws(',', CASE WHEN o_orderstatus NOT IN ('F', 'O') AND (urgent AND v = '1' OR o_orderstatus <> 'P') THEN 'enum' END, CASE WHEN o_totalprice > CASE WHEN NOT urgent THEN 250000 WHEN v = '1' THEN 200000 ELSE 150000 END THEN 'maximum' END) END AS broken FROM o)
+SELECT o_orderkey, v AS contract_version, broken, broken = '' AS valid FROM b
+"""
+
+
 HOOKS = Contract.api("3.1.0", {"webhooks": {
     "click": {"post": {"requestBody": {"required": True, "content": {"application/json": {"schema": {"properties": {"k": {"minimum": 50}}}}}}}},
     "view": {"post": {"requestBody": {"content": {"application/json": {"schema": {"properties": {"k": {"maximum": 20}}}}}}}},
@@ -340,7 +358,7 @@ def callback_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql["callback_validation"] = f"SELECT event_id, CASE event_type WHEN 'click' THEN coalesce({K} >= 50, TRUE) WHEN 'view' THEN coalesce({K} <= 20, TRUE) ELSE FALSE END AS valid FROM events"
 
 _queries |= {f.__name__: f for f in (callback_validation, deep_objects, webhook_validation, path_and_cookie, response_headers, whole_querystring, body_coercion, deprecated_warnings, coerce_lenient, interpreted_formats, nested_keys)}
-_queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, route_match, query_parse, coerce_integer, coerce_boolean, status_lookup, json_lines, utf16_lengths, conformance_by_hour, interpreted)}
+_queries |= {f.__name__: f for f in (violations_rollup, discriminator_route, route_match, query_parse, coerce_integer, coerce_boolean, status_lookup, json_lines, utf16_lengths, conformance_by_hour, interpreted, contract_versions)}
 
 
 def queries() -> dict[str, Query]:

@@ -32,7 +32,7 @@ SCHEMAS = [
 ]
 VALUES = [dict(zip(keys, vals)) for n in range(3) for keys in itertools.combinations("abz", n) for vals in itertools.product([1, "x"], repeat=n)]
 VALUES += [list(v) for n in range(4) for v in itertools.product([1, "x"], repeat=n)] + [[{"a": 1}, {"b": 1}], 3, None, {"c": 2, "a": 1, "b": 4}]
-DOC = Contract({"openapi": "3.1.0", "info": {"title": "", "version": "1"}, "components": {"schemas": {"P": {"allOf": [A, {"$ref": "#/components/schemas/Q"}]}, "Q": B}}})
+DOC = Contract.api("3.1.0", {"components": {"schemas": {"P": {"allOf": [A, {"$ref": "#/components/schemas/Q"}]}, "Q": B}}})
 
 
 def test_annotations_of_both_lanes(spark):
@@ -90,7 +90,7 @@ def test_xml_values(spark):
 
 NODE = {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer", "maximum": 9}, "n": {"$ref": "#/components/schemas/N"}, "all": {"type": "array", "items": {"$ref": "#/components/schemas/N"}}}, "patternProperties": {"^m_": {"$ref": "#/components/schemas/M"}}}
 MAPPED = {"type": ["object", "string"], "additionalProperties": {"$ref": "#/components/schemas/M"}, "prefixItems": [], "allOf": [{"properties": {"back": {"$ref": "#/components/schemas/N"}}}]}
-RECURSIVE = Contract({"openapi": "3.1.0", "info": {"title": "", "version": "1"}, "components": {"schemas": {"N": NODE, "M": MAPPED, "X": {"anyOf": [{"type": "null"}, {"items": {"$ref": "#/components/schemas/X"}}]}}}})
+RECURSIVE = Contract.api("3.1.0", {"components": {"schemas": {"N": NODE, "M": MAPPED, "X": {"anyOf": [{"type": "null"}, {"items": {"$ref": "#/components/schemas/X"}}]}}}})
 
 
 def chain(n: int, last) -> dict:

@@ -9,7 +9,7 @@ import pytest
 
 from tablepact.functions.value_formats import VALUE
 from tablepact.plans import validate as plans
-from tablepact.sources.contract import Contract
+from tablepact.sources.contract import ROOT_KEY, Contract
 
 HOSTS = {"a.example": True, "ü" * 20 + ".de": True, "ü" * 60: False, "ü" * 56 + ".de": True, "a" * 63: True, "a" * 64: False, ".".join(["ü" * 40] * 6): False, "bücher.example": True, "-a.de": False, "": False}
 
@@ -29,7 +29,7 @@ def test_files_refer_to_themselves_and_on(spark, tmp_path):
     (tmp_path / "sub/other.yaml").write_text("A:\n  properties:\n    b: {$ref: '#/B'}\n    c: {$ref: '../third.yaml#/C'}\n    r: {$ref: '#/R'}\nB: {type: integer}\nR: {$ref: 'more.json#/x'}\n")
     (tmp_path / "sub/more.json").write_text('{"x": {"$ref": "#/y"}, "y": {"maximum": 3}}')
     (tmp_path / "third.yaml").write_text("C: {type: string}\nB: {type: 'null'}\n")
-    (tmp_path / "api.yaml").write_text("openapi: 3.1.0\ninfo: {title: t, version: '1'}\npaths: {}\ncomponents: {schemas: {X: {$ref: 'sub/other.yaml#/A'}}}\n")
+    (tmp_path / "api.yaml").write_text(f"{ROOT_KEY}: 3.1.0\ninfo: {{title: t, version: '1'}}\npaths: {{}}\ncomponents: {{schemas: {{X: {{$ref: 'sub/other.yaml#/A'}}}}}}\n")
     c = Contract.from_file(str(tmp_path / "api.yaml"))
     df = spark.createDataFrame([('{"b": 1, "c": "x", "r": 2}',), ('{"b": "1", "c": 1, "r": 4}',)], "t string")
     found = [sorted(v.data_path for v in r.v) for r in df.select(plans.violations(df, "t", "#/components/schemas/X", c).alias("v")).collect()]

@@ -31,7 +31,7 @@ def contract(n: int) -> Contract:
         headers = {"X-Rate": {"required": True, "schema": {"type": "integer", "maximum": 5 + i % 2}}}
         responses = {"200": {"description": "", "headers": headers, "content": content}, "4XX": {"description": ""}} | ({"default": {"description": "", "content": {"application/json": {"schema": PET}}}} if i % 2 else {})
         paths[f"/r{i}/{{id}}"] = {"post": {"parameters": parameters, "requestBody": {"required": i % 2 == 1, "content": content}, "responses": responses, "security": [{"key": []}] if i % 4 == 0 else []}}
-    return Contract({"openapi": "3.1.0", "info": {"title": "", "version": "1"}, "paths": paths, "components": {"securitySchemes": {"key": {"type": "apiKey", "in": "header", "name": "k"}}}})
+    return Contract.api("3.1.0", {"paths": paths, "components": {"securitySchemes": {"key": {"type": "apiKey", "in": "header", "name": "k"}}}})
 
 
 def messages(spark, n: int):
