@@ -83,6 +83,8 @@ def parse_record(raw: bytes) -> dict:
         raise ValueError("not a WARC record")
     fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
     block = rest[: int(fields["content-length"])]
+    if len(block) < int(fields["content-length"]):
+        raise ValueError(f"{fields.get('warc-record-id')} is cut off")
     http, _, body = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
     kind, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
@@ -128,6 +130,8 @@ class StoredZip:
         tail_at = max(0, size - 65_557)
         tail = read_at(tail_at, size - tail_at)
         at = tail.rfind(END)
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail)):
+            at = tail.rfind(END, 0, at)  # within a comment: the end record's comment reaches to the end of the file
         if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<H2L", tail, at + 10)
@@ -229,6 +233,20 @@ def plain_records(read_at, start: int, size: int) -> Iterator[tuple[int, int]]:
         at += n
 
 
+def completed(z: StoredZip, start: int, size: int, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of an index, and those of the records that it doesn't name: what lies between is walked through, but for line ends."""
+    walk = gzip_members if size > 1 and z.read_at(start, 2) == b"\x1f\x8b" else plain_records
+    out, at = [], 0
+    for offset, length in [*places, (size, 0)]:
+        if offset > at and (offset - at > 8 or z.read_at(start + at, offset - at).strip(b"\r\n")):
+            out += [(at + o, n) for o, n in walk(z.read_at, start + at, offset - at)]
+        out += [(offset, length)] if length else []
+        at = max(at, offset + length)
+    if at > size:
+        raise ValueError("an index names a place beyond its file")
+    return out
+
+
 def record_places(z: StoredZip) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
     """Each WARC file of an archive with its place in the ZIP file, and offset and length of its records in ascending order."""
     found: dict[str, set[tuple[int, int]]] = {n: set() for n in z.members if n.startswith(ARCHIVES) and not n.endswith("/")}
@@ -241,10 +259,7 @@ def record_places(z: StoredZip) -> Iterator[tuple[str, int, list[tuple[int, int]
                 found[member].add((offset, length))
     for member, places in found.items():
         start, size = z.locate(member)
-        if not places and size:
-            packed = z.read_at(start, 2) == b"\x1f\x8b"
-            places = (gzip_members if packed else plain_records)(z.read_at, start, size)
-        yield member, start, sorted(places)
+        yield member, start, completed(z, start, size, sorted(places))
 
 
 def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, zip64: bool = False, level: int = 1) -> DataFrame:

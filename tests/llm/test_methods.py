@@ -65,6 +65,27 @@ def test_archives_of_others(spark, tmp_path, index):
     assert by["<urn:p:1>"].payload == b"body" and by["<urn:p:0>"].record_type == "warcinfo"
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_incomplete_indexes_are_completed(spark, tmp_path, packed):
+    """An index names one record of five, or all but one; the comment of the archive looks like an end record."""
+    records = [http_record("response", f"<urn:{i}>", RANDOM.randbytes(3000 + i)) for i in range(5)]
+    parts = [gzip.compress(r) if packed else r for r in records]
+    at = [sum(map(len, parts[:i])) for i in range(6)]
+    for k, named in enumerate(([2], [0, 1, 3, 4], [])):
+        lines = "".join("k 2024 " + json.dumps({"filename": "d.warc", "offset": at[i], "length": len(parts[i])}) + "\n" for i in named)
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_STORED) as z:
+            z.writestr("archive/d.warc", b"".join(parts))
+            z.writestr("indexes/index.cdxj", lines)
+            z.comment = b"PK\5\6 is how an end record begins" + bytes(20)
+        got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{k}.zip",)], "path string")).collect()
+        assert sorted(r.record_id for r in got) == [f"<urn:{i}>" for i in range(5)], named
+
+
+def test_records_that_are_cut_off_are_refused():
+    with pytest.raises(ValueError, match="cut off"):
+        warc.parse_record(http_record("response", "<urn:1>", b"x" * 100)[:-40])
+
+
 def test_packed_members_and_lost_names_are_refused(tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
