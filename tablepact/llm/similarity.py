@@ -5,7 +5,8 @@ their smallest id. Each class gets a signature of minwise tokens. In each of sev
 coordinates of the signature, 1 / threshold of them on average (``trees_of`` says how many trees), by a hash of the path that led to it; a class goes on to the
 child named by its token there. A pair as similar as the threshold so keeps at least one common child on average at any
 depth, while classes unlike each other part. Nodes of one class end; nodes of at most ``SMALL`` are leaves; larger ones
-branch again, down to ``DEPTH``.
+branch again, down to ``DEPTH``. A larger node is a leaf too if holding its classes against a central one has left at most
+``SMALL / 2`` of them outside its most common component: a group of near copies branches no further and loses no pair by it.
 
 Leaves yield links in two steps, and neither gives out all pairs of a group. First every class of a node is held against one
 class of it only, the most central one of large nodes; the confirmed links give components. Then only nodes that still hold
@@ -171,10 +172,22 @@ def branch(rows: DataFrame, *, roots: int = 0, percent: int = PERCENT) -> DataFr
     return rows.mapInArrow(run, "node long, id long, sig binary")
 
 
-def leaves(classes: DataFrame, *, trees: int | None = None, depth: int = DEPTH, small: int = SMALL, percent: int = PERCENT) -> DataFrame:
-    """(node, id, n) of all leaves of all trees, written level by level. Signatures aren't carried along with nodes."""
-    out, written = None, []
-    rows = branch(classes, roots=trees or trees_of(percent, depth), percent=percent)
+def settled(large: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+    """The ``node`` of those that hold at most half of ``small`` classes outside their most common component: comparing these with
+    all others costs no more for each class than a leaf of ``small`` classes does."""
+    each = large.join(labels.select("id", "component"), "id", "left").groupBy("node", F.coalesce("component", "id").alias("component")).agg(F.count("*").alias("k"))
+    return each.groupBy("node").agg((F.sum("k") - F.max("k")).alias("others")).where(2 * F.col("others") <= small).select("node")
+
+
+def leaves(classes: DataFrame, docs: DataFrame, *, trees: int | None = None, depth: int = DEPTH, small: int = SMALL, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(node, id, n) of all leaves of all trees, written level by level. Signatures aren't carried along with nodes.
+
+    Before large nodes branch, the classes of those below the roots are held against their central ones, and nodes that this
+    settles are leaves too. What ``central`` gave for them comes second and third, if there are any.
+    """
+    out, written, tried, links, labels = None, [], None, None, None
+    signed = classes.select("id", "sig")
+    rows = branch(signed, roots=trees or trees_of(percent, depth), percent=percent)
     for level in range(1, depth + 1):
         rows = materialize(rows.select("node", "id"), "nodes")
         written.append(rows)
@@ -185,14 +198,25 @@ def leaves(classes: DataFrame, *, trees: int | None = None, depth: int = DEPTH,
         out = leaf if out is None else out.unionAll(leaf)
         if last:
             break
-        large = materialize(rows.join(counts.where(F.col("n") > small).select("node"), "node", "left_semi"), "large")
+        large = materialize(rows.join(counts.where(F.col("n") > small), "node").select("node", "id", "n"), "large")
         written.append(large)
         if large.isEmpty():
             break
-        rows = branch(large.join(classes, "id").select("node", "id", "sig"), percent=percent)
+        if labels is None:
+            tried, links = central(large, classes, docs, percent)
+            labels = components(links)
+            written.append(labels)
+        done = materialize(settled(large, labels, small), "settled")
+        written.append(done)
+        out = out.unionAll(large.join(done, "node", "left_semi").select(*out.columns))
+        rest = materialize(large.join(done, "node", "left_anti").select("node", "id"), "unsettled")
+        written.append(rest)
+        if rest.isEmpty():
+            break
+        rows = branch(rest.join(signed, "id").select("node", "id", "sig"), percent=percent)
     found = materialize(out, "leaves")
     discard(*written)
-    return found
+    return found, tried, links
 
 
 #: Bits for each id of the filter that spares texts of no candidate the shuffle, and the least and most of all. A full filter
@@ -301,6 +325,16 @@ def centres(nodes: DataFrame, classes: DataFrame, small: int = CENTRAL) -> DataF
     return found
 
 
+def central(nodes: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the classes of nodes with their central ones, without those in ``tried``, and the confirmed ones of them; both written."""
+    middle = centres(nodes, classes)
+    pairs = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    held = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "central")
+    links = confirmed(held, classes, docs, percent)
+    discard(middle)
+    return held, links
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links``: the smallest id reachable. In each round an id and the owner of its label take
     the least label of the labels of its neighbours, if less, and labels jump to their label's label; each round is written.
@@ -444,11 +478,13 @@ def labelled(docs: DataFrame, *, id_col: str, text_col: str, percent: int, trees
     rows = materialize(made.select("id", "n_shingles", "set_key"), "sizes")
     classes = materialize(made.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch"))), "classes")
     discard(made)
-    nodes = leaves(classes.select("id", "sig"), trees=trees, small=small, percent=percent)
-    middle = centres(nodes, classes)
-    first = nodes.join(middle, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    links = confirmed(first, classes, texts, percent)
-    discard(middle)
+    nodes, tried, early = leaves(classes, texts, trees=trees, small=small, percent=percent)
+    first, links = central(nodes, classes, texts, percent, tried)
+    discard(first)
+    if tried is not None:
+        found = materialize(links.unionAll(early), "links")
+        discard(tried, early, links)
+        links = found
     labels = components(links)
     rest = across(nodes, classes, texts, labels, chunk, chunk_bytes, percent)
     discard(nodes)

@@ -88,6 +88,25 @@ def test_a_large_group_of_alike_but_mostly_unlinked_texts(spark, chunk):
     assert components_of(spark, texts, small=16, chunk=chunk) == roots
 
 
+def test_a_large_group_of_near_copies_does_not_branch_below_the_roots(spark, monkeypatch):
+    """Its classes are linked with a central one at the first level; classes that aren't are still held against all of them."""
+    base, branched, branch = words(304, 5000).split(), [], similarity.branch
+
+    def counted(rows, *, roots=0, percent):
+        branched.append(0 if roots else rows.count())
+        return branch(rows, roots=roots, percent=percent)
+
+    monkeypatch.setattr(similarity, "branch", counted)
+    texts = [edited(base, 1) for _ in range(150)]
+    texts += [edited(texts[k], 9) for k in range(3)]  # linked with one copy each, or with none
+    texts += [edited(t, 1) for t in texts[-3:]] + [words(304, 5000) for _ in range(30)]
+    texts = [" ".join(t) if isinstance(t, list) else t for t in texts]
+    RANDOM.shuffle(texts)
+    _, roots = brute_components(texts)
+    assert components_of(spark, texts, small=32) == roots
+    assert sum(branched) == 0
+
+
 def test_a_chain_of_texts_in_random_order(spark):
     """Each is linked to the next alone, so its 400 links join all of them, however ids lie along it."""
     chain = [words(304, 5000).split()]
